@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
