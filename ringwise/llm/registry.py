@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, jaccard_join
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
