@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op6_language_id": language_id.op6_language_id,
+    "op8_packing": packing.op8_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
