@@ -52,9 +52,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def small(df: DataFrame, max_bytes: int, row_bytes: int) -> bool:
-    """Whether ``df`` has at most ``max_bytes`` at ``row_bytes`` a row, by an actual count."""
-    return df.count() * row_bytes <= max_bytes
+def bounded(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows, of ``row_bytes`` each, take ``most`` bytes at most.
+
+    Beyond that it is returned as it is, and joins with it are Spark's to plan, by a shuffle.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, pick, table
+from .common import ascii_lower, bounded, materialise, pick, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Test-side tables up to this many bytes are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -29,11 +27,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few enough; unchanged otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def postings(keyed: DataFrame) -> DataFrame:
     """``(_key.., term, pos)`` for each word of ``keyed(_id, _h, _text)``."""
     return keyed.select("_id", "_h", F.posexplode(words(F.col("_text"))).alias("pos", "term"))

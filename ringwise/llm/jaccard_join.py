@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, table
+from .common import bounded, materialise, pick, table
 from .components import connected_components
 
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -172,11 +172,6 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int, slack: float) -> DataF
     return docs.mapInPandas(run, "_id bigint, _n bigint, _set binary, _sigs array<bigint>").withColumn("_row", F.monotonically_increasing_id())
 
 
-def bounded(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows take at most ``most`` bytes."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
-
-
 def bucket_members(entries: DataFrame, hot_rows: int) -> DataFrame:
     """``(sig, node, first, last)`` of all buckets with two nodes or more.
 
@@ -322,7 +317,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as t from documents),
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as t from documents),
 s as (
   select distinct doc_id, array_to_string(t[p : p + 3], ' ') as g
   from (select doc_id, t, unnest(range(1, greatest(1, len(t) - 3) + 1)) as p from w where len(t) > 0)),

@@ -28,7 +28,7 @@ FAMILIES = {
 #: Buckets for n-grams.
 WIDTH = 4096
 #: At most so many labelled rows a language are learned from, those first by a hash of the id.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 #: At most so many languages, the most frequent ones.
 MAX_LANGUAGES = 64
 
@@ -67,7 +67,7 @@ def features(text: str | None) -> np.ndarray | None:
     return out / np.linalg.norm(out)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 200) -> tuple[np.ndarray, float, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 80) -> tuple[np.ndarray, float, float]:
     """Weights, bias and margin scale of a linear SVM with squared hinge loss for y in {-1, 1}.
 
     Classes weigh alike. Accelerated gradient descent; the loss is smooth and strongly convex. The
@@ -132,8 +132,12 @@ def train(rows: list[tuple[str, np.ndarray]], families: dict[str, list[str]] | N
         known.setdefault(family_of(lang, families), []).append(str(lang))
     fam = np.array([family_of(v, families) for v in langs])
     model = Model(known)
-    if len(known) > 1:
-        model.by_family = {f: fit_svm(x, np.where(fam == f, 1, -1).astype(np.float32)) for f in known}
+    if len(known) == 2:  # one model tells two families apart
+        a, b = known
+        w, bias, scale = fit_svm(x, np.where(fam == a, 1, -1).astype(np.float32))
+        model.by_family = {a: (w, bias, scale), b: (-w, -bias, scale)}
+    elif known:
+        model.by_family = {f: fit_svm(x, np.where(fam == f, 1, -1).astype(np.float32)) for f in known if len(known) > 1}
     for members in known.values():
         for a, b in combinations(members, 2):
             own = (langs == a) | (langs == b)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, packing
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, url_filter, warc
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op6_language_id": language_id.op6_language_id,
+    "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
