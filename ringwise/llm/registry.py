@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, quality, url_filter, warc
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_quality": quality.op5_quality,
     "op6_language_id": language_id.op6_language_id,
     "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
