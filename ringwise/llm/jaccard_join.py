@@ -20,9 +20,9 @@ indexed in its own band and the next one, with the segments of that band.
 
 Links are not expanded inside groups. Equal sets are one representative from the start. Of each
 bucket, all members are compared with its first, then those still apart with its last; links of
-verified pairs merge components, and only pairs of different components that meet in a bucket,
-and that the distances to a common pivot can't rule out (Jaccard distance is a metric), are compared
-after that. Each pair is verified on its words.
+verified pairs merge components. After that only pairs of different components that meet in a
+bucket are open, and those in large buckets are found by what they have beyond a common pivot (see
+``_cross``). Each pair is verified on its words.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, materialise, pick, table
@@ -43,6 +43,8 @@ from .components import connected_components
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a Python worker remembers; beyond that it starts anew.
 REMEMBERED_WORDS = 500_000
+#: Members of a bucket whose pairs are listed outright.
+FEW = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -259,7 +261,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             last = members.where("node != last").select(F.col("node").alias("b"), F.col("last").alias("a")).distinct()
             pairs = fitting(_apart(first.select("a", "b").unionByName(last.select("a", "b")).distinct(), label))
         else:
-            pairs = fitting(_cross(members, label, tried, num, den))
+            pairs = fitting(_cross(members, label, texts, k, num, den))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = materialise(verified(pairs, texts, k), "verified")
         tried = tried.unionByName(done)
@@ -287,16 +289,79 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
 
 
-def _cross(members: DataFrame, label: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that meet in a bucket and that no common pivot rules out."""
-    labelled = members.select("sig", "node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    far = tried.select(F.col("a").alias("node"), F.col("b").alias("first"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    rows = labelled.join(mixed, "sig").join(far, ["node", "first"], "left")
-    x = rows.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"))
-    y = rows.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"))
-    near = F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= 1 - num / den + 1e-9)
-    return x.join(y, "sig").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that meet in a bucket and may be similar.
+
+    A bucket of up to ``FEW`` members gives its pairs, a constant number a member. In a larger
+    one the least node of the component with most members is the pivot, and each member is known by its
+    difference to the pivot: ``na`` added tokens, ``nr`` removed ones. Two members differ in
+    ``|Ds| + |Db| - 2 |Ds & Db|`` tokens and can share min(nr) removed ones at most; what is left of the
+    intersection they need must be added tokens. Members apart from the pivot's component differ a
+    lot from it, so they need some, and added tokens are rare: pairs come from a join on them, with the number
+    that each pair needs. Sizes under which none are needed are paired by classes of sizes.
+    """
+    labelled = members.select("sig", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = per.groupBy("sig").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("m", -F.col("component"))).alias("pivot")).where("parts > 1")
+    rows = materialise(labelled.join(mixed.drop("parts"), "sig"), "mixed")
+    few = rows.where(F.col("m") <= FEW)
+    x = few.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = few.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
+    direct = x.join(y, "sig").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    many = rows.where(F.col("m") > FEW).select("node", "component", "pivot").distinct()
+    known = materialise(_differences(many.where("node != pivot"), texts, k), "differences")
+    c = (den - num) / (den + num)
+    # A node apart from the pivot that is similar to it after all is a pair by itself.
+    apart = known.where("component != pivot")
+    similar = apart.where(F.col("na") + F.col("nr") <= F.floor(c * (F.col("n") + F.col("np")) + 1e-9)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    far = apart.where(F.col("na") + F.col("nr") > F.floor(c * (F.col("n") + F.col("np")) + 1e-9))
+    size = F.struct("node", "component", "n", "na", "nr")
+
+    def need(s: str, b: str) -> Column:
+        d = sum(F.col(f"{z}.{w}") for z in (s, b) for w in ("na", "nr"))
+        most = F.floor(c * (F.col(f"{s}.n") + F.col(f"{b}.n")) + 1e-9)
+        return F.ceil((d - most) / 2) - F.least(f"{s}.nr", f"{b}.nr")
+
+    others = (F.col("s.component") != F.col("b.component")) & (F.col("s.node") != F.col("b.node"))
+    far_tokens = far.select("pivot", size.alias("s"), F.explode("added").alias("token"))
+    all_tokens = known.select("pivot", size.alias("b"), F.explode("added").alias("token"))
+    shared = far_tokens.join(all_tokens, ["pivot", "token"]).where(others & (need("s", "b") >= 1)).groupBy("pivot", "s", "b").agg(F.count(F.lit(1)).alias("k"))
+    by_token = shared.where(F.col("k") >= need("s", "b")).select(F.col("s.node").alias("a"), F.col("b.node").alias("b"))
+    # Classes of sizes, as wide as an eighth of what two texts like the pivot may differ in.
+    width = F.greatest(F.lit(1), F.floor(F.col("np") * c / 8)).alias("w")
+    cells = [F.floor(F.col(v) / F.greatest(F.lit(1), F.floor(F.col("np") * c / 8))).alias(f"c{v[1]}") for v in ("na", "nr")]
+    s_cells = far.select("pivot", "np", width, *cells).distinct().select("pivot", "np", "w", F.struct("ca", "cr").alias("sc"))
+    b_cells = known.select("pivot", *cells).distinct().select("pivot", F.struct("ca", "cr").alias("bc"))
+    w = F.col("w")
+    low = sum(F.col(f"{z}.{v}") for z in ("sc", "bc") for v in ("ca", "cr")) * w
+    n_top = 2 * F.col("np") + (F.col("sc.ca") + F.col("bc.ca") + 2) * w - (F.col("sc.cr") + F.col("bc.cr")) * w
+    loose = s_cells.join(b_cells, "pivot").where((low - F.floor(c * n_top + 1e-9)) / 2 - (F.least("sc.cr", "bc.cr") + 1) * w <= 0)
+    s_in = far.select("pivot", size.alias("s"), F.struct(*cells).alias("sc"))
+    b_in = known.select("pivot", size.alias("b"), F.struct(*cells).alias("bc"))
+    by_class = loose.select("pivot", "sc", "bc").join(s_in, ["pivot", "sc"]).join(b_in, ["pivot", "bc"]).where(others & (need("s", "b") < 1))
+    return direct.unionByName(similar).unionByName(by_token).unionByName(by_class.select(F.col("s.node").alias("a"), F.col("b.node").alias("b")))
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``(node, component, pivot, n, np, na, nr, added)``: sizes, and the hashes of the tokens a node has beyond its pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, pivots = ShingleHasher(k), {}
+        for x in batches:
+            out = []
+            for node, component, pivot, t, tp in zip(x["node"], x["component"], x["pivot"], x["_t"], x["_tp"], strict=True):
+                if pivot not in pivots:
+                    if len(pivots) > 64:
+                        pivots.clear()
+                    pivots[pivot] = hasher(tp)
+                own, base = hasher(t), pivots[pivot]
+                added = np.setdiff1d(own, base, assume_unique=True)
+                out.append((node, component, pivot, len(own), len(base), len(added), len(base) - len(own) + len(added), added.view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "component", "pivot", "n", "np", "na", "nr", "added"])
+
+    t = texts.select("node", F.col("_text").alias("_t"))
+    tp = texts.select(F.col("node").alias("pivot"), F.col("_text").alias("_tp"))
+    return pairs.join(t, "node").join(tp, "pivot").mapInPandas(run, "node bigint, component bigint, pivot bigint, n bigint, np bigint, na bigint, nr bigint, added array<bigint>")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
