@@ -46,7 +46,7 @@ def pieces_of(docs: DataFrame, length: int, vocabulary: str, end_id: int) -> Dat
         for b in batches:
             out = []
             for i, text in zip(b["_id"], b["_text"], strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.append(np.array(encode(text or ""), "<u4"), np.uint32(end_id)).astype("<u4")
                 out += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), length))]
             yield pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids_crc32"])
 
