@@ -297,8 +297,8 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     difference to the pivot: ``na`` added tokens, ``nr`` removed ones. Two members differ in
     ``|Ds| + |Db| - 2 |Ds & Db|`` tokens and can share min(nr) removed ones at most; what is left of the
     intersection they need must be added tokens. Members apart from the pivot's component differ a
-    lot from it, so they need some, and added tokens are rare: pairs come from a join on them, with the number
-    that each pair needs. Sizes under which none are needed are paired by classes of sizes.
+    lot from it, so they need some, and added tokens are rare: pairs come from a join on the rarest of them, with
+    the number that each pair needs. Sizes under which none are needed are paired by classes of sizes.
     """
     labelled = members.select("sig", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -323,9 +323,17 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
         return F.ceil((d - most) / 2) - F.least(f"{s}.nr", f"{b}.nr")
 
     others = (F.col("s.component") != F.col("b.component")) & (F.col("s.node") != F.col("b.node"))
-    far_tokens = far.select("pivot", size.alias("s"), F.explode("added").alias("token"))
-    all_tokens = known.select("pivot", size.alias("b"), F.explode("added").alias("token"))
-    shared = far_tokens.join(all_tokens, ["pivot", "token"]).where(others & (need("s", "b") >= 1)).groupBy("pivot", "s", "b").agg(F.count(F.lit(1)).alias("k"))
+    # Prefix filter: with at least `least` tokens in common, whoever the other one is, two nodes share one among
+    # their rarest na - least + 1. Tokens of one node only count for the position but can't meet.
+    least = F.greatest(F.lit(1), F.ceil((F.col("na") * (1 - c) - 2 * c * (F.col("np") - F.col("nr"))) / 2 - 1e-6))
+    tokens = known.select("pivot", size.alias("x"), (F.col("na") - least + 1).alias("prefix"), F.explode("added").alias("token"))
+    met = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("pivot", "x")
+    placed = tokens.join(met, ["pivot", "token"]).withColumn("at", F.col("x.na") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "token"))).where("at <= prefix")
+    placed = materialise(placed.select("pivot", "token", "x", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
+    s_side = placed.join(far.select("pivot", size.alias("x")), ["pivot", "x"], "left_semi").select("pivot", "token", F.col("x").alias("s"), F.col("beyond").alias("s_beyond"))
+    b_side = placed.select("pivot", "token", F.col("x").alias("b"), F.col("beyond").alias("b_beyond"))
+    shared = s_side.join(b_side, ["pivot", "token"]).where(others & (need("s", "b") >= 1)).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
     by_token = shared.where(F.col("k") >= need("s", "b")).select(F.col("s.node").alias("a"), F.col("b.node").alias("b"))
     # Classes of sizes, as wide as an eighth of what two texts like the pivot may differ in.
     width = F.greatest(F.lit(1), F.floor(F.col("np") * c / 8)).alias("w")
