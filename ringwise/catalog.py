@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import addressing
+
+PLANS = (addressing,)
+QUERIES: dict = {name: q for p in PLANS for name, q in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for p in PLANS for name, sql in p.ORACLE_SQL.items()}
