@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import addressing
+from .plans import addressing, placing
 
-PLANS = (addressing,)
+PLANS = (addressing, placing)
 QUERIES: dict = {name: q for p in PLANS for name, q in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for p in PLANS for name, sql in p.ORACLE_SQL.items()}
