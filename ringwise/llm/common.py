@@ -60,5 +60,10 @@ def bounded(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand Python workers at most ``rows`` texts at a time; they may be long, and each worker holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, pick, table
+from .common import bounded, materialise, pick, small_batches, table
 from .components import connected_components
 
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a Python worker remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 200_000
+#: Shingles of texts that were just compared.
+REMEMBERED_SHINGLES = 50_000
 #: Members of a bucket whose pairs are listed outright.
 FEW = 8
 
@@ -201,12 +203,16 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict = {}
+        held = 0
 
         def of(node: int, text: str) -> set:
+            nonlocal held
             if node not in sets:
-                if len(sets) > 64:
+                if held > REMEMBERED_SHINGLES:
                     sets.clear()
+                    held = 0
                 sets[node] = shingle_set(text, k)
+                held += len(sets[node])
             return sets[node]
 
         for x in batches:
@@ -230,6 +236,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     results. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plain = pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("bigint"))
     rows = materialise(set_rows(plain, k, num, den, slack), "sets")
     # Equal sets are one node, known by the row number of the copy with the smallest id.
@@ -314,7 +321,6 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     # A node apart from the pivot that is similar to it after all is a pair by itself.
     apart = known.where("component != pivot")
     similar = apart.where(F.col("na") + F.col("nr") <= F.floor(c * (F.col("n") + F.col("np")) + 1e-9)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    far = apart.where(F.col("na") + F.col("nr") > F.floor(c * (F.col("n") + F.col("np")) + 1e-9))
     size = F.struct("node", "component", "n", "na", "nr")
 
     def need(s: str, b: str) -> Column:
@@ -323,29 +329,39 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
         return F.ceil((d - most) / 2) - F.least(f"{s}.nr", f"{b}.nr")
 
     others = (F.col("s.component") != F.col("b.component")) & (F.col("s.node") != F.col("b.node"))
-    # Prefix filter: with at least `least` tokens in common, whoever the other one is, two nodes share one among
-    # their rarest na - least + 1. Tokens of one node only count for the position but can't meet.
-    least = F.greatest(F.lit(1), F.ceil((F.col("na") * (1 - c) - 2 * c * (F.col("np") - F.col("nr"))) / 2 - 1e-6))
-    tokens = known.select("pivot", size.alias("x"), (F.col("na") - least + 1).alias("prefix"), F.explode("added").alias("token"))
-    met = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # Classes of sizes, as wide as an eighth of what two texts like the pivot may differ in, and the least that a
+    # pair of classes needs.
+    width = F.greatest(F.lit(1), F.floor(F.col("np") * c / 8))
+    cell = F.struct(F.floor(F.col("na") / width).alias("a"), F.floor(F.col("nr") / width).alias("r"))
+    marked = known.withColumn("cell", cell).withColumn("far", F.col("component") != F.col("pivot"))
+    marked = marked.join(similar.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("close")), ["node", "pivot"], "left").withColumn("far", F.col("far") & F.col("close").isNull()).drop("close")
+    marked = materialise(marked.select("pivot", "far", "cell", "np", width.alias("w"), size.alias("x"), "added"), "marked")
+    s_cells = marked.where("far").select("pivot", "np", "w", F.col("cell").alias("sc")).distinct()
+    b_cells = marked.select("pivot", F.col("cell").alias("bc")).distinct()
+    w = F.col("w")
+    low = sum(F.col(f"{z}.{v}") for z in ("sc", "bc") for v in ("a", "r")) * w
+    n_top = 2 * F.col("np") + (F.col("sc.a") + F.col("bc.a") + 2) * w - 2 - (F.col("sc.r") + F.col("bc.r")) * w
+    cells = materialise(s_cells.join(b_cells, "pivot").withColumn("low", F.ceil((low - F.floor(c * n_top + 1e-9)) / 2) - (F.least("sc.r", "bc.r") + 1) * w + 1), "cells")
+    loose = cells.where("low < 1")
+    # Prefix filter: with at least `low` tokens in common, two nodes share one among their rarest na - low + 1.
+    # Tokens of one node only count for the position but can't meet.
+    of_s = cells.groupBy("pivot", F.col("sc").alias("cell"), F.lit(True).alias("far")).agg(F.min("low").alias("low"))
+    of_b = cells.groupBy("pivot", F.col("bc").alias("cell"), F.lit(False).alias("far")).agg(F.min("low").alias("low"))
+    bound = marked.join(of_s.unionByName(of_b), ["pivot", "cell", "far"])
+    tokens = bound.select("pivot", "far", "x", (F.col("x.na") - F.greatest(F.lit(1), "low") + 1).alias("prefix"), F.explode("added").alias("token")).where("prefix > 0")
+    met = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("f"), F.max("far").alias("wanted")).where("f > 1 and wanted").drop("wanted")
     own = Window.partitionBy("pivot", "x")
-    placed = tokens.join(met, ["pivot", "token"]).withColumn("at", F.col("x.na") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "token"))).where("at <= prefix")
-    placed = materialise(placed.select("pivot", "token", "x", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
-    s_side = placed.join(far.select("pivot", size.alias("x")), ["pivot", "x"], "left_semi").select("pivot", "token", F.col("x").alias("s"), F.col("beyond").alias("s_beyond"))
-    b_side = placed.select("pivot", "token", F.col("x").alias("b"), F.col("beyond").alias("b_beyond"))
-    shared = s_side.join(b_side, ["pivot", "token"]).where(others & (need("s", "b") >= 1)).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
+    # Tokens that no other node has, or none that is far, come before all that may meet.
+    placed = tokens.join(met, ["pivot", "token"]).withColumn("at", F.row_number().over(own.orderBy("f", "token")) + F.col("x.na") - F.count(F.lit(1)).over(own))
+    placed = placed.where(F.col("at") <= F.col("prefix"))
+    placed = materialise(placed.select("pivot", "far", "token", "x", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
+    s_side = placed.where("far").select("pivot", "token", F.col("x").alias("s"), F.col("beyond").alias("s_beyond"))
+    b_side = placed.select("pivot", "token", F.col("x").alias("b"), F.col("beyond").alias("b_beyond"), F.col("far").alias("b_far"))
+    once = ~F.col("b_far") | (F.col("s.node") > F.col("b.node"))
+    shared = s_side.join(b_side, ["pivot", "token"]).where(others & once & (need("s", "b") >= 1)).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
     by_token = shared.where(F.col("k") >= need("s", "b")).select(F.col("s.node").alias("a"), F.col("b.node").alias("b"))
-    # Classes of sizes, as wide as an eighth of what two texts like the pivot may differ in.
-    width = F.greatest(F.lit(1), F.floor(F.col("np") * c / 8)).alias("w")
-    cells = [F.floor(F.col(v) / F.greatest(F.lit(1), F.floor(F.col("np") * c / 8))).alias(f"c{v[1]}") for v in ("na", "nr")]
-    s_cells = far.select("pivot", "np", width, *cells).distinct().select("pivot", "np", "w", F.struct("ca", "cr").alias("sc"))
-    b_cells = known.select("pivot", *cells).distinct().select("pivot", F.struct("ca", "cr").alias("bc"))
-    w = F.col("w")
-    low = sum(F.col(f"{z}.{v}") for z in ("sc", "bc") for v in ("ca", "cr")) * w
-    n_top = 2 * F.col("np") + (F.col("sc.ca") + F.col("bc.ca") + 2) * w - (F.col("sc.cr") + F.col("bc.cr")) * w
-    loose = s_cells.join(b_cells, "pivot").where((low - F.floor(c * n_top + 1e-9)) / 2 - (F.least("sc.cr", "bc.cr") + 1) * w <= 0)
-    s_in = far.select("pivot", size.alias("s"), F.struct(*cells).alias("sc"))
-    b_in = known.select("pivot", size.alias("b"), F.struct(*cells).alias("bc"))
+    s_in = marked.where("far").select("pivot", F.col("x").alias("s"), F.col("cell").alias("sc"))
+    b_in = marked.select("pivot", F.col("x").alias("b"), F.col("cell").alias("bc"))
     by_class = loose.select("pivot", "sc", "bc").join(s_in, ["pivot", "sc"]).join(b_in, ["pivot", "bc"]).where(others & (need("s", "b") < 1))
     return direct.unionByName(similar).unionByName(by_token).unionByName(by_class.select(F.col("s.node").alias("a"), F.col("b.node").alias("b")))
 
