@@ -62,7 +62,7 @@ def ring_quantile(samples: DataFrame, by: list[str], order: list[str], value: st
 
 
 def hedge_delay(quantile: Column, bounds: tuple[float, float] = DELAY_MS) -> Column:
-    return F.least(F.greatest(quantile, F.lit(bounds[0])), F.lit(bounds[1]))
+    return F.when(quantile.isNotNull(), F.least(F.greatest(quantile, F.lit(bounds[0])), F.lit(bounds[1])))
 
 
 def hedge_limiter(fetches: DataFrame, by: list[str], order: list[str], eligible: str, ratio: float = RATIO) -> DataFrame:

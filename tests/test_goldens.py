@@ -1,0 +1,126 @@
+"""Published vectors, and properties that hold for every input."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ringwise.functions import identity as I
+from ringwise.functions import u64
+from ringwise.functions.grid import Grid
+from ringwise.operators import placement as P
+from ringwise.operators import tree as T
+
+DIGEST = "sha256:" + "ab" * 32
+
+
+def test_node_hash(spark):
+    want = [(0, "node-a", 16511540948091628860), (1, "node-a", 16141481610525751987), (0, "node-b", 16852417870494220010), (0xDEADBEEFCAFEBABE, "node-0", 15394106576409441172), (42, "kube-node-01", 16063926426682601568)]
+    df = spark.createDataFrame([(u64.signed(k), n) for k, n, _ in want], "k bigint, n string")
+    got = df.select(u64.as_unsigned(u64.node_hash(F.col("k"), F.col("n"))).alias("h")).collect()
+    assert [int(r.h) for r in got] == [w for *_, w in want]
+
+
+def test_chunk_key(spark):
+    got = spark.range(1).select(u64.as_unsigned(u64.chunk_key("ns2", F.lit(DIGEST), F.lit(0))).alias("h"), u64.chunk_key("ns2", F.lit(None).cast("string"), F.lit(0)).alias("n")).first()
+    assert int(got.h) == 7473071683502782500 and got.n is None
+
+
+def test_mix_matches_numpy(spark):
+    r = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    df = spark.createDataFrame([(int(x),) for x in r], "z bigint").select(u64.fmix64(F.col("z")).alias("m"), u64.mul(F.col("z"), u64.GOLDEN).alias("p")).collect()
+    assert [x.m for x in df] == list(u64.np_fmix64(r.view(np.uint64)).view(np.int64))
+    assert [x.p for x in df] == list((r.view(np.uint64) * np.uint64(u64.GOLDEN)).view(np.int64))
+
+
+@pytest.mark.parametrize(
+    ("key", "order"), [(0xDEADBEEFCAFEBABE, "wn-4 wn-3 wn-2 wn-1"), (42, "wn-1 wn-3 wn-4 wn-2"), (7, "wn-4 wn-2 wn-1 wn-3"), (1024, "wn-2 wn-3 wn-4 wn-1")]
+)
+def test_weighted_rank(spark, key, order):
+    nodes = spark.createDataFrame([("wn-1", 1.0), ("wn-2", 1.0), ("wn-3", 2.0), ("wn-4", 4.0)], "node_id string, weight double")
+    keys = spark.createDataFrame([(u64.signed(key),)], "key bigint")
+    assert [r.node_id for r in P.rank_nodes(keys, nodes).orderBy("rank").collect()] == order.split()
+
+
+def test_equal_rank_and_top(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"node-{i:02}", 1.0) for i in range(10)], "node_id string, weight double")
+    keys = spark.createDataFrame([(u64.signed(0xDEADBEEFCAFEBABE),)], "key bigint")
+    want = [f"node-{i}" for i in "03 04 05 07 08 00 09 06 01 02".split()]
+    assert [r.node_id for r in P.rank_nodes(keys, nodes).orderBy("rank").collect()] == want
+    assert [r.node_id for r in P.rank_nodes(keys, nodes, 4).orderBy("rank").collect()] == want[:4]
+    assert P.rank_nodes(keys, nodes, 0).count() == 0
+    monkeypatch.setattr(P, "NODE_BLOCK", 3)  # several blocks are merged
+    assert [r.node_id for r in P.rank_nodes(keys, nodes, 5).orderBy("rank").collect()] == want[:5]
+
+
+def test_balance_and_disruption(spark):
+    nodes = spark.createDataFrame([(f"n{i}", 1.0 + (i % 2)) for i in range(10)], "node_id string, weight double")
+    keys = spark.range(100_000).withColumnRenamed("id", "key")
+    share = {r.owner: r.n_keys for r in P.owner_share(keys, nodes).collect()}
+    for node, n in share.items():
+        assert abs(n - 100_000 * (1 + int(node[1:]) % 2) / 15) < 0.08 * 100_000 / 15 * 2
+    m = P.moved(keys, nodes.where("node_id != 'n9'"), nodes).first()
+    assert abs(m.n_moved / m.n_keys - 2 / 15) < 0.15 * 2 / 15
+
+
+def test_segments_tile_every_range(spark):
+    grid = Grid(16, 4)
+    df = spark.range(41).select(F.col("id").alias("s")).crossJoin(spark.range(41).select(F.col("id").alias("e")))
+    rows = df.select("s", "e", grid.segments(F.col("s"), F.col("e")).alias("x")).collect()
+    for r in rows:
+        if r.e < r.s:
+            assert r.x is None
+            continue
+        assert [b for p in r.x for b in range(p["from"], p["to"] + 1)] == list(range(r.s, r.e + 1))
+        assert all(p["block"] == p["from"] // 4 and p["chunk"] == p["from"] // 16 for p in r.x)
+    for block, most in ((1, 9223372036854775807), (3, 3074457345618258601), (16, 576460752303423487), (4096, 2251799813685247)):
+        assert Grid(block, block).max_block == most
+    with pytest.raises(ValueError):
+        Grid(10, 4)
+
+
+def test_tree_shapes(spark):
+    cases = {(8, 2, 1): ([-1, 0, 1, 2, 2, 1, 5, 5], [0, 1, 2, 3, 3, 2, 3, 3])}
+    for (n, k, r), (parents, depths) in cases.items():
+        df = spark.range(n).select(F.col("id").alias("pos"), F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(r).alias("root_k"))
+        got = T.with_parents(df).orderBy("pos").collect()
+        assert [x.parent for x in got] == parents and [x.depth for x in got] == depths
+    shapes = spark.createDataFrame([(n, k, r) for n in (1, 2, 5, 17, 40) for k in (1, 2, 3, 8) for r in (1, 2, 9)], "n bigint, k bigint, root_k bigint")
+    df = T.with_parents(shapes.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("pos")))
+    rows = df.collect()
+    fan: dict = {}
+    for x in rows:
+        assert x.parent < x.pos and (x.depth == 0) == (x.pos == 0)
+        if x.pos:
+            fan.setdefault((x.n, x.k, x.root_k, x.parent), []).append(x.pos)
+    for (_, k, r, parent), kids in fan.items():
+        assert len(kids) <= (r if parent == 0 else k)
+    up = T.ancestors(df, ["n", "k", "root_k"]).where("hop = 1").collect()
+    assert {(x.n, x.k, x.root_k, x.pos): x.ancestor for x in up} == {(x.n, x.k, x.root_k, x.pos): x.parent for x in rows if x.pos}
+
+
+def test_range_headers(spark):
+    want = {
+        "": (0, 99, False, True), "bytes=0-9": (0, 9, True, True), "bytes=20-45": (20, 45, True, True), "bytes=50-": (50, 99, True, True), "bytes=-10": (90, 99, True, True), "bytes=90-999": (90, 99, True, True),
+        "bytes=200-300": (0, 0, True, False), "bytes=10-5": (0, 0, True, False), "bytes=0-1,5-6": (0, 0, False, False), "bytes=-999": (0, 99, True, True), "items=0-1": (0, 0, False, False), "bytes=a-b": (0, 0, True, False),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string").select("h", I.parse_range(F.col("h"), F.lit(100)).alias("r"))
+    assert {x.h: tuple(x.r) for x in df.collect()} == want
+
+
+def test_object_ids(spark):
+    hx = "cd" * 32
+    want = {
+        f"https://a.example/x/{DIGEST.upper().replace('SHA256', 'sha256')}?sig=1": (DIGEST, True), f"https://b.example/y/sha256%3A{'ab' * 32}": (DIGEST, True),
+        f"https://c.example/blobs/SHA256/cd/{hx}": ("sha256:" + hx, True), f"https://c.example/blobs/sha256/ce/{hx}": (f"https://c.example/blobs/sha256/ce/{hx}", False),
+        "HTTPS://u:p@Host.Example:80/A%20b?q#f": ("https://host.example:80/A%20b", False), "plain/path?x": ("plain/path", False), f"https://a.example/SHA256:{'ab' * 32}": (f"https://a.example/SHA256:{'ab' * 32}", False),
+    }
+    df = spark.createDataFrame([(u,) for u in want], "u string").select("u", I.object_id(F.col("u")).alias("o"))
+    assert {x.u: tuple(x.o) for x in df.collect()} == want
+
+
+def test_sizes(spark):
+    want = {"4096": 4096, "1.5GiB": 1610612736, "10 MB": 10_000_000, "2k": 2000, "": None, "-1": None, "x": None, "1XB": None, "9e9": None, "0.5": 0, "5000000000 TiB": None}
+    df = spark.createDataFrame([(s,) for s in want], "s string").select("s", I.parse_byte_size(F.col("s")).alias("b"))
+    assert {x.s: x.b for x in df.collect()} == want
