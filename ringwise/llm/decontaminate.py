@@ -50,9 +50,9 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def rarest_terms(items: DataFrame, counts: DataFrame, size: int, anchors: int) -> DataFrame:
-    """``(uid, start, need, q)``: for each window of an item, the offsets q of its rarest terms.
+    """``(uid, start, need, bit, q)``: for each window of an item, the offsets q of its rarest terms.
 
-    ``need``: how many there are; a window of fewer than ``anchors`` different words has fewer. A
+    Each has a bit of its own and ``need`` has all of them; a window of fewer than ``anchors`` different words has fewer. A
     window with a term that no document holds is left out, as it can't occur.
     """
     slots = items.select("uid", F.size("terms").alias("n"), F.posexplode("terms").alias("q", "term"))
@@ -66,7 +66,8 @@ def rarest_terms(items: DataFrame, counts: DataFrame, size: int, anchors: int) -
         F.sort_array(F.collect_list(F.struct("df", "term", "q"))).alias("by_rarity")  # at most `size` words
     )
     possible = ranked.where(F.col("by_rarity")[0]["df"] > 0).withColumn("by_rarity", F.slice("by_rarity", 1, anchors))
-    return possible.select("uid", "start", F.size("by_rarity").alias("need"), F.explode("by_rarity.q").alias("q"))
+    each = possible.select("uid", "start", F.expr("shiftleft(1, size(by_rarity)) - 1").alias("need"), F.posexplode("by_rarity.q").alias("j", "q"))
+    return each.select("uid", "start", "need", F.expr("shiftleft(1, j)").alias("bit"), "q")
 
 
 def alignments(index: DataFrame, items: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def alignments(index: DataFrame, items: DataFrame, chosen: DataFrame) -> DataFra
     needed = chosen.select("uid", "q").distinct().join(slots, ["uid", "q"])
     met = index.join(bounded(needed, 80), "term").select("_id", "_h", "uid", (F.col("pos") - F.col("q")).alias("shift"), "q")
     per_window = met.join(bounded(chosen, 40), ["uid", "q"])
-    full = per_window.groupBy("_id", "_h", "uid", "shift", "start").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k = need")
+    full = per_window.groupBy("_id", "_h", "uid", "shift", "start").agg(F.bit_or("bit").alias("k"), F.first("need").alias("need")).where("k = need")
     return full.select("_id", "_h", "uid", "shift").distinct()
 
 
@@ -121,10 +122,10 @@ def find_near(docs: DataFrame, queries: DataFrame, slop: int = 20, id_col: str =
     lead = materialise(rated.groupBy("uid", "item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n_terms")), "lead-terms")
     index = postings(texts).join(bounded(terms.select("term").distinct(), 64), "term", "left_semi")
     starts = index.join(bounded(lead, 80), "term").select("_id", "_h", "uid", "item_id", "n_terms", F.col("pos").alias("start"))
-    around = index.join(bounded(terms.select("uid", "term"), 80), "term").withColumn("cell", F.explode(F.array(*[F.floor(F.col("pos") / (slop + 1)) + d for d in (-1, 0, 1)])))
+    around = index.join(bounded(terms.select("uid", "term"), 80), "term").select(F.col("_id").alias("_id2"), "_h", "uid", "term", "pos", F.explode(F.array(*[F.floor(F.col("pos") / (slop + 1)) + d for d in (-1, 0, 1)])).alias("cell"))
     # Positions are met by cells of slop + 1 words: an equi-join, not a range join.
-    met = starts.withColumn("cell", F.floor(F.col("start") / (slop + 1))).join(around, ["_h", "uid", "cell"]).where(starts["_id"].eqNullSafe(around["_id"]) & (F.abs(F.col("pos") - F.col("start")) <= slop))
-    hits = met.groupBy(starts["_id"], "_h", "uid", "item_id", "n_terms", "start").agg(F.count_distinct("term").alias("k")).where("k = n_terms")
+    met = starts.withColumn("cell", F.floor(F.col("start") / (slop + 1))).join(around, ["_h", "uid", "cell"]).where(F.col("_id").eqNullSafe(F.col("_id2")) & (F.abs(F.col("pos") - F.col("start")) <= slop))
+    hits = met.groupBy("_id", "_h", "uid", "item_id", "n_terms", "start").agg(F.count_distinct("term").alias("k")).where("k = n_terms")
     return hits.select(F.col("_id").alias(id_col), "item_id", "start")
 
 

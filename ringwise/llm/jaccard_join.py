@@ -256,7 +256,6 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     # Texts of nodes that meet another one, fetched once.
     meeting = members.select("node").distinct().join(classes.select("node", "_set"), "node")
     texts = materialise(_texts_of(plain, rows, meeting), "texts")
-    links = spark.createDataFrame([], "a bigint, b bigint")
     tried = spark.createDataFrame([], "a bigint, b bigint, inter bigint, total bigint")
     label = None
     first = members.where("node != first").groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("k"))
@@ -272,8 +271,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = materialise(verified(pairs, texts, k), "verified")
         tried = tried.unionByName(done)
-        links = links.unionByName(done.where(den * F.col("inter") >= num * F.col("total")).select("a", "b"))
-        label = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = done.where(den * F.col("inter") >= num * F.col("total")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if label is None:
+            label = connected_components(found)
+        elif not found.isEmpty():  # components so far are stars; new links join them
+            label = connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = materialise(named.join(least, "component").select("_set", "component_id"), "labels")

@@ -28,7 +28,7 @@ FAMILIES = {
 #: Buckets for n-grams.
 WIDTH = 4096
 #: At most so many labelled rows a language are learned from, those first by a hash of the id.
-PER_LANGUAGE = 400
+PER_LANGUAGE = 300
 #: At most so many languages, the most frequent ones.
 MAX_LANGUAGES = 64
 
@@ -74,16 +74,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 80) -> t
     scale turns a margin into a probability by the logistic function, fitted on the same rows.
     """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = v = np.zeros(xb.shape[1], np.float32)
-    rate = 1 / (1 / c + 2 * 2.0)  # rows have norm sqrt(2)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
+    rate = 1 / (1 / c + 2 * 2.0)  # rows with the bias have norm sqrt(2)
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (xb @ v))
-        grad = v / c - 2 * xb.T @ (weight * y * slack)
-        new = v - rate * grad
+        push = weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - rate * (v / c - 2 * np.append(push @ x, push.sum()).astype(np.float32))
         v = new + (t / (t + 3)) * (new - w)
         w = new
-    m = y * (xb @ w)
+    m = y * (x @ w[:-1] + w[-1])
     scales = np.linspace(0.5, 12, 47)
     loss = [(weight * np.logaddexp(0, -s * m)).sum() for s in scales]
     return w[:-1], float(w[-1]), float(scales[int(np.argmin(loss))])
@@ -126,7 +124,7 @@ def train(rows: list[tuple[str, np.ndarray]], families: dict[str, list[str]] | N
     """A model from (language, vector) pairs; None without any."""
     if not rows:
         return None
-    langs, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
+    langs, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows]).astype(np.float32)
     known: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         known.setdefault(family_of(lang, families), []).append(str(lang))
@@ -163,7 +161,8 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languag
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(lang, v) for lang, t in zip(b["_lang"], b["_text"], strict=True) if (v := features(t)) is not None]
-            yield pd.DataFrame({"lang": [f[0] for f in found], "v": [f[1].tobytes() for f in found]})
+            if found:
+                yield pd.DataFrame({"lang": [f[0] for f in found], "v": [f[1].astype(np.float16).tobytes() for f in found]})
 
     rank = F.xxhash64(F.col("_id"), F.lit(17))
     for lang in sorted(langs):
@@ -172,7 +171,7 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languag
         own = labelled.where((F.col("_lang") == lang) & (rank <= F.lit(edge))).select("_lang", "_text")
         rows = own.mapInPandas(vectors, "lang string, v binary").limit(2 * per_language).collect()
         out += sorted((r["lang"], bytes(r["v"])) for r in rows)[: 2 * per_language]
-    return [(lang, np.frombuffer(v, np.float32)) for lang, v in out]
+    return [(lang, np.frombuffer(v, np.float16)) for lang, v in out]
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
