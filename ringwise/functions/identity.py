@@ -225,3 +225,13 @@ def escape_help(s: Column) -> Column:
 def request_outcome(caller_gone: Column, error: Column) -> Column:
     """"neutral", "answered", "hard_fail" or "soft_fail"; ``error`` is null, "refused", "dial" or anything else."""
     return F.when(caller_gone, "neutral").when(error.isNull() | (error == "refused"), "answered").when(error == "dial", "hard_fail").otherwise("soft_fail")
+
+
+def coalescing_key(url: Column, start: Column, end: Column) -> Column:
+    """Calls with the same key share one transfer: content identity and range."""
+    return F.concat(object_id(url)["id"], F.lit("\0"), start.cast("string"), F.lit(":"), end.cast("string"))
+
+
+def read_bounded(length: Column, capacity: Column) -> Column:
+    """Struct ``(ok, taken)``: a body fits its buffer, or has a byte too many."""
+    return F.struct((length <= capacity).alias("ok"), F.least(length, capacity).alias("taken"))

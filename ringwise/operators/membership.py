@@ -116,19 +116,25 @@ def as_of(events: DataFrame, versions: DataFrame, ts: str = "ts", valid_from: st
     return out.select(*events.columns, *[F.col(f"_use._{p}").alias(p) for p in payload])
 
 
+def _with_start(rows: DataFrame) -> DataFrame:
+    """Rows in id order behind one without an id, so that a fold over none still starts."""
+    start = rows.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return rows.where("id is not null").unionByName(start).repartition(1).sortWithinPartitions("id")
+
+
 def epoch(members: DataFrame, domain: bytes) -> DataFrame:
     """One row ``(epoch)``: the 64-bit fold of the canonical members in id order.
 
     ``domain`` is the deployment's label, folded first. Per member: id, unit separator, big-endian bits of
     the weight, role byte, record separator. A membership table is small, and the fold is ordered.
     """
-    rows = members.select("id", "weight", "role").repartition(1).sortWithinPartitions("id")
+    rows = _with_start(members.select("id", "weight", "role"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = np.full(1, u64.FNV_OFFSET, np.uint64)
         h = u64.np_fnv(h, [domain])
         for b in batches:
-            for i, w, r in zip(b["id"], b["weight"], b["role"], strict=True):
+            for i, w, r in (x for x in zip(b["id"], b["weight"], b["role"], strict=True) if x[0] is not None):
                 h = u64.np_fnv(h, [i.encode() + b"\x1f" + struct.pack(">d", w) + bytes([int(r)]) + b"\x1e"])
         yield pd.DataFrame({"epoch": u64.np_fmix64(h).view(np.int64)})
 
@@ -137,12 +143,12 @@ def epoch(members: DataFrame, domain: bytes) -> DataFrame:
 
 def roster_digest(members: DataFrame, domain: bytes) -> DataFrame:
     """One row ``(digest)``: "v1-" and the SHA-256 of the members with an address, in id order, each field behind its length."""
-    rows = members.where("addr is not null and addr != ''").select("id", "addr", "weight", "role").repartition(1).sortWithinPartitions("id")
+    rows = _with_start(members.where("addr is not null and addr != ''").select("id", "addr", "weight", "role"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = hashlib.sha256(domain)
         for b in batches:
-            for i, a, w, r in zip(b["id"], b["addr"], b["weight"], b["role"], strict=True):
+            for i, a, w, r in (x for x in zip(b["id"], b["addr"], b["weight"], b["role"], strict=True) if x[0] is not None):
                 for s in (i.encode(), a.encode()):
                     h.update(struct.pack(">Q", len(s)) + s)
                 h.update(struct.pack(">d", w) + bytes([int(r)]))
@@ -159,3 +165,17 @@ def endpoint_addresses(slices: DataFrame) -> DataFrame:
     e = slices.where("port is not null").select("port", F.explode("endpoints").alias("e"))
     good = e.where(F.coalesce("e.ready", F.lit(True)) & (F.size("e.addresses") > 0))
     return good.select(F.concat_ws(":", F.col("e.addresses")[0], F.col("port").cast("string")).alias("addr")).distinct().orderBy("addr")
+
+
+def reader_snapshots(responses: DataFrame) -> DataFrame:
+    """``(object, tracker, epoch, readers)``: of ``responses(object, tracker, started, epoch, readers)`` the one that started last.
+
+    A response that was asked for earlier can't replace a later one, however late it comes in.
+    """
+    last = F.struct("started", "epoch")
+    return responses.groupBy("object", "tracker").agg(F.max_by("epoch", last).alias("epoch"), F.max_by("readers", last).alias("readers"))
+
+
+def same_readers(a: Column, b: Column) -> Column:
+    """Whether two reader sets are equal; both are sorted arrays."""
+    return F.sort_array(a) == F.sort_array(b)

@@ -314,14 +314,23 @@ select l_orderkey, l_linenumber, {Q.signed('h')} as key_hash from (select l_orde
   {Q.fmix('xor(l_partkey::UBIGINT, ' + Q.mul('l_suppkey', 0x9E3779B97F4A7C15) + ')')} as h from lineitem)
 """
 
+def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys under which requests share a transfer, and whether a body fits a buffer of 2000 bytes."""
+    p = _pages(spark, sf_dir).where("page_id % 3 != 1")
+    b = I.read_bounded(F.length("html").cast("bigint"), F.lit(2000).cast("bigint"))
+    return p.select("page_id", F.replace(I.coalescing_key(F.col("u"), F.lit(0), F.lit(1023)), F.lit("\0"), F.lit("|")).alias("key"), b["ok"].alias("fits"), b["taken"].alias("taken"))
+
+
+REQUEST_KEYS = f"with o as ({OBJECT}) select page_id, object_id || '|0:1023' as key, length(html) <= 2000 as fits, least(length(html), 2000) as taken from o join pages using (page_id) where page_id % 3 <> 1"
+
 QUERIES = {
-    "segments_explode": segments_explode, "block_index_math": block_index_math, "tail_block_len": tail_block_len, "serve_clamp": serve_clamp, "fetch_block_window": fetch_block_window, "block_slices": block_slices,
+    "request_keys": request_keys, "segments_explode": segments_explode, "block_index_math": block_index_math, "tail_block_len": tail_block_len, "serve_clamp": serve_clamp, "fetch_block_window": fetch_block_window, "block_slices": block_slices,
     "relay_gate": relay_gate, "range_header_parse": range_header_parse, "content_range_validate": content_range_validate, "ignored_range": ignored_range, "object_identity": object_identity, "digest_layout": digest_layout,
     "origin_key": origin_key, "redact_url": redact_url, "byte_size_parse": byte_size_parse, "registry_paths": registry_paths, "challenge_parse": challenge_parse, "block_paths": block_paths, "peers_parse": peers_parse,
     "names_checked": names_checked, "chunk_keys": chunk_keys, "relay_key_check": relay_key_check, "cache_key_hash": cache_key_hash,
 }
 ORACLE_SQL = {
-    "segments_explode": SEGMENTS, "block_index_math": BLOCK_MATH, "tail_block_len": TAIL, "serve_clamp": CLAMP, "fetch_block_window": WINDOW, "block_slices": SLICES,
+    "request_keys": REQUEST_KEYS, "segments_explode": SEGMENTS, "block_index_math": BLOCK_MATH, "tail_block_len": TAIL, "serve_clamp": CLAMP, "fetch_block_window": WINDOW, "block_slices": SLICES,
     "relay_gate": RELAY, "range_header_parse": RANGE, "content_range_validate": CONTENT, "ignored_range": IGNORED, "object_identity": OBJECT, "digest_layout": LAYOUT,
     "origin_key": ORIGIN, "redact_url": REDACT, "byte_size_parse": SIZES, "registry_paths": REGISTRY, "challenge_parse": CHALLENGE, "block_paths": BLOCK_PATHS, "peers_parse": PEERS,
     "names_checked": NAMES, "chunk_keys": CHUNK_KEYS, "relay_key_check": RELAY_KEY, "cache_key_hash": KEY_HASH,

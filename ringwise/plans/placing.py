@@ -295,14 +295,22 @@ def epoch_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.epoch(v, b"roles-v1\0").crossJoin(M.roster_digest(v, b"roster-v1\0"))
 
 
+def reader_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reader sets of a file as its tracker last told, by the start of the calls."""
+    e = access_log(spark, sf_dir).select(F.col("file").alias("object"), (F.col("node") % 7).alias("tracker"), ((F.col("event_id") * 7919) % 10007).alias("started"), F.col("event_id").alias("epoch"), F.array(F.col("node").cast("string")).alias("readers"))
+    return M.reader_snapshots(e).select("object", "tracker", "epoch", F.array_join("readers", ",").alias("readers"))
+
+
+SNAPSHOTS = f"select file as object, node % 7 as tracker, max_by(event_id, ((event_id * 7919) % 10007, event_id)) as epoch, max_by(node::VARCHAR, ((event_id * 7919) % 10007, event_id)) as readers from ({LOG_SQL}) group by all"
+
 QUERIES = {
-    "ring_topn": ring_topn, "owner_share": owner_share, "weighted_share": weighted_share, "rebalance_moved": rebalance_moved, "owned_or_borrowed": owned_or_borrowed, "ring_report": ring_report, "root_walk": root_walk,
+    "reader_snapshots": reader_snapshots, "ring_topn": ring_topn, "owner_share": owner_share, "weighted_share": weighted_share, "rebalance_moved": rebalance_moved, "owned_or_borrowed": owned_or_borrowed, "ring_report": ring_report, "root_walk": root_walk,
     "tracker_owner": tracker_owner, "tree_parent_depth": tree_parent_depth, "tree_children": tree_children, "child_segments": child_segments, "tree_nodes": tree_nodes, "hedge_targets": hedge_targets,
     "view_canonical": view_canonical, "view_roles": view_roles, "membership_expire": membership_expire, "refresh_targets": refresh_targets, "reader_semi": reader_semi, "roster_anti": roster_anti, "roster_select": roster_select,
     "roster_decode": roster_decode, "asof_view": asof_view, "endpoints": endpoints, "epoch_value": epoch_value,
 }
 ORACLE_SQL = {
-    "ring_topn": RING, "owner_share": OWNER, "weighted_share": WEIGHTED, "rebalance_moved": MOVED, "owned_or_borrowed": OWNED, "ring_report": REPORT, "root_walk": WALK,
+    "reader_snapshots": SNAPSHOTS, "ring_topn": RING, "owner_share": OWNER, "weighted_share": WEIGHTED, "rebalance_moved": MOVED, "owned_or_borrowed": OWNED, "ring_report": REPORT, "root_walk": WALK,
     "tracker_owner": TRACKER, "tree_parent_depth": PARENTS, "tree_children": CHILDREN, "child_segments": DEAL, "tree_nodes": NODES, "hedge_targets": HEDGE,
     "view_canonical": CANONICAL, "view_roles": ROLES, "membership_expire": EXPIRE, "refresh_targets": TARGETS, "reader_semi": READERS, "roster_anti": ANTI, "roster_select": SELECT,
     "roster_decode": DECODE, "asof_view": ASOF, "endpoints": ENDPOINTS,
