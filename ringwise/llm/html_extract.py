@@ -39,7 +39,7 @@ BOILERPLATE_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner sidebar side menu nav navbar navigation navi "
     "breadcrumb breadcrumbs pagination pager footer foot header masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr "
     "notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "widget widgets toolbar copyright skip".split()
+    "widget widgets toolbar copyright skip alert alerts announcement disclaimer paywall teaser teasers".split()
 )
 CONTENT = {"article", "main"}
 PROSE = set("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt figcaption td th".split())
@@ -54,11 +54,15 @@ def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     """Whether an element is something other than content by its tag, role, class, id or invisibility."""
     if tag in BOILERPLATE or (tag == "header" and not in_content):
         return True
-    if not attributes or tag in ("html", "body") or tag in CONTENT:
+    if not attributes or tag in ("html", "body"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id"):
+        if tag in CONTENT and name in ("class", "id"):
+            # An article is something else only if a whole name says so, as with a reader's comment.
+            if set(value.lower().split()) & BOILERPLATE_NAMES:
+                return True
+        elif name in ("class", "id"):
             words = {w.lower() for w in WORD.findall(value)}
             if words & BOILERPLATE_NAMES and not (in_content and words & {"header"} and not words & (BOILERPLATE_NAMES - {"header"})):
                 return True

@@ -117,6 +117,11 @@ def threshold(scored: DataFrame) -> float:
     return (ma * sr + mr * sa) / (sa + sr) if sa + sr > 0 else (ma + mr) / 2
 
 
+def is_kept_out(url: Column) -> Column:
+    """A fifth of the urls, by a hash: these calibrate and aren't counted."""
+    return F.conv(F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 7), 16, 10).cast("bigint") % 5 == 0
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: ``page_id, host, path, rule, verdict, score``.
 
@@ -128,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: in
     urls = pick(pages, _id=id_col, _url=url_col).withColumn("_row", F.monotonically_increasing_id())
     urls = materialise(with_rule(urls.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url"))), rules), "urls")
     labelled = urls.where("ruled is not null")
-    kept_out = F.pmod(F.xxhash64(F.coalesce("_url", F.lit(""))), F.lit(5)) == 0
+    kept_out = is_kept_out(F.col("_url"))
     counts, contexts = model_counts(labelled.where(~kept_out), order)
     distinct = urls.select(F.explode(grams(F.col("_url"), order)).alias("g")).distinct()
     ratios = materialise(gram_ratios(distinct, counts, contexts, order), "ratios")
@@ -140,4 +145,37 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: in
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+def _chance(n: str, total: str, kinds: str) -> str:
+    """Interpolated probability as nested SQL over the joined orders."""
+    p = f"(1.0::DOUBLE / {ALPHABET})"
+    for k in range(ORDER + 1):
+        p = f"(case when c{k}.{total} > 0 then (coalesce(s{k}.{n}, 0) + c{k}.{kinds} * {p}) / (c{k}.{total} + c{k}.{kinds}) else {p} end)"
+    return p
+
+
+def _rules_sql() -> str:
+    fits = [f"case when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then {{'n': {len(h + p)}, 'rule': '{h + p}', 'verdict': '{v}'}} end" for v, h, p in RULES]
+    return f"list_sort(list_filter([{', '.join(fits)}], lambda x: x is not null), 'DESC')[1]"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP9_SQL = f"""
+with u as (
+  select page_id, coalesce(url, '') as url, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+r as (select *, {_rules_sql()} as best, ('0x' || substr(md5(url), 1, 7))::BIGINT % 5 = 0 as kept_out, repeat(chr(1), {ORDER}) || {_LOWER.format('url')} || chr(2) as p from u),
+g as (select page_id, best.verdict as ruled, kept_out, substr(p, i, {ORDER + 1}) as g from (select *, unnest(range(1, length(p) - {ORDER} + 1)) as i from r)),
+t as (select g, count_if(ruled = 'allow') as a, count_if(ruled = 'block') as r from g where ruled is not null and not kept_out group by g),
+s as (select s, sum(a)::DOUBLE as a, sum(r)::DOUBLE as r from (select right(g, k + 1) as s, a, r from t, range({ORDER + 1}) x(k)) group by s),
+c as (select substr(s, 1, length(s) - 1) as ctx, sum(a) as an, count_if(a > 0) as at, sum(r) as rn, count_if(r > 0) as rt from s group by 1),
+d as (select distinct g from g),
+l as (select d.g, ln({_chance('a', 'an', 'at')}) - ln({_chance('r', 'rn', 'rt')}) as llr from d
+  {' '.join(f"left join s s{k} on s{k}.s = right(d.g, {k + 1}) left join c c{k} on c{k}.ctx = substr(d.g, {ORDER + 1 - k}, {k})" for k in range(ORDER + 1))}),
+m as (select page_id, avg(llr) as score from g join l using (g) group by page_id),
+e as (select best.verdict as v, avg(score) as m, stddev_pop(score) as s from r join m using (page_id) where best is not null and kept_out group by 1),
+edge as (select case when count(*) < 2 then 0 when sum(s) > 0 then (max(case when v = 'allow' then m end) * max(case when v = 'block' then s end) + max(case when v = 'block' then m end) * max(case when v = 'allow' then s end)) / sum(s) else avg(m) end as edge from e)
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, case when score >= edge then 'allow' else 'block' end) as verdict from r join m using (page_id), edge
+"""

@@ -23,6 +23,11 @@ def test_extract_page_without_article():
     assert H.extract(PAGE) == "Ti&tle\nSome long text here, with words. And more.\nSecond para graph, here; ok.\none, two\nthree"
 
 
+def test_comments_marked_as_articles_are_left_out():
+    page = "<main class='post with-comments'><p>The text, all of it.</p></main><section id=comments><article><p>Well said, friend.</p></article></section><article class='comment'><p>No.</p></article>"
+    assert H.extract(page) == "The text, all of it."
+
+
 def test_extract_matches_articles(spark):
     for r in H.op1_html_extract(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub("<br>", " ", re.search("<article>(.*?)</article>", r.html, re.S)[1])
