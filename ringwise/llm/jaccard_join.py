@@ -158,7 +158,7 @@ def signatures(hashes: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.
 
 
 def set_rows(docs: DataFrame, k: int, num: int, den: int, slack: float) -> DataFrame:
-    """``(_id, _n, _set, _sigs, _row)`` for each row: set size, digest of the set, index entries, row number."""
+    """``(_id, _h, _n, _set, _sigs, _row)`` for each row: hash of the text, set size, digest of the set, index entries, row number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, bands = ShingleHasher(k), Bands(num, den, slack)
@@ -171,9 +171,9 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int, slack: float) -> DataF
                 band = bands.of(len(h))
                 s = [signatures(h, x, bands.plan(x, len(h))) for x in (band, band + 1)] if len(h) else []
                 sigs.append(np.concatenate(s).view(np.int64) if s else np.empty(0, np.int64))
-            yield pd.DataFrame({"_id": b["_id"].astype("Int64"), "_n": n, "_set": digest, "_sigs": sigs})
+            yield pd.DataFrame({"_id": b["_id"].astype("Int64"), "_h": b["_h"], "_n": n, "_set": digest, "_sigs": sigs})
 
-    return docs.mapInPandas(run, "_id bigint, _n bigint, _set binary, _sigs array<bigint>").withColumn("_row", F.monotonically_increasing_id())
+    return docs.mapInPandas(run, "_id bigint, _h bigint, _n bigint, _set binary, _sigs array<bigint>").withColumn("_row", F.monotonically_increasing_id())
 
 
 def bucket_members(entries: DataFrame, hot_rows: int) -> DataFrame:
@@ -237,7 +237,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """
     spark = docs.sparkSession
     small_batches(spark)
-    plain = pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("bigint"))
+    plain = pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("bigint")).withColumn("_h", F.xxhash64("_text"))
     rows = materialise(set_rows(plain, k, num, den, slack), "sets")
     # Equal sets are one node, known by the row number of the copy with the smallest id.
     classes = materialise(
@@ -284,11 +284,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
 
 def _texts_of(plain: DataFrame, rows: DataFrame, meeting: DataFrame) -> DataFrame:
-    """``(node, _text)``; a text is found by its id and the digest of its set is checked by no one
-    else: nodes are named by row, rows by id, and equal sets have interchangeable texts."""
-    ids = meeting.join(rows.select(F.col("_row").alias("node"), "_id"), "node").select("node", "_id")
-    found = plain.where("_text is not null").join(bounded(ids, 24), "_id").select("node", "_text")
-    return found
+    """``(node, _text)``: the text of the row that represents each node, found by its id and the hash of its text."""
+    ids = meeting.join(rows.select(F.col("_row").alias("node"), F.col("_id").alias("_i"), F.col("_h").alias("_g")), "node").select("node", "_i", "_g")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
+    return plain.where("_text is not null").join(bounded(ids, 32), same).select("node", "_text")
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:

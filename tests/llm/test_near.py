@@ -78,6 +78,13 @@ def test_odd_rows(spark):
     assert J.jaccard_components(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    base = [f"w{i}" for i in range(100)]
+    edit = lambda i: " ".join([*base[:i], "x", *base[i + 1 :]])
+    rows = [(1, "nothing alike at all here"), (1, " ".join(base)), (7, edit(99)), (None, edit(98)), (7, "one two three four five"), (9, edit(0)), (9, edit(0)), (None, "one two three four five")]
+    assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+
+
 def test_sample_of_documents(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert got(J.jaccard_components(docs)) == brute(rows)
