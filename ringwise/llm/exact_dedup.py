@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, pick, shared_dir, table
+from .common import ascii_lower, bounded, materialise, pick, shared_dir, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Streaming settings for the time of one ingest.
@@ -128,7 +128,7 @@ def _collisions(rows: DataFrame, verdicts: DataFrame, state: DedupState) -> Data
     combines copies before the shuffle, so each task sends a repeated text at most once."""
     text = ascii_lower(F.coalesce("_text", F.lit("")))
     hits = rows.select(digest_of(F.col("_text")).alias("_sha"), text.alias("_bytes")).withColumn("_key", state.key())
-    repeated = verdicts.where("_n > 1").select("_key")
+    repeated = bounded(verdicts.where("_n > 1").select("_key"), 100)
     distinct_texts = hits.join(repeated, "_key", "left_semi").groupBy("_key", "_bytes").agg(F.count(F.lit(1)).alias("_m"))
     return materialise(distinct_texts.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_key"), "collisions")
 
