@@ -84,7 +84,7 @@ def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame, size: int)
     """``(_id, _h, uid, item_id, shift, start, length)``: each window that occurs, exactly."""
     slots = items.select("uid", F.posexplode("terms").alias("q", "term"))
     expected = found.join(bounded(slots, 80), "uid").select("_id", "_h", "uid", "shift", "q", (F.col("shift") + F.col("q")).alias("pos"), "term")
-    holders = found.select("_id", "_h").distinct()
+    holders = bounded(found.select("_id", "_h").distinct(), 40)
     there = postings(docs.join(holders, docs["_id"].eqNullSafe(holders["_id"]) & (docs["_h"] == holders["_h"]), "left_semi"))
     a, b = expected.alias("a"), there.alias("b")
     same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._h") == F.col("b._h")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.term") == F.col("b.term"))
