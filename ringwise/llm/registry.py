@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_warc": warc.OP7_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_jaccard_join": jaccard_join.OP4_SQL,

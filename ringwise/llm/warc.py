@@ -192,3 +192,13 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+b as (select page_id, h, octet_length(encode(h)) as n, min(page_id) over (partition by h) as first,
+  array_to_string(list_transform(string_split(sha1(h), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1)::INTEGER + 1, 4)), '') as bits from p)
+select page_id, n as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_reduce(list_transform(range(1, 6), lambda j: substr(bits, (5 * i + j)::INTEGER, 1)::INTEGER * (32 >> j::INTEGER)), lambda x, y: x + y)]), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, true as digest_ok from b
+"""
