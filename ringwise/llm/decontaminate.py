@@ -167,7 +167,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     own_id, own_text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
     # Ids may repeat with other texts: the number of words tells them apart, and equal rows fare alike.
-    return inner.join(bad, own_id.eqNullSafe(F.col("_id")) & (F.size(words(own_text)) == F.col("n_words")), "left_anti").toDF(*names)
+    return inner.join(bounded(bad, 24), own_id.eqNullSafe(F.col("_id")) & (F.size(words(own_text)) == F.col("n_words")), "left_anti").toDF(*names)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,11 +139,12 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that repeat the same id and text are reduced to one of them.
     """
     verdict = materialise(exact_dedup(docs, id_col, text_col), "dedup-kept")
-    kept = verdict.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    each = verdict.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("stays"))
+    dropped = bounded(materialise(each.where("not stays").select("_id", "_sha"), "dropped"), 100)
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     own_id, own_text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
-    out = inner.join(kept, own_id.eqNullSafe(F.col("_id")) & (digest_of(own_text) == F.col("_sha")), "left_semi")
+    out = inner.join(dropped, own_id.eqNullSafe(F.col("_id")) & (digest_of(own_text) == F.col("_sha")), "left_anti")
     repeats = verdict.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     if not repeats.isEmpty():
         out = out.withColumn("_sha", digest_of(own_text)).dropDuplicates([f"_c{names.index(id_col)}", "_sha"]).drop("_sha")

@@ -45,6 +45,8 @@ M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.ui
 REMEMBERED_WORDS = 200_000
 #: Shingles of texts that were just compared.
 REMEMBERED_SHINGLES = 50_000
+#: 64-bit words of a bitmap of added tokens.
+BIT_WORDS = 16
 #: Members of a bucket whose pairs are listed outright.
 FEW = 8
 
@@ -261,8 +263,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     first = members.where("node != first").groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     for step in range(3):
         if step == 0:  # the first node that shares most buckets
-            best = fitting(first).groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
-            pairs = best
+            pairs = fitting(first.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b")))
         elif step == 1:  # any first or last node that is still apart
             last = members.where("node != last").select(F.col("node").alias("b"), F.col("last").alias("a")).distinct()
             pairs = fitting(_apart(first.select("a", "b").unionByName(last.select("a", "b")).distinct(), label))
@@ -336,7 +337,7 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     cell = F.struct(F.floor(F.col("na") / width).alias("a"), F.floor(F.col("nr") / width).alias("r"))
     marked = known.withColumn("cell", cell).withColumn("far", F.col("component") != F.col("pivot"))
     marked = marked.join(similar.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("close")), ["node", "pivot"], "left").withColumn("far", F.col("far") & F.col("close").isNull()).drop("close")
-    marked = materialise(marked.select("pivot", "far", "cell", "np", width.alias("w"), size.alias("x"), "added"), "marked")
+    marked = materialise(marked.select("pivot", "far", "cell", "np", width.alias("w"), size.alias("x"), "added", "bits", "lost"), "marked")
     s_cells = marked.where("far").select("pivot", "np", "w", F.col("cell").alias("sc")).distinct()
     b_cells = marked.select("pivot", F.col("cell").alias("bc")).distinct()
     w = F.col("w")
@@ -349,17 +350,18 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     of_s = cells.groupBy("pivot", F.col("sc").alias("cell"), F.lit(True).alias("far")).agg(F.min("low").alias("low"))
     of_b = cells.groupBy("pivot", F.col("bc").alias("cell"), F.lit(False).alias("far")).agg(F.min("low").alias("low"))
     bound = marked.join(of_s.unionByName(of_b), ["pivot", "cell", "far"])
-    tokens = bound.select("pivot", "far", "x", (F.col("x.na") - F.greatest(F.lit(1), "low") + 1).alias("prefix"), F.explode("added").alias("token")).where("prefix > 0")
+    tokens = bound.select("pivot", "far", "x", "bits", "lost", (F.col("x.na") - F.greatest(F.lit(1), "low") + 1).alias("prefix"), F.explode("added").alias("token")).where("prefix > 0")
     met = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("f"), F.max("far").alias("wanted")).where("f > 1 and wanted").drop("wanted")
     own = Window.partitionBy("pivot", "x")
     # Tokens that no other node has, or none that is far, come before all that may meet.
     placed = tokens.join(met, ["pivot", "token"]).withColumn("at", F.row_number().over(own.orderBy("f", "token")) + F.col("x.na") - F.count(F.lit(1)).over(own))
     placed = placed.where(F.col("at") <= F.col("prefix"))
-    placed = materialise(placed.select("pivot", "far", "token", "x", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
-    s_side = placed.where("far").select("pivot", "token", F.col("x").alias("s"), F.col("beyond").alias("s_beyond"))
-    b_side = placed.select("pivot", "token", F.col("x").alias("b"), F.col("beyond").alias("b_beyond"), F.col("far").alias("b_far"))
+    placed = materialise(placed.select("pivot", "far", "token", "x", "bits", "lost", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
+    side = lambda z: placed.select("pivot", "token", F.col("x").alias(z), *[F.col(v).alias(f"{z}_{v}") for v in ("far", "bits", "lost", "beyond")])
     once = ~F.col("b_far") | (F.col("s.node") > F.col("b.node"))
-    shared = s_side.join(b_side, ["pivot", "token"]).where(others & once & (need("s", "b") >= 1)).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
+    # At most as many tokens in common as bits, and those that share a bit in the set where fewer do.
+    common = sum(F.bit_count(F.col("s_bits")[i].bitwiseAND(F.col("b_bits")[i])) for i in range(BIT_WORDS)) + F.least("s_lost", "b_lost")
+    shared = side("s").where("s_far").join(side("b"), ["pivot", "token"]).where(others & once & (need("s", "b") >= 1) & (common >= need("s", "b"))).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
     by_token = shared.where(F.col("k") >= need("s", "b")).select(F.col("s.node").alias("a"), F.col("b.node").alias("b"))
     s_in = marked.where("far").select("pivot", F.col("x").alias("s"), F.col("cell").alias("sc"))
     b_in = marked.select("pivot", F.col("x").alias("b"), F.col("cell").alias("bc"))
@@ -368,7 +370,8 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """``(node, component, pivot, n, np, na, nr, added)``: sizes, and the hashes of the tokens a node has beyond its pivot."""
+    """``(node, component, pivot, n, np, na, nr, added, bits, lost)``: sizes, and the hashes of the tokens a node has beyond
+    its pivot; also as a bitmap, and how many of them share a bit with another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, pivots = ShingleHasher(k), {}
@@ -381,24 +384,27 @@ def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     pivots[pivot] = hasher(tp)
                 own, base = hasher(t), pivots[pivot]
                 added = np.setdiff1d(own, base, assume_unique=True)
-                out.append((node, component, pivot, len(own), len(base), len(added), len(base) - len(own) + len(added), added.view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "component", "pivot", "n", "np", "na", "nr", "added"])
+                places = np.unique(added % np.uint64(64 * BIT_WORDS))
+                bits = np.zeros(BIT_WORDS, np.uint64)
+                np.bitwise_or.at(bits, (places // np.uint64(64)).astype(np.int64), np.uint64(1) << (places % np.uint64(64)))
+                out.append((node, component, pivot, len(own), len(base), len(added), len(base) - len(own) + len(added), added.view(np.int64), bits.view(np.int64), len(added) - len(places)))
+            yield pd.DataFrame(out, columns=["node", "component", "pivot", "n", "np", "na", "nr", "added", "bits", "lost"])
 
     t = texts.select("node", F.col("_text").alias("_t"))
     tp = texts.select(F.col("node").alias("pivot"), F.col("_text").alias("_tp"))
-    return pairs.join(t, "node").join(tp, "pivot").mapInPandas(run, "node bigint, component bigint, pivot bigint, n bigint, np bigint, na bigint, nr bigint, added array<bigint>")
+    return pairs.join(t, "node").join(tp, "pivot").mapInPandas(run, "node bigint, component bigint, pivot bigint, n bigint, np bigint, na bigint, nr bigint, added array<bigint>, bits array<bigint>, lost bigint")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component, with all columns: one document of each group.
 
-    Rows without words stay; rows without an id stay only where nothing with an id is linked.
+    Rows without words stay. Of rows that share an id, or have none, all stay if one of them names its component.
     """
     found = materialise(jaccard_components(docs, id_col=id_col, text_col=text_col), "components")
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    named = found.groupBy(F.col(id_col).alias("_id")).agg(F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays"))
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return inner.join(stay, F.col(f"_c{names.index(id_col)}").eqNullSafe(F.col("_id")), "left_semi").toDF(*names)
+    return inner.join(bounded(materialise(named.where("not stays").select("_id"), "dropped"), 16), F.col(f"_c{names.index(id_col)}").eqNullSafe(F.col("_id")), "left_anti").toDF(*names)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
