@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     The cluster names that folder in ``spark.checkpoint.dir``; only where the setting is
     absent, as in local tests, a temporary folder of this machine is used.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("ringwise.shared.dir", "")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("ringwise.shared.dir", "")
     if not base:
         base = tempfile.mkdtemp(prefix="ringwise-")
         spark.conf.set("ringwise.shared.dir", base)
