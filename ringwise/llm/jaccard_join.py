@@ -200,8 +200,8 @@ def bucket_members(entries: DataFrame, hot_rows: int) -> DataFrame:
     return out.where(F.col("first") < F.col("last"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """``(a, b, inter, total)`` of the shingle sets of each pair ``(a, b)``, from the words themselves."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(a, b, inter, total)`` of the shingle sets of each pair ``(a, b)`` whose sizes allow the threshold, from the words themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict = {}
@@ -222,9 +222,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             inter = np.array([i for i, _ in both], np.int64)
             yield pd.DataFrame({"a": x["a"], "b": x["b"], "inter": inter, "total": np.array([t for _, t in both], np.int64) - inter})
 
-    ta = texts.select(F.col("node").alias("a"), F.col("_text").alias("_ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("_text").alias("_tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInPandas(run, "a bigint, b bigint, inter bigint, total bigint")
+    ta = texts.select(F.col("node").alias("a"), F.col("_text").alias("_ta"), F.col("n").alias("na"))
+    tb = texts.select(F.col("node").alias("b"), F.col("_text").alias("_tb"), F.col("n").alias("nb"))
+    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return pairs.select("a", "b").join(ta, "a").join(tb, "b").where(fits).select("a", "_ta", "b", "_tb").mapInPandas(run, "a bigint, b bigint, inter bigint, total bigint")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, slack: float = 0.33, hot_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,29 +249,22 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     copies = materialise(rows.where("_n > 0").select("_row", "_set").join(classes.select("_set", "node"), "_set").where("_row != node").select("_row"), "copies")
     entries = rows.join(bounded(copies, 16), "_row", "left_anti").select(F.explode("_sigs").alias("sig"), F.col("_row").alias("node"))
     members = materialise(bucket_members(entries, hot_rows), "members")
-    sizes = classes.select("node", "n")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the threshold."""
-        both = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return both.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).drop("na", "nb")
-
     # Texts of nodes that meet another one, fetched once.
-    meeting = members.select("node").distinct().join(classes.select("node", "_set"), "node")
+    meeting = members.select("node").distinct().join(classes.select("node", "n"), "node")
     texts = materialise(_texts_of(plain, rows, meeting), "texts")
     tried = spark.createDataFrame([], "a bigint, b bigint, inter bigint, total bigint")
     label = None
     first = members.where("node != first").groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     for step in range(3):
         if step == 0:  # the first node that shares most buckets
-            pairs = fitting(first.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b")))
+            pairs = first.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
         elif step == 1:  # any first or last node that is still apart
             last = members.where("node != last").select(F.col("node").alias("b"), F.col("last").alias("a")).distinct()
-            pairs = fitting(_apart(first.select("a", "b").unionByName(last.select("a", "b")).distinct(), label))
+            pairs = _apart(first.select("a", "b").unionByName(last.select("a", "b")).distinct(), label)
         else:
-            pairs = fitting(_cross(members, label, texts, k, num, den))
+            pairs = _cross(members, label, texts, k, num, den)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = materialise(verified(pairs, texts, k), "verified")
+        done = materialise(verified(pairs, texts, k, num, den), "verified")
         tried = tried.unionByName(done)
         found = done.where(den * F.col("inter") >= num * F.col("total")).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if label is None:
@@ -285,10 +279,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
 
 def _texts_of(plain: DataFrame, rows: DataFrame, meeting: DataFrame) -> DataFrame:
-    """``(node, _text)``: the text of the row that represents each node, found by its id and the hash of its text."""
-    ids = meeting.join(rows.select(F.col("_row").alias("node"), F.col("_id").alias("_i"), F.col("_h").alias("_g")), "node").select("node", "_i", "_g")
+    """``(node, n, _text)``: the text of the row that represents each node, found by its id and the hash of its text."""
+    ids = meeting.join(rows.select(F.col("_row").alias("node"), F.col("_id").alias("_i"), F.col("_h").alias("_g")), "node").select("node", "n", "_i", "_g")
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
-    return plain.where("_text is not null").join(bounded(ids, 32), same).select("node", "_text")
+    return plain.where("_text is not null").join(bounded(ids, 40), same).select("node", "n", "_text")
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
