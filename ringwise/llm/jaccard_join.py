@@ -331,7 +331,7 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     cell = F.struct(F.floor(F.col("na") / width).alias("a"), F.floor(F.col("nr") / width).alias("r"))
     marked = known.withColumn("cell", cell).withColumn("far", F.col("component") != F.col("pivot"))
     marked = marked.join(similar.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("close")), ["node", "pivot"], "left").withColumn("far", F.col("far") & F.col("close").isNull()).drop("close")
-    marked = materialise(marked.select("pivot", "far", "cell", "np", width.alias("w"), size.alias("x"), "added", "bits", "lost"), "marked")
+    marked = materialise(marked.select("pivot", "far", "cell", "np", width.alias("w"), size.alias("x"), "added", "bits", "lost", "gone", "gone_lost"), "marked")
     s_cells = marked.where("far").select("pivot", "np", "w", F.col("cell").alias("sc")).distinct()
     b_cells = marked.select("pivot", F.col("cell").alias("bc")).distinct()
     w = F.col("w")
@@ -344,18 +344,22 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     of_s = cells.groupBy("pivot", F.col("sc").alias("cell"), F.lit(True).alias("far")).agg(F.min("low").alias("low"))
     of_b = cells.groupBy("pivot", F.col("bc").alias("cell"), F.lit(False).alias("far")).agg(F.min("low").alias("low"))
     bound = marked.join(of_s.unionByName(of_b), ["pivot", "cell", "far"])
-    tokens = bound.select("pivot", "far", "x", "bits", "lost", (F.col("x.na") - F.greatest(F.lit(1), "low") + 1).alias("prefix"), F.explode("added").alias("token")).where("prefix > 0")
+    tokens = bound.select("pivot", "far", "x", "bits", "lost", "gone", "gone_lost", (F.col("x.na") - F.greatest(F.lit(1), "low") + 1).alias("prefix"), F.explode("added").alias("token")).where("prefix > 0")
     met = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("f"), F.max("far").alias("wanted")).where("f > 1 and wanted").drop("wanted")
     own = Window.partitionBy("pivot", "x")
     # Tokens that no other node has, or none that is far, come before all that may meet.
     placed = tokens.join(met, ["pivot", "token"]).withColumn("at", F.row_number().over(own.orderBy("f", "token")) + F.col("x.na") - F.count(F.lit(1)).over(own))
     placed = placed.where(F.col("at") <= F.col("prefix"))
-    placed = materialise(placed.select("pivot", "far", "token", "x", "bits", "lost", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
-    side = lambda z: placed.select("pivot", "token", F.col("x").alias(z), *[F.col(v).alias(f"{z}_{v}") for v in ("far", "bits", "lost", "beyond")])
+    placed = materialise(placed.select("pivot", "far", "token", "x", "bits", "lost", "gone", "gone_lost", (F.col("x.na") - F.col("prefix")).alias("beyond")), "prefixes")
+    side = lambda z: placed.select("pivot", "token", F.col("x").alias(z), *[F.col(v).alias(f"{z}_{v}") for v in ("far", "bits", "lost", "gone", "gone_lost", "beyond")])
     once = ~F.col("b_far") | (F.col("s.node") > F.col("b.node"))
     # At most as many tokens in common as bits, and those that share a bit in the set where fewer do.
-    common = sum(F.bit_count(F.col("s_bits")[i].bitwiseAND(F.col("b_bits")[i])) for i in range(BIT_WORDS)) + F.least("s_lost", "b_lost")
-    shared = side("s").where("s_far").join(side("b"), ["pivot", "token"]).where(others & once & (need("s", "b") >= 1) & (common >= need("s", "b"))).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
+    both = lambda v: sum(F.bit_count(F.col(f"s_{v}")[i].bitwiseAND(F.col(f"b_{v}")[i])) for i in range(BIT_WORDS))
+    common = both("bits") + F.least("s_lost", "b_lost")
+    gone = F.least(both("gone") + F.least("s_gone_lost", "b_gone_lost"), "s.nr", "b.nr")
+    # What the removed tokens surely don't share has to come from the added ones.
+    enough = common + gone >= need("s", "b") + F.least("s.nr", "b.nr")
+    shared = side("s").where("s_far").join(side("b"), ["pivot", "token"]).where(others & once & (need("s", "b") >= 1) & enough).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
     by_token = shared.where(F.col("k") >= need("s", "b")).select(F.col("s.node").alias("a"), F.col("b.node").alias("b"))
     s_in = marked.where("far").select("pivot", F.col("x").alias("s"), F.col("cell").alias("sc"))
     b_in = marked.select("pivot", F.col("x").alias("b"), F.col("cell").alias("bc"))
@@ -363,6 +367,14 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     return direct.unionByName(similar).unionByName(by_token).unionByName(by_class.select(F.col("s.node").alias("a"), F.col("b.node").alias("b")))
 
 
+def bitmap(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bits of a token set, and how many tokens share a bit with another."""
+    places = np.unique(hashes % np.uint64(64 * BIT_WORDS))
+    bits = np.zeros(BIT_WORDS, np.uint64)
+    np.bitwise_or.at(bits, (places // np.uint64(64)).astype(np.int64), np.uint64(1) << (places % np.uint64(64)))
+    return bits.view(np.int64), len(hashes) - len(places)
+
+
 def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``(node, component, pivot, n, np, na, nr, added, bits, lost)``: sizes, and the hashes of the tokens a node has beyond
     its pivot; also as a bitmap, and how many of them share a bit with another."""
@@ -378,15 +390,13 @@ def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     pivots[pivot] = hasher(tp)
                 own, base = hasher(t), pivots[pivot]
                 added = np.setdiff1d(own, base, assume_unique=True)
-                places = np.unique(added % np.uint64(64 * BIT_WORDS))
-                bits = np.zeros(BIT_WORDS, np.uint64)
-                np.bitwise_or.at(bits, (places // np.uint64(64)).astype(np.int64), np.uint64(1) << (places % np.uint64(64)))
-                out.append((node, component, pivot, len(own), len(base), len(added), len(base) - len(own) + len(added), added.view(np.int64), bits.view(np.int64), len(added) - len(places)))
-            yield pd.DataFrame(out, columns=["node", "component", "pivot", "n", "np", "na", "nr", "added", "bits", "lost"])
+                removed = np.setdiff1d(base, own, assume_unique=True)
+                out.append((node, component, pivot, len(own), len(base), len(added), len(removed), added.view(np.int64), *bitmap(added), *bitmap(removed)))
+            yield pd.DataFrame(out, columns=["node", "component", "pivot", "n", "np", "na", "nr", "added", "bits", "lost", "gone", "gone_lost"])
 
     t = texts.select("node", F.col("_text").alias("_t"))
     tp = texts.select(F.col("node").alias("pivot"), F.col("_text").alias("_tp"))
-    return pairs.join(t, "node").join(tp, "pivot").mapInPandas(run, "node bigint, component bigint, pivot bigint, n bigint, np bigint, na bigint, nr bigint, added array<bigint>, bits array<bigint>, lost bigint")
+    return pairs.join(t, "node").join(tp, "pivot").mapInPandas(run, "node bigint, component bigint, pivot bigint, n bigint, np bigint, na bigint, nr bigint, added array<bigint>, bits array<bigint>, lost bigint, gone array<bigint>, gone_lost bigint")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
