@@ -3,9 +3,10 @@
 A page is read once into text nodes, each with its root-to-leaf tag path. Per path the text length and the
 punctuation are added up over its nodes and divided by their number; both ratios are smoothed along the
 order in which paths appear, fused, and held against a threshold. Paths inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments carry no weight. The weight of the paths that pass
-leads to the content node: the deepest section that still holds most of it, with all the text in it
-that isn't boilerplate.
+sidebars, notices, adverts, forms and comments carry no weight. Paths that pass, headings and
+paragraphs are content; on a page that marks an article or main element, all the text in it is. The
+content node is the deepest section that holds all of the content, with all the text in it that isn't
+boilerplate.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BLOCK = set(
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
 CELL = set("td th br".split())
-SECTION = set("html body main article section div center table tbody tr td dl ol ul".split())
+SECTION = set("html body main article section div center".split())
 BOILERPLATE = set("nav footer aside form head script style noscript template iframe button select option textarea dialog menu object svg math canvas input".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_NAMES = set(
@@ -183,7 +184,7 @@ def fused_ratios(length: np.ndarray, marks: np.ndarray, count: np.ndarray, sigma
     return smooth(length / count) * (1 + smooth(marks / count))
 
 
-def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5, share: float = 0.7) -> str:
+def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5) -> str:
     """The main text of a page: blocks in page order, joined by a line feed."""
     if not source:
         return ""
@@ -202,11 +203,11 @@ def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5, sha
     length, marks, count = (np.array(x, float) for x in zip(*stats.values(), strict=True))
     fused = fused_ratios(length, marks, count, sigma)
     passed = fused >= strictness * fused.mean()
-    weight = np.where(passed, length, 0)
-    # Text inside an article or main element is content by the page's own word.
+    # Text inside an article or main element is content by the page's own word. Where the page marks none, paths that
+    # failed the threshold are left out, but headings and paragraphs stay, however short.
     inside = np.array([page.inside[p] for p in paths])
-    if inside.any():
-        weight = np.where(inside, np.maximum(weight, length), 0)
+    content = inside if inside.any() else passed | np.array([page.tag[p] in PROSE for p in paths])
+    weight = np.where(content, length, 0)
     mass: dict[int, float] = Counter()
     for path, w in zip(paths, weight, strict=True):
         mass[path] += w
@@ -218,9 +219,9 @@ def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5, sha
         if p:
             children.setdefault(page.parent[p], []).append(p)
     root = 0
-    while True:
+    while page.tag[root] not in CONTENT:
         best = max((c for c in children.get(root, ()) if page.tag[c] in SECTION), key=lambda c: mass[c], default=None)
-        if best is None or mass[best] < share * mass[0]:
+        if best is None or mass[best] < mass[0]:
             break
         root = best
     under = {root: True}
@@ -237,9 +238,7 @@ def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5, sha
             under[c] = found
         return found
 
-    # Only the section's text counts; where the page marks no article, paths that failed the threshold stay out.
-    # Headings and paragraphs stay with their section, however short.
-    failed = set() if inside.any() else {p for p, ok in zip(paths, passed, strict=True) if not ok and page.tag[p] not in PROSE}
+    failed = set() if inside.any() else {p for p, ok in zip(paths, content, strict=True) if not ok}
     blocks: dict[int, list[str]] = {}
     for path, block, text in page.nodes:
         if not page.bad[path] and path not in failed and is_under(path):

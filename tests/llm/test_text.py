@@ -28,6 +28,19 @@ def test_comments_marked_as_articles_are_left_out():
     assert H.extract(page) == "The text, all of it."
 
 
+def test_extract_keeps_all_of_an_article():
+    items = "".join(f"<li>Item {i}, with some words of its own.</li>" for i in range(25))
+    cells = items.replace("<li>", "<tr><td>").replace("</li>", "</td></tr>")
+    inner = {"list": f"<ul>{items}</ul>", "table": f"<table>{cells}</table>", "div": f"<div class=body><section>{items.replace('li>', 'p>')}</section></div>"}
+    want = "\n".join(["T", "An intro, short.", *(f"Item {i}, with some words of its own." for i in range(25)), "The end."])
+    for body in inner.values():
+        text = f"<h1>T</h1><p>An intro, short.</p>{body}<p>The end.</p>"
+        assert H.extract(f"<body><p>Outside.</p><article>{text}</article></body>") == want
+        assert H.extract(f"<main><div>{text}</div></main>") == want
+        assert H.extract(f"<body><div class=post>{text}</div></body>") == want
+    assert H.extract(f"<main><h1>T</h1><article><p>An intro, short.</p><ul>{items}</ul></article><p>The end.</p></main>") == want
+
+
 def test_extract_matches_articles(spark):
     for r in H.op1_html_extract(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub("<br>", " ", re.search("<article>(.*?)</article>", r.html, re.S)[1])
