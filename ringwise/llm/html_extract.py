@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each with its root-to-leaf tag path. Per path the text length and the
-punctuation are added up over its nodes and divided by their number; both ratios are smoothed along the
-order in which paths appear, fused, and held against a threshold. Paths inside menus, headers, footers,
+A page is read once into text nodes, each with its root-to-leaf tag path; inline elements belong to the path
+of the block around them. Per path the text length and the punctuation are added up and divided by the number
+of its blocks; both ratios are smoothed along the order in which paths appear, fused, and held against a
+threshold. Paths inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments carry no weight. Paths that pass, headings and
 paragraphs are content; on a page that marks an article or main element, all the text in it is. The
 content node is the deepest section that holds all of the content, with all the text in it that isn't
@@ -159,6 +160,13 @@ class Page:
             if t == tag:
                 return
 
+    def blocks(self) -> list[int]:
+        """Per path the path of the nearest block or cell it is in, or its own."""
+        out = [0]
+        for p in range(1, len(self.tag)):  # parents come before their children
+            out.append(p if self.tag[p] in BLOCK or self.tag[p] in CELL else out[self.parent[p]])
+        return out
+
     def new_block(self) -> None:
         if self.dirty:
             self.block, self.dirty = self.block + 1, False
@@ -189,14 +197,17 @@ def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5) ->
     if not source:
         return ""
     page = Page(source)
+    around = page.blocks()
     stats: dict[int, list[int]] = {}
-    for path, _, text in page.nodes:
+    seen: set[tuple[int, int]] = set()
+    for path, block, text in page.nodes:
         squeezed = len(text) if not text.isspace() else 0
         if squeezed and not page.bad[path]:
-            s = stats.setdefault(path, [0, 0, 0])
+            s = stats.setdefault(around[path], [0, 0, 0])
             s[0] += squeezed
             s[1] += len(PUNCTUATION.findall(text))
-            s[2] += 1
+            s[2] += (around[path], block) not in seen
+            seen.add((around[path], block))
     if not stats:
         return ""
     paths = list(stats)
@@ -241,7 +252,7 @@ def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5) ->
     failed = set() if inside.any() else {p for p, ok in zip(paths, content, strict=True) if not ok}
     blocks: dict[int, list[str]] = {}
     for path, block, text in page.nodes:
-        if not page.bad[path] and path not in failed and is_under(path):
+        if not page.bad[path] and around[path] not in failed and is_under(around[path]):
             blocks.setdefault(block, []).append(text)
     found = (SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
     return "\n".join(b for b in found if b)

@@ -41,6 +41,15 @@ def test_extract_keeps_all_of_an_article():
     assert H.extract(f"<main><h1>T</h1><article><p>An intro, short.</p><ul>{items}</ul></article><p>The end.</p></main>") == want
 
 
+def test_extract_keeps_inline_text_without_article():
+    t = "Some words, and more of them; so on. " * 8
+    for mark in ("<a href=x>link</a>", "<b>link</b>", "<em><code>link</code></em>", "<span class=x>link</span>"):
+        assert H.extract(f"<div class=post><h2>Title here</h2><p>{t}{mark} {t}</p></div>") == f"Title here\n{t}link {t}".strip()
+        assert H.extract(f"<div class=post><h2><i>Title</i> here</h2>{t}{mark} {t}</div>") == f"Title here\n{t}link {t}".strip()
+        assert H.extract(f"<div class=post><p>{t}</p><table><tr><td>{mark}</td><td>{t}</td></tr></table></div>") == f"{t.strip()}\nlink {t}".strip()
+    assert H.extract(f"<div class=post><p>{t}<button>Like</button></p></div>") == t.strip()
+
+
 def test_extract_matches_articles(spark):
     for r in H.op1_html_extract(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub("<br>", " ", re.search("<article>(.*?)</article>", r.html, re.S)[1])
