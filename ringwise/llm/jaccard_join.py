@@ -49,6 +49,8 @@ REMEMBERED_SHINGLES = 50_000
 BIT_WORDS = 16
 #: Members of a bucket whose pairs are listed outright.
 FEW = 8
+#: One node in so many is counted to see which buckets are hot, and the parts that these are dealt into.
+SAMPLED, PARTS = 256, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,24 +181,25 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int, slack: float) -> DataF
 
 
 def bucket_members(entries: DataFrame, hot_rows: int) -> DataFrame:
-    """``(sig, node, first, last)`` of all buckets with two nodes or more.
+    """``(sig, part, node, first, last)`` of all buckets with two nodes or more.
 
     One shuffle of the entries. A bucket that a sample shows to hold over ``hot_rows`` entries is
-    dealt into parts, each with a first node of its own, and the parts' first nodes meet in one
-    more bucket; the sample only steers this, no entry is left out.
+    dealt into parts, each with a first and last node of its own, and the parts' first nodes meet once
+    more, so some of its rows repeat. The sample only steers this: no entry is left out, and ``sig`` stays that of the
+    whole bucket. ``part`` is -1 in all other buckets.
     """
-    part, sampled = 64, 256
-    seen = entries.where(F.pmod(F.xxhash64("node"), F.lit(sampled)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
-    hot = materialise(seen.where(F.col("k") > max(8, hot_rows // sampled)).select("sig", F.lit(1).alias("hot")), "hot-buckets")
-    if not hot.isEmpty():
-        salt = F.pmod(F.xxhash64("node", "sig"), F.lit(part))
-        entries = entries.join(bounded(hot, 16), "sig", "left").select(F.when(F.col("hot").isNull(), F.lit(None)).otherwise(salt).alias("part"), "sig", "node")
-        entries = entries.withColumn("own", F.when(F.col("part").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "part")))
-        cold = entries.select(F.col("own").alias("sig"), "node")
-        heads = entries.where("part is not null").groupBy("sig", "part").agg(F.min("node").alias("node")).select("sig", "node")
-        entries = cold.unionByName(heads)
-    w = Window.partitionBy("sig")
-    out = entries.select("sig", "node", F.min("node").over(w).alias("first"), F.max("node").over(w).alias("last"))
+    seen = entries.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
+    hot = materialise(seen.where(F.col("k") > max(8, hot_rows // SAMPLED)).select("sig", F.lit(1).alias("hot")), "hot-buckets")
+    if hot.isEmpty():
+        w = Window.partitionBy("sig")
+        entries = entries.select("sig", F.lit(-1).cast("bigint").alias("part"), "node")
+    else:
+        salt = F.pmod(F.xxhash64("node", "sig"), F.lit(PARTS))
+        entries = entries.join(bounded(hot, 16), "sig", "left").select("sig", F.when(F.col("hot").isNull(), F.lit(-1)).otherwise(salt).cast("bigint").alias("part"), "node")
+        heads = entries.where("part >= 0").groupBy("sig", "part").agg(F.min("node").alias("node"))
+        entries = entries.withColumn("own", F.col("part")).unionByName(heads.withColumn("own", F.lit(-1).cast("bigint")))
+        w = Window.partitionBy("sig", "own")
+    out = entries.select("sig", "part", "node", F.min("node").over(w).alias("first"), F.max("node").over(w).alias("last"))
     return out.where(F.col("first") < F.col("last"))
 
 
@@ -295,7 +298,7 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` of different components that meet in a bucket and may be similar.
 
-    A bucket of up to ``FEW`` members gives its pairs, a constant number a member. In a larger
+    A bucket is taken as a whole, also one whose members were dealt into parts. One of up to ``FEW`` members gives its pairs, a constant number a member. In a larger
     one the least node of the component with most members is the pivot, and each member is known by its
     difference to the pivot: ``na`` added tokens, ``nr`` removed ones. Two members differ in
     ``|Ds| + |Db| - 2 |Ds & Db|`` tokens and can share min(nr) removed ones at most; what is left of the
@@ -303,10 +306,12 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     lot from it, so they need some, and added tokens are rare: pairs come from a join on the rarest of them, with
     the number that each pair needs. Sizes under which none are needed are paired by classes of sizes.
     """
-    labelled = members.select("sig", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = per.groupBy("sig").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("m", -F.col("component"))).alias("pivot")).where("parts > 1")
-    rows = materialise(labelled.join(mixed.drop("parts"), "sig"), "mixed")
+    labelled = members.select("sig", "part", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"), F.max("part").alias("part"))
+    mixed = per.groupBy("sig").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("m", -F.col("component"))).alias("pivot"), F.max("part").alias("part")).where("kinds > 1")
+    # The rows of a bucket in parts stay spread over them.
+    mixed = mixed.withColumn("part", F.explode(F.when(F.col("part") < 0, F.array("part")).otherwise(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>"))))
+    rows = materialise(labelled.join(mixed.drop("kinds"), ["sig", "part"]).drop("part"), "mixed")
     few = rows.where(F.col("m") <= FEW)
     x = few.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"))
     y = few.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import odd_rows
@@ -66,6 +67,42 @@ def test_groups_of_edited_copies(spark, monkeypatch, seed, few, hot):
     assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_rows=hot)) == brute(rows)
 
 
+def fillings(seed, pairs, single):
+    """Texts of one template with different fillings, unlike each other but for pairs that only meet in segments of the template."""
+    r = random.Random(seed)
+    hasher, bands = J.ShingleHasher(4), J.Bands(85, 100, 0.33)
+    template = [f"t{i}" for i in range(25)]
+    text = lambda filling: " ".join([*template, *filling])
+    filling = lambda: [f"f{r.randrange(10**6)}" for _ in range(2)]
+
+    def signatures(t):
+        h = hasher(t)
+        band = bands.of(len(h))
+        return {int(x) for b in (band, band + 1) for x in J.signatures(h, b, bands.plan(b, len(h)))}
+
+    texts = [text(filling()) for _ in range(single)]
+    shared = Counter(x for t in texts for x in signatures(t))
+    while pairs:
+        f = filling()
+        g = [f[0], filling()[1]]
+        both = signatures(text(f)) & signatures(text(g))
+        if both and all(shared[x] > single // 5 for x in both):
+            texts += [text(f), text(g)]
+            pairs -= 1
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    return rows
+
+
+def test_hot_buckets_of_unlinked_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "SAMPLED", 1)
+    monkeypatch.setattr(J, "FEW", 2)
+    rows = fillings(5, 12, 1000)
+    want = brute(rows)
+    assert sum(d != c for d, _, c in want) == 12
+    assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_rows=50)) == want
+
+
 def test_odd_rows(spark):
     rows, extra, schema, wide = odd_rows()
     want = brute([(r[0], r[1]) for r in rows])
