@@ -137,6 +137,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     null text has no words; items without words match nothing; an item without an id counts for
     hits but is not named; rows that repeat get the same result each; empty tables give no hits.
     """
+    return _verdicts(docs, benchmark, size, id_col, text_col, item_col, item_text).drop("_h")
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """The columns of ``decontaminate`` and ``_h``, the hash of the text."""
     texts = keyed_texts(docs, id_col, text_col)
     items = test_items(benchmark, item_col, item_text)
     windows = materialise(find_phrases(texts, items, size), "occurrences")
@@ -155,19 +160,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     return out.select(
         F.col("d._id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("d._h").alias("_h"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    verdict = materialise(decontaminate(docs, benchmark, id_col=id_col, text_col=text_col), "verdict")
-    bad = verdict.where("contaminated").select(F.col(id_col).alias("_id"), "n_words").distinct()
+    verdict = _verdicts(docs, benchmark, 13, id_col, text_col, "item_id", "text")
+    bad = materialise(verdict.where("contaminated").select(F.col(id_col).alias("_id"), "_h").distinct(), "contaminated")
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     own_id, own_text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
-    # Ids may repeat with other texts: the number of words tells them apart, and equal rows fare alike.
-    return inner.join(bounded(bad, 24), own_id.eqNullSafe(F.col("_id")) & (F.size(words(own_text)) == F.col("n_words")), "left_anti").toDF(*names)
+    # Ids may repeat with other texts or be missing: the hash of the text tells such rows apart.
+    return inner.join(bounded(bad, 24), own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("_h")), "left_anti").toDF(*names)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,6 +241,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     never name a component that has an id. Rows that repeat, also with the same id, get equal
     results. An empty table gives an empty result; other columns are not read.
     """
+    return _labelled(docs, k, num, den, slack, hot_rows, id_col, text_col).drop("_h", "stays")
+
+
+def _labelled(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``jaccard_components``, the hash ``_h`` of the text, and ``stays``: whether a row without words, or the one of its component to keep."""
     spark = docs.sparkSession
     small_batches(spark)
     plain = pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("bigint")).withColumn("_h", F.xxhash64("_text"))
@@ -275,10 +280,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         elif not found.isEmpty():  # components so far are stars; new links join them
             label = connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = materialise(named.join(least, "component").select("_set", "component_id"), "labels")
-    out = rows.select("_id", "_n", "_set").join(of_set, "_set", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min_by("node", F.struct(F.coalesce("least", F.lit(2**63 - 1)), "node")).alias("keeper"))
+    of_set = materialise(named.join(least, "component").select("_set", "component_id", "keeper"), "labels")
+    out = rows.select("_id", "_h", "_n", "_set", "_row").join(of_set, "_set", "left")
+    stays = (F.col("_n") == 0) | (F.col("_row") == F.col("keeper"))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_h", stays.alias("stays"))
 
 
 def _texts_of(plain: DataFrame, rows: DataFrame, meeting: DataFrame) -> DataFrame:
@@ -405,15 +411,16 @@ def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, with all columns: one document of each group.
+    """One row of each component of ``docs``, with all columns: the one with the smallest id, or any one where none has an id.
 
-    Rows without words stay. Of rows that share an id, or have none, all stay if one of them names its component.
+    Rows without words stay. Rows are known by their id and the hash of their text, so rows equal in both stay or go together.
     """
-    found = materialise(jaccard_components(docs, id_col=id_col, text_col=text_col), "components")
-    named = found.groupBy(F.col(id_col).alias("_id")).agg(F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays"))
+    found = _labelled(docs, 4, 85, 100, 0.33, 200_000, id_col, text_col)
+    dropped = materialise(found.groupBy(F.col(id_col).alias("_id"), "_h").agg(F.bool_or("stays").alias("stays")).where("not stays").select("_id", "_h"), "dropped")
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return inner.join(bounded(materialise(named.where("not stays").select("_id"), "dropped"), 16), F.col(f"_c{names.index(id_col)}").eqNullSafe(F.col("_id")), "left_anti").toDF(*names)
+    own_id, own_text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
+    return inner.join(bounded(dropped, 24), own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("_h")), "left_anti").toDF(*names)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

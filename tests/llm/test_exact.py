@@ -116,6 +116,13 @@ def test_decontaminate(spark):
     assert D.decontaminate(d.limit(0), b).count() == 0
 
 
+def test_only_contaminated_rows_go(spark):
+    b = spark.createDataFrame([(1, "short item here")], "item_id bigint, text string")
+    rows = [(None, "short item here"), (None, "three clean words"), (7, "a short item here"), (7, "four quite clean words"), (8, None)]
+    kept = D.drop_contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), b)
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[1], rows[3], rows[4]}
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x x b x c"), (2, "a " + "x " * 30 + "b c"), (3, "c b a"), (4, None)], "doc_id bigint, text string")
     q = spark.createDataFrame([(9, "a b c"), (8, "nothing there"), (7, None)], "item_id bigint, text string")

@@ -122,6 +122,16 @@ def test_ids_that_repeat_with_other_texts(spark):
     assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
 
 
+def test_one_of_each_stays_where_ids_repeat_or_lack(spark):
+    base = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    edit = lambda w, i: " ".join([*w[:i], "x", *w[i + 1 :]])
+    rows = [(1, " ".join(base)), (2, edit(base, 99)), (2, "unlike all others, under an id that repeats"), (None, edit(base, 0)), (None, "unlike all others, without an id"), (None, " ".join(other)), (None, edit(other, 99)), (None, None)]
+    kept = {(r.doc_id, r.text) for r in J.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    either = {rows[5], rows[6]}
+    assert kept - either == {rows[0], rows[2], rows[4], rows[7]} and len(kept & either) == 1
+
+
 def test_sample_of_documents(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert got(J.jaccard_components(docs)) == brute(rows)
