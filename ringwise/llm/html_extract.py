@@ -1,13 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each with its root-to-leaf tag path; inline elements belong to the path
-of the block around them. Per path the text length and the punctuation are added up and divided by the number
-of its blocks; both ratios are smoothed along the order in which paths appear, fused, and held against a
-threshold. Paths inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments carry no weight. Paths that pass, headings and
-paragraphs are content; on a page that marks an article or main element, all the text in it is. The
-content node is the deepest section that holds all of the content, with all the text in it that isn't
-boilerplate.
+A page is read once into text nodes, each with its root-to-leaf tag path (sections also by their class); inline
+elements belong to the path of the block around them. Per path the text length and the punctuation are added up
+and divided by the number of its blocks; both ratios are smoothed along the order in which paths appear and fused with the
+path's whole text and with what a path's names say: text in an article or main element counts ten thousand times as much, text
+under a name such as "sidebar" or "comments" as many times less. Elements that are no text of a page by
+their tag or role (scripts, forms, menus, page headers and footers) are left out from the start.
+
+Paths whose fused ratio reaches a share of the mean over all paths are content. The content node is the deepest
+section that holds all of them, or the outermost one around it that is an article or has headings or
+paragraphs of its own and mostly content. Its text is returned: the paths that pass, and headings,
+paragraphs and other prose blocks beside them, however short, unless their names speak against them.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ BOILERPLATE_NAMES = set(
     "notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "widget widgets toolbar copyright skip alert alerts announcement disclaimer paywall teaser teasers".split()
 )
+#: What the names of an element say about its text: a factor of its ratio. "has-sidebar" says nothing of the kind.
+FOR, AGAINST = 1e4, 1e-4
+ABOUT_OTHERS = re.compile(r"(?i)\b(?:has|with|without|no|is-not)[-_][\w-]*")
 CONTENT = {"article", "main"}
 PROSE = set("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt figcaption td th".split())
 #: An open element that a start tag of the key ends, looked for up to the elements in the second set.
@@ -52,35 +58,34 @@ SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element is something other than content by its tag, role, class, id or invisibility."""
+def judged(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
+    """``(out, against)``: whether an element is no text of the page by its tag, role or invisibility, and whether its class or id speak against it."""
     if tag in BOILERPLATE or (tag == "header" and not in_content):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    against = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if tag in CONTENT and name in ("class", "id"):
-            # An article is something else only if a whole name says so, as with a reader's comment.
-            if set(value.lower().split()) & BOILERPLATE_NAMES:
-                return True
-        elif name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & BOILERPLATE_NAMES and not (in_content and words & {"header"} and not words & (BOILERPLATE_NAMES - {"header"})):
-                return True
-        elif name == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+        if name == "role" and value.lower() in BOILERPLATE_ROLES:
+            return True, False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            return True, False
+        if name in ("class", "id"):
+            if tag in CONTENT:  # an article is something else only if a whole name says so, as with a reader's comment
+                said = set(value.lower().split()) & BOILERPLATE_NAMES
+            else:
+                said = {w.lower() for w in WORD.findall(ABOUT_OTHERS.sub(" ", value))} & BOILERPLATE_NAMES
+            against = against or bool(said - {"header"} if in_content else said)
+    return False, against
 
 
 class Page:
     """Text nodes of a page: ``nodes`` has (path, block, text); paths are nodes of a tree."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.bad, self.inside = [-1], [""], [False], [False]
-        self.child: dict[tuple[int, str, bool], int] = {}
+        self.parent, self.tag, self.bad, self.inside, self.against = [-1], [""], [False], [False], [False]
+        self.child: dict[tuple, int] = {}
         self.nodes: list[tuple[int, int, str]] = []
         self.stack: list[tuple[str, int]] = [("", 0)]
         self.open: Counter = Counter()
@@ -114,14 +119,17 @@ class Page:
     def node(self, tag: str, attributes: str) -> int:
         up = self.stack[-1][1]
         inside = self.inside[up]
-        bad = self.bad[up] or is_boilerplate(tag, attributes, inside)
-        key = (up, tag, bad)
+        bad, against = (True, False) if self.bad[up] else judged(tag, attributes, inside)
+        against = against or self.against[up]
+        named = " ".join(a or b or c for n, a, b, c in ATTRIBUTE.findall(attributes) if n.lower() == "class") if attributes and tag in SECTION else ""
+        key = (up, tag, bad, against, named)
         if key not in self.child:
             self.child[key] = len(self.tag)
             self.parent.append(up)
             self.tag.append(tag)
             self.bad.append(bad)
-            self.inside.append(inside or (tag in CONTENT and not bad))
+            self.against.append(against)
+            self.inside.append(inside or (tag in CONTENT and not bad and not against))
         return self.child[key]
 
     def start(self, tag: str, attributes: str) -> None:
@@ -178,7 +186,7 @@ class Page:
 
 
 def fused_ratios(length: np.ndarray, marks: np.ndarray, count: np.ndarray, sigma: float) -> np.ndarray:
-    """Smoothed and fused text and punctuation ratios of paths in their order of appearance."""
+    """Smoothed and fused text and punctuation ratios of paths in their order of appearance, times the text of each."""
     reach = int(3 * sigma) or 1
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma)) if sigma > 0 else np.ones(1)
 
@@ -186,10 +194,38 @@ def fused_ratios(length: np.ndarray, marks: np.ndarray, count: np.ndarray, sigma
         full = np.convolve(x, kernel)
         norm = np.convolve(np.ones_like(x), kernel)
         cut = len(kernel) // 2
-        # A path's own ratio counts as much as its neighbourhood's.
-        return (x + full[cut : cut + len(x)] / norm[cut : cut + len(x)]) / 2
+        # A path's own ratio counts three times as much as its neighbourhood's.
+        return (3 * x + full[cut : cut + len(x)] / norm[cut : cut + len(x)]) / 4
 
-    return smooth(length / count) * (1 + smooth(marks / count))
+    return smooth(length / count) * (1 + smooth(marks / count)) * length
+
+
+def content_node(page: Page, length: dict[int, int], passed: set[int], prose: set[int]) -> int:
+    """The section whose text is the page's: ``length`` of text by path, the paths that passed, and those of other prose blocks."""
+    mass, total, own = Counter(), Counter(), set()
+    for p, n in length.items():
+        mass[p] += n if p in passed else 0
+        total[p] += n
+        if p in passed or p in prose:
+            own.add(page.parent[p])
+    children: dict[int, list[int]] = {}
+    for p in range(len(page.tag) - 1, 0, -1):  # children come after their parents
+        if total[p]:
+            mass[page.parent[p]] += mass[p]
+            total[page.parent[p]] += total[p]
+            children.setdefault(page.parent[p], []).append(p)
+    root = 0
+    while page.tag[root] not in CONTENT:
+        best = next((c for c in children.get(root, ()) if page.tag[c] in SECTION and mass[c] == mass[0]), None)
+        if best is None:
+            break
+        root = best
+    at = found = root
+    while page.tag[at] not in ("", "html", "body"):
+        if page.tag[at] in CONTENT or (page.tag[at] in SECTION and at in own and 2 * mass[at] >= total[at]):
+            found = at
+        at = page.parent[at]
+    return found
 
 
 def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5) -> str:
@@ -212,47 +248,20 @@ def extract(source: str | None, sigma: float = 1.0, strictness: float = 0.5) ->
         return ""
     paths = list(stats)
     length, marks, count = (np.array(x, float) for x in zip(*stats.values(), strict=True))
-    fused = fused_ratios(length, marks, count, sigma)
-    passed = fused >= strictness * fused.mean()
-    # Text inside an article or main element is content by the page's own word. Where the page marks none, paths that
-    # failed the threshold are left out, but headings and paragraphs stay, however short.
-    inside = np.array([page.inside[p] for p in paths])
-    content = inside if inside.any() else passed | np.array([page.tag[p] in PROSE for p in paths])
-    weight = np.where(content, length, 0)
-    mass: dict[int, float] = Counter()
-    for path, w in zip(paths, weight, strict=True):
-        mass[path] += w
-    for p in range(len(page.tag) - 1, 0, -1):  # children come after their parents
-        if p in mass:
-            mass[page.parent[p]] += mass[p]
-    children: dict[int, list[int]] = {}
-    for p in mass:
-        if p:
-            children.setdefault(page.parent[p], []).append(p)
-    root = 0
-    while page.tag[root] not in CONTENT:
-        best = max((c for c in children.get(root, ()) if page.tag[c] in SECTION), key=lambda c: mass[c], default=None)
-        if best is None or mass[best] < mass[0]:
-            break
-        root = best
-    under = {root: True}
-
-    def is_under(p: int) -> bool:
-        chain = []
-        while p not in under:
-            if p < 0:
-                break
-            chain.append(p)
-            p = page.parent[p]
-        found = under.get(p, False)
-        for c in chain:
-            under[c] = found
-        return found
-
-    failed = set() if inside.any() else {p for p, ok in zip(paths, content, strict=True) if not ok}
+    names = np.array([(FOR if page.inside[p] else 1.0) * (AGAINST if page.against[p] else 1.0) for p in paths])
+    fused = names * fused_ratios(length, marks, count, sigma)
+    passed = {p for p, f in zip(paths, fused >= strictness * fused.mean(), strict=True) if f}
+    # Prose beside the content: nothing speaks against it, or as little as against the content itself.
+    least = min((names[i] for i, p in enumerate(paths) if p in passed), default=np.inf)
+    prose = {p for p, n in zip(paths, names, strict=True) if p not in passed and n >= least and (page.tag[p] in PROSE or page.inside[p])}
+    root = content_node(page, dict(zip(paths, length, strict=True)), passed, prose)
+    under = [root == 0]
+    for p in range(1, len(page.tag)):
+        under.append(p == root or under[page.parent[p]])
     blocks: dict[int, list[str]] = {}
     for path, block, text in page.nodes:
-        if not page.bad[path] and around[path] not in failed and is_under(around[path]):
+        at = around[path]
+        if not page.bad[path] and under[at] and (at in passed or at in prose or text.isspace()):
             blocks.setdefault(block, []).append(text)
     found = (SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
     return "\n".join(b for b in found if b)

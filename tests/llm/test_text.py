@@ -52,9 +52,34 @@ def test_extract_keeps_inline_text_without_article():
 
 def test_extract_matches_articles(spark):
     for r in H.op1_html_extract(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        body = re.sub("<br>", " ", re.search("<article>(.*?)</article>", r.html, re.S)[1])
-        parts = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", b))).strip() for b in re.split("</?(?:p|h1)>", body))
-        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+        assert r.text == article_of(r.html) and r.n_chars == len(r.text)
+
+
+def article_of(page):
+    body = re.sub("<br>", " ", re.search("<article>(.*?)</article>", page, re.S)[1])
+    parts = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", b))).strip() for b in re.split("</?(?:p|h1)>", body))
+    return "\n".join(p for p in parts if p)
+
+
+def test_extract_by_ratios_alone(spark, monkeypatch):
+    """Without an article element and without telling names the ratios decide."""
+    pages = [r.html for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet").select("html").collect()]
+    for start, end in (("<div>", "</div>"), ("<section>", "</section>"), ("<div class=x9q>", "</div>")):
+        assert all(H.extract(p.replace("<article>", start).replace("</article>", end)) == article_of(p) for p in pages)
+    bare = [p.replace("<article>", "<div class=q>").replace("</article>", "</div>").replace('<div class="ad">', '<div class="zz">') for p in pages]
+    assert sum(H.extract(b) == article_of(p) for b, p in zip(bare, pages, strict=True)) >= 0.95 * len(pages)
+    assert H.extract(bare[0], strictness=0) != H.extract(bare[0]) and H.extract(bare[0], strictness=1e9) == ""
+    monkeypatch.setattr(H, "fused_ratios", lambda length, marks, count, sigma: np.ones(len(length)))
+    assert not any(H.extract(b) == article_of(p) for b, p in zip(bare, pages, strict=True))
+
+
+def test_extract_reads_names_as_evidence():
+    t = "Some words, and more of them; so on. " * 8
+    note = "We use cookies, really; it says so here, twice or more often."
+    for start in ("<div class='page has-sidebar'>", "<div class='sidebar'>", "<main class='main--with-nav'>"):
+        end = start[1:].split()[0].split(">")[0]
+        assert H.extract(f"{start}<div class=notice>{note}</div><article><h1>Title</h1><p>{t}</p></article></{end}>") == f"Title\n{t.strip()}"
+    assert H.extract(f"<article><p>Brief, but marked as an article.</p><div class=share>{note}</div></article><div class=x7><p>{t}</p></div>") == "Brief, but marked as an article."
 
 
 def test_extract_odd_pages(spark):
