@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import bounded, materialise, pick, table
 
 #: ISO 639-1 codes by language family. Codes that aren't listed are a family of their own.
 FAMILIES = {
@@ -27,10 +27,10 @@ FAMILIES = {
 }
 #: Buckets for n-grams.
 WIDTH = 4096
-#: At most so many labelled rows a language are learned from, those first by a hash of the id.
+#: About so many labelled rows a language are learned from, picked by a hash of the id; all languages are learned.
 PER_LANGUAGE = 300
-#: At most so many languages, the most frequent ones.
-MAX_LANGUAGES = 64
+#: About so many in all: with more than 64 languages each gets its equal share of this, one row at least.
+MAX_ROWS = 64 * PER_LANGUAGE
 
 
 def family_of(lang: str, families: dict[str, list[str]] | None = None) -> str:
@@ -148,15 +148,20 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, np.ndarray]]:
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> list[tuple[str, np.ndarray]]:
     """Vectors of a bounded sample of ``docs(_id, _text, _lang)``: labelled rows outside fold 2.
 
-    At most ``per_language`` rows a language, the first by a hash of the id, found by partial
-    sorts; at most ``max_languages`` languages. Both bound what reaches the driver.
+    One scan counts the rows of each language, which gives the share of them to take; a second one takes those whose hash of
+    the id is below that share. Nothing is sorted. Of rows that repeat an id the text with the least hash counts,
+    so ids that hold many rows are one row each, combined before the shuffle.
     """
     labelled = docs.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull() & (fold(F.col("_id")) != 2))
-    langs = [r[0] for r in labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()]
-    out = []
+    counted = materialise(labelled.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")), "languages")
+    each = max(1, min(per_language, max_rows // max(1, counted.count())))
+    edges = counted.select(F.col("_lang").alias("_l"), F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    place = F.shiftrightunsigned(F.xxhash64(F.col("_id"), F.lit(17)), 11) / F.lit(float(1 << 53))
+    own = labelled.join(bounded(edges, 64), F.col("_lang") == F.col("_l")).where(place < F.col("share"))
+    once = own.groupBy("_lang", "_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,19 +169,13 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languag
             if found:
                 yield pd.DataFrame({"lang": [f[0] for f in found], "v": [f[1].astype(np.float16).tobytes() for f in found]})
 
-    rank = F.xxhash64(F.col("_id"), F.lit(17))
-    for lang in sorted(langs):
-        ranked = labelled.where(F.col("_lang") == lang).select(rank.alias("r"))
-        edge = ranked.orderBy("r").limit(per_language).agg(F.max("r")).first()[0]  # ids only: no text is sorted
-        own = labelled.where((F.col("_lang") == lang) & (rank <= F.lit(edge))).select("_lang", "_text")
-        rows = own.mapInPandas(vectors, "lang string, v binary").limit(2 * per_language).collect()
-        out += sorted((r["lang"], bytes(r["v"])) for r in rows)[: 2 * per_language]
-    return [(lang, np.frombuffer(v, np.float16)) for lang, v in out]
+    rows = once.select("_lang", "_text").mapInPandas(vectors, "lang string, v binary").collect()  # about `each` rows a language
+    return [(lang, np.frombuffer(v, np.float16)) for lang, v in sorted((r["lang"], bytes(r["v"])) for r in rows)]
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row; ``und`` with score 0 without a letter or a model."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES**2 / 2 vectors
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a vector a family, and one a pair of languages within it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
@@ -191,20 +190,25 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return out.select(F.col("_id").cast(kind).alias(id_col), "held_out", "lang_pred", "score")
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score``.
 
     The model learns from the text and language of rows whose crc32(id as text) mod 4 isn't 2
     (``held_out``: it is 2; false for a null id) and predicts from the text alone. ``lang_pred`` is
     a learned language, or ``und`` with score 0 where the text is null or has no letter, or where
-    nothing could be learned. Repeated rows get equal results; an empty table gives none.
+    nothing could be learned. Repeated rows get equal results; an empty table gives none; texts of any length are read
+    whole, one at a time. Other columns are not read, whatever they are called.
     """
     rows = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
-    return identify(docs, train(training_rows(rows, per_language)), id_col, text_col)
+    return identify(docs, train(training_rows(rows, per_language, max_rows)), id_col, text_col)
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: tuple[str, ...] = ("und",)) -> DataFrame:
-    """The rows of ``docs`` whose predicted language isn't rejected, with all columns."""
+    """The rows of ``docs`` whose predicted language isn't rejected, with all columns.
+
+    A null text and one without a letter count as "und", whatever was learned; where nothing could be learned all others
+    stay. Rows that repeat stay or go together; an empty table gives none.
+    """
     names = docs.columns
     rows = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(rows)))
@@ -212,7 +216,7 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     @F.pandas_udf("string")
     def predicted(texts: pd.Series) -> pd.Series:
         m = model.value
-        return pd.Series(["und" if m is None or (v := features(t)) is None else m.predict(v)[0] for t in texts], dtype="object")
+        return pd.Series(["und" if (v := features(t)) is None else "" if m is None else m.predict(v)[0] for t in texts], dtype="object")
 
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     return inner.where(~predicted(F.col(f"_c{names.index(text_col)}")).isin(list(reject))).toDF(*names)
