@@ -1,10 +1,13 @@
 """Quality classification by co-training on two views of a page.
 
 One classifier sees the text's content (hashed byte n-grams and a few ratios), the other the page's
-metadata (source, language, length). From a bounded labelled sample each is fitted on its own view;
-over several rounds each labels the rows of a bounded unlabelled pool that it is surest about, for the
-other one to learn from. Both are then calibrated on labelled rows that neither has seen and combined
-as independent evidence. Both models are small vectors; all documents are scored in one pass without a shuffle.
+metadata (source, language, length). From a bounded labelled sample each is fitted on its own view. In each of a few
+rounds both score every unlabelled document of the corpus, and each labels a fixed number of those it is surest about
+for the other one to learn from. Both are then calibrated on labelled rows that neither has seen and combined as
+independent evidence; all documents are scored in one more pass.
+
+Scores of a round are a small table. The surest rows are found by a histogram of the scores, combined before the
+shuffle: rows in buckets above the edge, and by a hash as many of the edge's own bucket as are wanted. Nothing is sorted.
 """
 
 from __future__ import annotations
@@ -18,17 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import bounded, materialise, pick, table
 
 WIDTH = 2048
 META_WIDTH = 512
 STATS = 10
-#: Bounds of what is learned from: labelled rows, and rows of the unlabelled pool, the first by a hash of the id.
+#: About so many labelled rows are learned from, picked by a hash of the id.
 MAX_LABELLED = 2400
-MAX_POOL = 2400
-ROUNDS = 4
-#: Share of the pool that each classifier labels for the other in a round.
+ROUNDS = 3
+#: Rows that each classifier labels for the other in a round, as a share of the labelled sample and in the proportion of the classes.
 SHARE = 0.04
+#: Buckets of scores between zero and the surest one.
+BUCKETS = 4096
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -121,78 +125,168 @@ class CoTrained:
         return s(lt), s(lm), s(lt + lm - self.prior)
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> CoTrained | None:
-    """Co-training from labelled views ``t, m`` with labels ``y`` and an unlabelled pool; None without both classes.
+class CoTrainer:
+    """Both learners: labelled views ``t, m`` with labels ``y``, of which a fifth only calibrates, and what each was given by the other."""
+
+    def __init__(self, t: np.ndarray, m: np.ndarray, y: np.ndarray):
+        hold = np.arange(len(y)) % 5 == 4
+        if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
+            hold = np.zeros(len(y), bool)
+        on = hold if hold.any() else np.ones(len(y), bool)
+        self.own = {"text": t[~hold], "meta": m[~hold]}
+        self.y, self.rate = y[~hold].astype(np.float32), float(y[~hold].mean())
+        self.held, self.held_y = {"text": t[on], "meta": m[on]}, y[on].astype(np.float64)
+        self.given: dict[str, list[tuple[np.ndarray, int]]] = {"text": [], "meta": []}
+        self.fit()
+
+    def fit(self) -> None:
+        self.w = {}
+        for kind, base in self.own.items():
+            new = self.given[kind]
+            x = np.vstack([base, *[v[None] for v, _ in new]])
+            z = np.concatenate([self.y, np.array([label for _, label in new], np.float32)])
+            weight = np.concatenate([np.ones(len(base)), np.full(len(new), 0.5)]).astype(np.float32)
+            self.w[kind] = fit_logistic(x, z, weight, 300.0 if kind == "text" else 30.0)
+
+    def wanted(self, share: float) -> tuple[int, int]:
+        """How many positives and negatives a classifier picks in a round."""
+        picks = share * (len(self.y) + len(self.held_y))
+        return max(1, round(picks * self.rate)), max(1, round(picks * (1 - self.rate)))
+
+    def give(self, by: str, label: int, t: np.ndarray, m: np.ndarray) -> None:
+        """A row that the classifier ``by`` is sure about goes to the other one."""
+        other, view = ("meta", m) if by == "text" else ("text", t)
+        self.given[other].append((view, label))
+
+    def done(self) -> CoTrained:
+        scale = {k: calibrate(margin(self.held[k], self.w[k]), self.held_y) for k in self.w}
+        return CoTrained(self.w["text"], self.w["meta"], scale["text"], scale["meta"], float(np.log(self.rate / (1 - self.rate))))
 
-    A fifth of the labelled rows only calibrates. In each round each classifier takes the pool rows it
-    is surest about, in the proportion of the classes, and labels them for the other.
-    """
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> CoTrained | None:
+    """Co-training in memory by sorting a small pool, as ``learn`` does it for a corpus; None without both classes."""
     if len(y) < 2 or y.min() == y.max():
         return None
-    hold = np.arange(len(y)) % 5 == 4
-    if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
-        hold = np.zeros(len(y), bool)
-    own_t, own_m, own_y = t[~hold], m[~hold], y[~hold].astype(np.float32)
-    given = {"text": np.full(len(pool_t), -1), "meta": np.full(len(pool_t), -1)}  # labels for each view's learner
-    rate = float(own_y.mean())
-
-    def fit(kind: str) -> np.ndarray:
-        base, pool = (own_t, pool_t) if kind == "text" else (own_m, pool_m)
-        new = given[kind] >= 0
-        x, z = np.vstack([base, pool[new]]), np.concatenate([own_y, given[kind][new].astype(np.float32)])
-        return fit_logistic(x, z, np.concatenate([np.ones(len(own_y)), np.full(int(new.sum()), 0.5)]).astype(np.float32), 300.0 if kind == "text" else 30.0)
-
-    w = {"text": fit("text"), "meta": fit("meta")}
-    for _ in range(rounds if len(pool_t) else 0):
-        for kind, other, pool in (("text", "meta", pool_t), ("meta", "text", pool_m)):
-            score = margin(pool, w[kind])
-            free = np.flatnonzero(given[other] < 0)
-            order = free[np.argsort(score[free], kind="stable")]
-            n = int(share * len(pool))
-            pos, neg = max(1, round(n * rate)), max(1, round(n * (1 - rate)))
-            sure_pos, sure_neg = order[::-1][:pos], order[:neg]
-            given[other][sure_pos[score[sure_pos] > 0]] = 1
-            given[other][sure_neg[score[sure_neg] < 0]] = 0
-        w = {"text": fit("text"), "meta": fit("meta")}
-    on = hold if hold.any() else np.ones(len(y), bool)
-    cal_y = y[on].astype(np.float64)
-    return CoTrained(w["text"], w["meta"], calibrate(margin(t[on], w["text"]), cal_y), calibrate(margin(m[on], w["meta"]), cal_y), float(np.log(rate / (1 - rate))))
-
-
-def _rank(id_col: Column) -> Column:
-    return F.xxhash64(id_col, F.lit(5))
-
-
-def _first(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids, the first by a hash."""
-    return ids.where("_id is not null").distinct().withColumn("_r", _rank(F.col("_id"))).orderBy("_r", "_id").limit(most)
-
-
-def _views(rows: DataFrame, most: int) -> list:
-    """Both views and the label of at most ``most`` rows, in order of the hash; bounded, so they may go to the driver."""
+    both = CoTrainer(t, m, y)
+    free = {"text": np.ones(len(pool_t), bool), "meta": np.ones(len(pool_t), bool)}
+    for _ in range(rounds):
+        score = {"text": margin(pool_t, both.w["text"]), "meta": margin(pool_m, both.w["meta"])}
+        for by, s in score.items():
+            for label, n in zip((1, 0), both.wanted(share), strict=True):
+                sure = s if label else -s
+                at = [i for i in np.argsort(-sure, kind="stable") if free[by][i] and sure[i] > 0][:n]
+                free[by][at] = False
+                for i in at:
+                    both.give(by, label, pool_t[i], pool_m[i])
+        both.fit()
+    return both.done()
+
+
+def _place(column: Column, seed: int) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_k``, a hash of all that is read of a row."""
+    return docs.withColumn("_k", F.xxhash64("_id", "_text", "_source", "_lang", "_n"))
+
+
+def _views(rows: DataFrame) -> list:
+    """``(_key.., t, m)`` with both views for each of a bounded number of rows, in a fixed order."""
+    keys = [f for f in rows.schema if f.name not in ("_text", "_source", "_lang", "_n")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({
-                "r": b["_r"], "y": b["_y"], "t": [text_view(x).tobytes() for x in b["_text"]],
-                "m": [meta_view(s, v, n).tobytes() for s, v, n in zip(b["_source"], b["_lang"], b["_n"], strict=True)],
-            })
+            out = b[[f.name for f in keys]].copy()
+            out["t"] = [text_view(x).tobytes() for x in b["_text"]]
+            out["m"] = [meta_view(s, v, n).tobytes() for s, v, n in zip(b["_source"], b["_lang"], b["_n"], strict=True)]
+            yield out
+
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+    found = [(*[x[f.name] for f in keys], bytes(x["t"]), bytes(x["m"])) for x in rows.mapInPandas(run, f"{spec}, t binary, m binary").collect()]
+    return [(*x[:-2], np.frombuffer(x[-2], np.float32), np.frombuffer(x[-1], np.float32)) for x in sorted(found)]
 
-    found = rows.mapInPandas(run, "r bigint, y int, t binary, m binary").limit(2 * most).collect()
-    return sorted(((x["r"], bytes(x["t"]), bytes(x["m"]), x["y"]) for x in found))[:most]
 
+def labelled_views(docs: DataFrame, marked: DataFrame, max_labelled: int) -> list:
+    """``(_id, _y, t, m)`` of about ``max_labelled`` labelled ids; of rows that repeat an id the one with the least hash counts."""
+    part = min(1.0, max_labelled / max(1, marked.count()))
+    some = marked.where(_place(F.col("_id"), 5) < part)
+    fields = F.struct("_text", "_source", "_lang", "_n")
+    once = _known(docs.join(bounded(some, 24), "_id")).groupBy("_id", "_y").agg(F.min_by(fields, "_k").alias("v")).select("_id", "_y", "v.*")
+    return _views(once)
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """A model from ``docs(_id, _text, _source, _lang, _n)`` and ``labels(_id, _y)``, outside fold 2."""
-    usable = F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != 2
-    marked = labels.where("_y is not null").groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
-    first = _first(marked.where(usable).select("_id"), max_labelled).join(marked, "_id")
-    pool = _first(docs.where(usable).select("_id").join(marked, "_id", "left_anti"), max_pool).withColumn("_y", F.lit(-1))
-    rows = docs.join(F.broadcast(first.unionByName(pool.select(*first.columns))), "_id")  # bounded by both limits
-    got = _views(rows, max_labelled + max_pool)
-    own, rest = [x for x in got if x[3] >= 0], [x for x in got if x[3] < 0]
-    stack = lambda xs, i, width: np.stack([np.frombuffer(x[i], np.float32) for x in xs]) if xs else np.zeros((0, width), np.float32)
-    return co_train(stack(own, 1, WIDTH + STATS), stack(own, 2, META_WIDTH), np.array([x[3] for x in own]), stack(rest, 1, WIDTH + STATS), stack(rest, 2, META_WIDTH))
+
+def _margins(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``(_id, _k, text, meta)``: both classifiers' margins of all rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    kind = dict(docs.dtypes)["_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = sent.value
+        for b in batches:
+            text = [margin(text_view(x)[None], w["text"])[0] for x in b["_text"]]
+            meta = [margin(meta_view(s, v, n)[None], w["meta"])[0] for s, v, n in zip(b["_source"], b["_lang"], b["_n"], strict=True)]
+            yield pd.DataFrame({"_id": b["_id"], "_k": b["_k"], "text": np.array(text, np.float32), "meta": np.array(meta, np.float32)})
+
+    return _known(docs).mapInPandas(run, f"_id {kind}, _k bigint, text float, meta float")
+
+
+def surest(scored: DataFrame, wanted: dict[tuple[str, int], int], used: dict[str, set[int]]) -> DataFrame:
+    """``(_id, _k, by, label)``: for each classifier and label in ``wanted`` about that many rows of ``scored(_id, _k, text, meta)`` it is surest about.
+
+    Only rows that it gives the label at all count, and none of ``used``, those it has picked before. Of rows with scores in the
+    edge's bucket a share is taken by a hash; rows that repeat are one.
+    """
+    kinds = list(wanted)
+    free = {by: ~F.col("_k").isin([int(k) for k in used[by]]) if used[by] else F.lit(True) for by in ("text", "meta")}
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.when(free[by], F.col(by) if label else -F.col(by)).alias("s")) for i, (by, label) in enumerate(kinds)])
+    sides = scored.select("_id", "_k", F.explode(each).alias("x")).select("_id", "_k", "x.kind", "x.s").where("s > 0")
+    top = {r["kind"]: r["m"] for r in sides.groupBy("kind").agg(F.max("s").alias("m")).collect()}
+    if not top:
+        return scored.sparkSession.createDataFrame([], f"_id {dict(scored.dtypes)['_id']}, _k bigint, by string, label int")
+    limit = F.create_map(*[F.lit(x) for kv in top.items() for x in kv])
+    placed = sides.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("s") / limit[F.col("kind")] * BUCKETS)).cast("int"))
+    counts: dict[int, dict[int, int]] = {}
+    for r in placed.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # at most BUCKETS rows a kind
+        counts.setdefault(r["kind"], {})[r["bucket"]] = r["n"]
+    chosen = F.lit(False)
+    for kind, by_bucket in counts.items():
+        left = wanted[kinds[kind]]
+        edge, share = -1, 1.0
+        for bucket in sorted(by_bucket, reverse=True):
+            if by_bucket[bucket] >= left:
+                edge, share = bucket, left / by_bucket[bucket]
+                break
+            left -= by_bucket[bucket]
+        chosen = chosen | ((F.col("kind") == kind) & ((F.col("bucket") > edge) | ((F.col("bucket") == edge) & (_place(F.col("_k"), 7) < share))))
+    name = F.element_at(F.array(*[F.struct(F.lit(by).alias("by"), F.lit(label).alias("label")) for by, label in kinds]), F.col("kind") + 1)
+    return placed.where(chosen).select("_id", "_k", name.alias("n")).select("_id", "_k", "n.by", "n.label").distinct()
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, share: float = SHARE) -> CoTrained | None:
+    """A model from ``docs(_id, _text, _source, _lang, _n)`` and ``labels(_id, _y)``, outside fold 2; None without labels of both classes."""
+    docs = docs.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != 2)
+    marked = materialise(labels.where("_y is not null and _id is not null").groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).where(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != 2), "labelled")
+    own = labelled_views(docs, marked, max_labelled)
+    y = np.array([x[1] for x in own])
+    if len(y) < 2 or y.min() == y.max():
+        return None
+    both = CoTrainer(np.stack([x[2] for x in own]), np.stack([x[3] for x in own]), y)
+    used: dict[str, set[int]] = {"text": set(), "meta": set()}
+    for _ in range(rounds):
+        pos, neg = both.wanted(share)
+        scored = materialise(_margins(docs, both.w), "margins")
+        unlabelled = scored.join(bounded(marked.select("_id"), 16), "_id", "left_anti")
+        wanted = {(by, label): n for by in ("text", "meta") for label, n in ((1, pos), (0, neg))}
+        found = materialise(surest(unlabelled, wanted, used), "surest")
+        fields = F.struct("_text", "_source", "_lang", "_n")
+        rows = _known(docs).join(bounded(found.withColumnRenamed("_k", "_p"), 48), "_id").where("_k = _p").groupBy("_k", "by", "label").agg(F.first(fields).alias("v"))
+        for k, by, label, t, m in _views(rows.select("_k", "by", "label", "v.*")):
+            used[by].add(k)
+            both.give(by, label, t, m)
+        both.fit()
+    return both.done()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", n_col: str = "n_chars", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -202,7 +296,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     crc32(id as text) mod 4 is 2 are never learned from. A null text has its own feature; null
     metadata are values of their own. Of several labels of an id the highest counts. Without labels
     of both classes all scores are null and all rows kept. Repeated rows get equal results; an empty
-    table gives none.
+    table gives none. Texts are read whole, however long; other columns are not read, whatever they are called.
     """
     rows = pick(docs, _id=id_col, _text=text_col, _source=source_col, _lang=lang_col, _n=n_col)
     rows = rows.withColumn("_n", F.col("_n").cast("double"))

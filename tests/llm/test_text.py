@@ -182,3 +182,63 @@ def test_co_training_uses_the_pool():
     p = model.chances(t[300:], m[300:])[2]
     assert ((p > 0.5) == (y[300:] == 1)).mean() > 0.9
     assert Q.co_train(t[:5], m[:5], np.ones(5), t[5:], m[5:]) is None
+
+
+def test_surest_rows_match_sorting(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, i * 7, float(a), float(b)) for i, (a, b) in enumerate(r.normal(size=(3000, 2)))]
+    scored = spark.createDataFrame(rows, "_id bigint, _k bigint, text float, meta float")
+    wanted = {("text", 1): 40, ("text", 0): 25, ("meta", 1): 3001, ("meta", 0): 1}
+    got = {}
+    for x in Q.surest(scored, wanted, {"text": {rows[5][1]}, "meta": set()}).collect():
+        got.setdefault((x.by, x.label), set()).add(x._id)
+    each = {i: (k, a, b) for i, k, a, b in rows}
+    for (by, label), n in wanted.items():
+        side = {i: (v[1] if by == "text" else v[2]) * (1 if label else -1) for i, v in each.items()}
+        able = {i: s for i, s in side.items() if s > 0 and not (by == "text" and i == 5)}
+        best = set(sorted(able, key=lambda i: -able[i])[:n])
+        # The edge's bucket is drawn by a hash: what differs from sorting is within a bucket's width of it.
+        width, edge = max(able.values()) / Q.BUCKETS, min(able[i] for i in best)
+        assert all(abs(able[i] - edge) <= width for i in got[by, label] ^ best), (by, label)
+        assert abs(len(got[by, label]) - len(best)) <= 3
+    again = spark.createDataFrame([(1, 5, 2.0, 1.0)] * 30 + [(2, 6, 1.0, 1.0)], "_id bigint, _k bigint, text float, meta float")
+    assert Q.surest(again, {("text", 1): 99}, {"text": set(), "meta": set()}).count() == 2  # rows that repeat are one
+    assert Q.surest(scored.limit(0), wanted, {"text": set(), "meta": set()}).count() == 0
+
+
+def test_rounds_over_a_corpus_match_memory(spark):
+    """The distributed rounds learn the same as co-training in memory by sorting."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("n_chars").cast("double").alias("_n"))
+    model = Q.learn(rows, labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")), rounds=2)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    views = {r._id: (Q.text_view(r._text), Q.meta_view(r._source, r._lang, r._n)) for r in rows.collect()}
+    own, pool = sorted(i for i in views if i in y), sorted(i for i in views if i not in y)
+    stack = lambda ids, k: np.stack([views[i][k] for i in ids])
+    want = Q.co_train(stack(own, 0), stack(own, 1), np.array([y[i] for i in own]), stack(pool, 0), stack(pool, 1), rounds=2)
+    a, b = (m.chances(stack(pool, 0), stack(pool, 1)) for m in (model, want))
+    assert np.abs(a[0] - b[0]).max() < 0.05 and np.abs(a[2] - b[2]).max() < 0.1
+
+
+def test_language_votes_match_definition(spark):
+    """Family by the largest chance, then pairwise votes, from dense features; languages beyond the row bound are learned too."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    model = L.train(L.training_rows(rows))
+    got = {r.doc_id: r for r in L.language_id(docs).collect()}
+    chance = lambda m, x: 1 / (1 + np.exp(-m[2] * (x @ m[0] + m[1])))
+    for r in rows.collect():
+        x = L.features(r._text)
+        if x is None:
+            assert got[r._id].lang_pred == "und"
+            continue
+        family = max(sorted(model.families), key=lambda f: chance(model.by_family[f], x))
+        langs = model.families[family]
+        wins = {lang: sum(chance(m, x) >= 0.5 if lang == a else chance(m, x) < 0.5 for (a, b), m in model.by_pair.items() if lang in (a, b)) for lang in langs}
+        assert wins[got[r._id].lang_pred] == max(wins.values())
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 5} word{i % 70}", f"l{i % 70}") for i in range(700)], "doc_id bigint, text string, lang string")
+    assert len({r[0] for r in L.training_rows(many.toDF("_id", "_text", "_lang"), max_rows=140)}) > 35
+    repeated = spark.createDataFrame([(1, f"text {i}", "en") for i in range(500)], "_id bigint, _text string, _lang string")
+    assert len(L.training_rows(repeated)) == 1
+    assert L.drop_rejected(spark.createDataFrame([(1, "some text", None), (2, "12", None), (3, None, None)], "doc_id bigint, text string, lang string")).count() == 1
