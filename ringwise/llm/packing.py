@@ -93,14 +93,16 @@ def best_fit(lengths: np.ndarray, length: int, max_documents: int, max_attention
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_documents: int | None = None, max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm", group_rows: int = 8000, vocabulary: str = "byte_bpe_50k", end_id: int = END_ID,
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25), rule: str = "norm", group_rows: int = 8000, vocabulary: str = "byte_bpe_50k", end_id: int = END_ID,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``max_documents`` and ``max_attention`` bound the pieces of a sequence and their summed squared
-    lengths; by default any filling of ``length`` tokens meets both. ``rule``: "norm" or "dot".
+    lengths; by default they are the most that ``length`` tokens can hold, so that no bin is closed before its
+    tokens are used. ``weights`` of the residual tokens, documents and attention cost choose among the bins that
+    a piece fits in. ``rule``: "norm" or "dot". A piece that exceeds a capacity by itself gets a sequence of its own.
     A null text is an empty one: the end id alone. Rows that repeat are packed once each; a null
-    id stays null; an empty table gives no row. Other columns are not read.
+    id stays null; an empty table gives no row. A text of any length is one row. Other columns are not read.
     """
     if rule not in ("norm", "dot"):
         raise ValueError(f"unknown rule {rule!r}")

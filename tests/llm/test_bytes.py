@@ -126,6 +126,47 @@ def test_every_capacity_holds(rule):
     assert len(np.unique(bins)) >= math.ceil(lengths.sum() / 100)
 
 
+def test_default_weights_choose_bins_and_cost_no_sequence():
+    r = np.random.default_rng(5)
+    lengths = np.concatenate([r.integers(1, 40, 3000), r.integers(40, 2048, 3000)])
+    pack = lambda w, d, a: P.best_fit(lengths, 2048, d, a, w, "norm")[0]
+    plain, vector = pack((1, 0, 0), 2048, 2048**2), pack((1, 0.25, 0.25), 2048, 2048**2)
+    assert (plain != vector).any() and len(set(vector)) <= max(len(set(plain)), math.ceil(lengths.sum() / 2048))
+    for d, a in ((6, 2048**2), (2048, 2048**2 // 2)):
+        bins = pack((1, 0.25, 0.25), d, a)
+        assert (bins != vector).any()
+        for b in set(bins):
+            own = lengths[bins == b]
+            assert len(own) <= d and own.sum() <= 2048 and ((own**2).sum() <= a or len(own) == 1)
+
+
+def brute_best_fit(lengths, length, documents, attention, weights):
+    """The rule by definition: from long to short, the bin with the least weighted norm of its residual shares."""
+    bins, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n = lengths[i]
+        best = None
+        for j, own in enumerate(bins):
+            rest = (length - sum(own) - n, documents - len(own) - 1, attention - sum(x * x for x in own) - n * n)
+            if min(rest) >= 0:
+                score = sum(w * (x / c) ** 2 for w, x, c in zip(weights, rest, (length, documents, attention), strict=True))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, j)
+        if best is None:
+            bins.append([])
+            best = (0, len(bins) - 1)
+        out[i] = best[1]
+        bins[best[1]].append(n)
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize(("documents", "attention"), [(100, 10_000), (4, 10_000), (100, 4000)])
+def test_best_fit_matches_definition(documents, attention):
+    lengths = np.random.default_rng(7).integers(1, 101, 300)
+    got, _ = P.best_fit(lengths, 100, documents, attention, (1.0, 0.25, 0.25), "norm")
+    assert list(got) == brute_best_fit([int(x) for x in lengths], 100, documents, attention, (1.0, 0.25, 0.25))
+
+
 def brute_url(url, rules=U.RULES):
     u = url or ""
     if "://" not in u:
