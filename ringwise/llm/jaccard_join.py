@@ -7,8 +7,10 @@ that depend on a band of set sizes only. Each segment gets an allocation: 0 (not
 neighbourhood). If the allocations add up to more than H, two similar sets agree in some
 segment: at 1 the segments are equal, at 2 they differ in at most one token.
 
-Costs pick the allocation. In bands of small sets one segment at 2 costs fewer and better entries
-than several tiny segments. In all others ``m = H + 1 + slack`` and each set gives 0 to its least
+Costs pick the allocation of a band: each candidate - how many segments get 2, how many spare ones get 0 -
+costs its index entries plus the meetings with unrelated sets that its segments' sizes let expect (see ``Bands.cost``).
+Bands of small sets come out with one-deletion neighbourhoods, which are fewer and better than
+several tiny segments. Elsewhere ``m = H + 1 + spare`` and each set gives 0 to its least
 selective segments: the ones with fewest tokens (empty ones first), which unrelated sets share
 most. The order depends on a segment's content alone, so equal segments rank alike in both sets.
 Of the ``m - h`` or more segments in which two sets agree that differ in at most h tokens, the
@@ -28,8 +30,10 @@ bucket are open, and those in large buckets are found by what they have beyond a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,10 +51,13 @@ REMEMBERED_WORDS = 200_000
 REMEMBERED_SHINGLES = 50_000
 #: 64-bit words of a bitmap of added tokens.
 BIT_WORDS = 16
+#: Cost model of the allocation: the chance that an unrelated set which shares a token of a segment shares a further one, and index
+#: entries that a meeting is worth. They pick among exact plans and don't change results.
+CHANCE, MEETING = 0.3, 100.0
 #: Members of a bucket whose pairs are listed outright.
 FEW = 8
-#: One node in so many is counted to see which buckets are hot, and the parts that these are dealt into.
-SAMPLED, PARTS = 256, 64
+#: One node in so many is counted to see which buckets are hot.
+SAMPLED = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,13 +110,22 @@ class ShingleHasher:
         return np.unique(out)
 
 
+class Plan(NamedTuple):
+    """Segments of a band's sets, how many of them have one-deletion neighbourhoods, and how many are indexed."""
+
+    segments: int
+    doubled: int
+    indexed: int
+
+
 class Bands:
-    """Size bands and their allocation for a threshold num/den."""
+    """Size bands and their allocation for a threshold num/den; ``slack``: spare segments at most, as a share of the others."""
 
     def __init__(self, num: int, den: int, slack: float):
         self.t, self.slack = Fraction(num, den), slack
         self.tops = [1]  # band i holds sizes over tops[i-1] up to tops[i]
         self.c = (1 - self.t) / (1 + self.t)
+        self.dealt: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> int:
         while self.tops[-1] < n:
@@ -121,44 +137,72 @@ class Bands:
             self.of(self.tops[-1] + 1)
         return self.tops[band]
 
-    def plan(self, band: int, n: int) -> tuple[int, int, int]:
-        """``(segments, indexed, allocation)`` of a set of ``n`` tokens under a band.
+    def cost(self, n: int, most: int, doubled: int, spare: int) -> float:
+        """Of a set of ``n`` tokens whose segments' allocations add up to ``most + 1``: entries, and meetings with unrelated sets.
 
-        Segments depend on the band alone. A set has to index ``h + 1`` of them, where ``h`` is
+        Segments have Poisson sizes around their mean, of which the smallest ``spare`` aren't indexed. An unrelated set that
+        shares a first token shares each further one with the chance ``CHANCE``; a meeting costs ``MEETING`` entries.
+        """
+        single = most + 1 - 2 * doubled
+        m = doubled + single + spare
+        mean = n / m
+        kept = meetings = 0.0
+        wanted = 1 - spare / m
+        chance = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(int(mean + 8 * math.sqrt(mean)) + 8)]
+        for k in range(len(chance) - 1, -1, -1):
+            part = min(chance[k], wanted - kept)
+            kept += part
+            meetings += part * CHANCE ** max(0, k - 1)
+        one_less = max(1.0, mean) * CHANCE ** max(0.0, mean - 2)
+        return single + doubled * (1 + mean) + MEETING * (single * meetings / wanted + doubled * one_less)
+
+    def deal(self, band: int) -> tuple[int, int]:
+        """The cheapest ``(doubled, spare)`` of a band."""
+        if band not in self.dealt:
+            u = self.top(band)
+            most = int(self.c * 2 * u)
+            spares = sorted({1, 2, 4, max(1, int(self.slack * (most + 1)))})
+            options = [(0, z) for z in spares] + [(x, 0) for x in range(1, min(4, (most + 1) // 2) + 1)]
+            self.dealt[band] = min(options, key=lambda o: self.cost(u, most, *o))
+        return self.dealt[band]
+
+    def plan(self, band: int, n: int) -> Plan:
+        """What a set of ``n`` tokens indexes under a band.
+
+        Segments depend on the band alone. Where none is doubled, a set has to index ``h + 1`` of them, where ``h`` is
         the most it can differ from a similar set within the band.
         """
         u = self.top(band)
         most = int(self.c * 2 * u)
         h = int(self.c * (n + min(u, int(n / self.t))))
         if h == 0:
-            return 1, 0, 0  # only equal sets are similar, and those are one representative
-        # One segment with its neighbourhood costs n + 1 entries, single segments cost h + 1. Segments of two or
-        # three tokens are shared by unrelated sets, and each such meeting costs a comparison.
-        if most == 1:
-            return 1, 1, 2
-        m = most + 1 + max(1, int(self.slack * (most + 1)))
-        return m, h + 1, 1
+            return Plan(1, 0, 0)  # only equal sets are similar, and those are one representative
+        doubled, spare = self.deal(band)
+        m = most + 1 - doubled + spare
+        return Plan(m, doubled, m if doubled else h + 1)
 
 
-def signatures(hashes: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarray:
+def signatures(hashes: np.ndarray, band: int, plan: Plan) -> np.ndarray:
     """Index entries of a set (ascending distinct hashes) under a band."""
-    m, indexed, _ = plan
+    m, doubled, indexed = plan
     if not indexed:
         return np.empty(0, np.uint64)
     seed = mix(np.array([band * 1_000_003 + m], np.uint64))[0]
     value = mix(hashes ^ seed)
-    if m == 1:
-        whole = value.sum(dtype=np.uint64)
-        return mix(np.concatenate([[whole], whole - value]).astype(np.uint64) ^ seed)
     segment = (mix(value + M3) % np.uint64(m)).astype(np.int64)
     count = np.bincount(segment, minlength=m)
     order = np.argsort(segment, kind="stable")
     total = np.zeros(m, np.uint64)
     full = np.flatnonzero(count)
     total[full] = np.add.reduceat(value[order], np.concatenate([[0], np.cumsum(count[full])[:-1]]))
+    place = M3 * (np.arange(m, dtype=np.uint64) + np.uint64(1))
     content = mix(total ^ seed)
     best = np.lexsort((content, np.arange(m), -count))[:indexed] if indexed < m else np.arange(m)
-    return mix(content[best] + M3 * (best.astype(np.uint64) + np.uint64(1)))
+    out = [mix(content[best] + place[best])]
+    if doubled:
+        near = segment < doubled
+        out.append(mix(mix((total[segment[near]] - value[near]) ^ seed) + place[segment[near]]))
+    return np.concatenate(out)
 
 
 def set_rows(docs: DataFrame, k: int, num: int, den: int, slack: float) -> DataFrame:
@@ -181,25 +225,26 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int, slack: float) -> DataF
 
 
 def bucket_members(entries: DataFrame, hot_rows: int) -> DataFrame:
-    """``(sig, part, node, first, last)`` of all buckets with two nodes or more.
+    """``(sig, parts, part, node, first, last)`` of all buckets with two nodes or more.
 
     One shuffle of the entries. A bucket that a sample shows to hold over ``hot_rows`` entries is
-    dealt into parts, each with a first and last node of its own, and the parts' first nodes meet once
+    dealt into parts of a quarter of that, each with a first and last node of its own, and the parts' first nodes meet once
     more, so some of its rows repeat. The sample only steers this: no entry is left out, and ``sig`` stays that of the
-    whole bucket. ``part`` is -1 in all other buckets.
+    whole bucket. ``part`` is -1 in all other buckets, ``parts`` 1.
     """
     seen = entries.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
-    hot = materialise(seen.where(F.col("k") > max(8, hot_rows // SAMPLED)).select("sig", F.lit(1).alias("hot")), "hot-buckets")
+    parts = F.ceil(F.col("k") * SAMPLED * 4 / hot_rows).cast("bigint")
+    hot = materialise(seen.where(F.col("k") > max(8, hot_rows // SAMPLED)).select("sig", F.greatest(F.lit(2), parts).alias("parts")), "hot-buckets")
     if hot.isEmpty():
         w = Window.partitionBy("sig")
-        entries = entries.select("sig", F.lit(-1).cast("bigint").alias("part"), "node")
+        entries = entries.select("sig", F.lit(1).cast("bigint").alias("parts"), F.lit(-1).cast("bigint").alias("part"), "node")
     else:
-        salt = F.pmod(F.xxhash64("node", "sig"), F.lit(PARTS))
-        entries = entries.join(bounded(hot, 16), "sig", "left").select("sig", F.when(F.col("hot").isNull(), F.lit(-1)).otherwise(salt).cast("bigint").alias("part"), "node")
-        heads = entries.where("part >= 0").groupBy("sig", "part").agg(F.min("node").alias("node"))
+        salt = F.pmod(F.xxhash64("node", "sig"), F.col("parts"))
+        entries = entries.join(bounded(hot, 24), "sig", "left").select("sig", F.coalesce("parts", F.lit(1)).alias("parts"), F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(salt).cast("bigint").alias("part"), "node")
+        heads = entries.where("part >= 0").groupBy("sig", "parts", "part").agg(F.min("node").alias("node"))
         entries = entries.withColumn("own", F.col("part")).unionByName(heads.withColumn("own", F.lit(-1).cast("bigint")))
         w = Window.partitionBy("sig", "own")
-    out = entries.select("sig", "part", "node", F.min("node").over(w).alias("first"), F.max("node").over(w).alias("last"))
+    out = entries.select("sig", "parts", "part", "node", F.min("node").over(w).alias("first"), F.max("node").over(w).alias("last"))
     return out.where(F.col("first") < F.col("last"))
 
 
@@ -312,12 +357,12 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     lot from it, so they need some, and added tokens are rare: pairs come from a join on the rarest of them, with
     the number that each pair needs. Sizes under which none are needed are paired by classes of sizes.
     """
-    labelled = members.select("sig", "part", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"), F.max("part").alias("part"))
-    mixed = per.groupBy("sig").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("m", -F.col("component"))).alias("pivot"), F.max("part").alias("part")).where("kinds > 1")
+    labelled = members.select("sig", "parts", "part", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"), F.max("parts").alias("parts"))
+    mixed = per.groupBy("sig").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("m", -F.col("component"))).alias("pivot"), F.max("parts").alias("parts")).where("kinds > 1")
     # The rows of a bucket in parts stay spread over them.
-    mixed = mixed.withColumn("part", F.explode(F.when(F.col("part") < 0, F.array("part")).otherwise(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>"))))
-    rows = materialise(labelled.join(mixed.drop("kinds"), ["sig", "part"]).drop("part"), "mixed")
+    mixed = mixed.withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(-1).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))))
+    rows = materialise(labelled.drop("parts").join(mixed.drop("kinds", "parts"), ["sig", "part"]).drop("part"), "mixed")
     few = rows.where(F.col("m") <= FEW)
     x = few.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"))
     y = few.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -372,9 +417,8 @@ def _cross(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, num:
     enough = common + gone >= need("s", "b") + F.least("s.nr", "b.nr")
     shared = side("s").where("s_far").join(side("b"), ["pivot", "token"]).where(others & once & (need("s", "b") >= 1) & enough).groupBy("pivot", "s", "b").agg((F.count(F.lit(1)) + F.first("s_beyond") + F.first("b_beyond")).alias("k"))
     by_token = shared.where(F.col("k") >= need("s", "b")).select(F.col("s.node").alias("a"), F.col("b.node").alias("b"))
-    s_in = marked.where("far").select("pivot", F.col("x").alias("s"), F.col("cell").alias("sc"))
-    b_in = marked.select("pivot", F.col("x").alias("b"), F.col("cell").alias("bc"))
-    by_class = loose.select("pivot", "sc", "bc").join(s_in, ["pivot", "sc"]).join(b_in, ["pivot", "bc"]).where(others & (need("s", "b") < 1))
+    within = lambda z, c: marked.select("pivot", F.col("x").alias(z), F.col("cell").alias(c), "far", *[F.col(v).alias(f"{z}_{v}") for v in ("bits", "lost", "gone", "gone_lost")])
+    by_class = loose.select("pivot", "sc", "bc").join(within("s", "sc").where("far").drop("far"), ["pivot", "sc"]).join(within("b", "bc").withColumnRenamed("far", "b_far"), ["pivot", "bc"]).where(others & once & (need("s", "b") < 1) & enough)
     return direct.unionByName(similar).unionByName(by_token).unionByName(by_class.select(F.col("s.node").alias("a"), F.col("b.node").alias("b")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import odd_rows
 
@@ -103,6 +104,26 @@ def test_hot_buckets_of_unlinked_texts(spark, monkeypatch):
     assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_rows=50)) == want
 
 
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_star_in_hot_buckets(spark, monkeypatch, most):
+    """Texts that all link with one, in buckets that are dealt into parts, with and without broadcasts."""
+    split = []
+    members = J.bucket_members
+
+    def seen(entries, hot_rows):
+        out = members(entries, hot_rows)
+        split.append(out.where("part >= 0").count())
+        return out
+
+    monkeypatch.setattr(J, "bucket_members", seen)
+    plain = J.bounded
+    monkeypatch.setattr(J, "bounded", lambda df, row_bytes: plain(df, row_bytes, most))
+    base = "a b c d e f g h i"
+    rows = [(i, f"{base} x{i}") for i in range(1, 6001)] + [(6001, base)]
+    found = J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_rows=1)
+    assert {r.component_id for r in found.select("component_id").distinct().collect()} == {1} and split[0] > 0
+
+
 def test_odd_rows(spark):
     rows, extra, schema, wide = odd_rows()
     want = brute([(r[0], r[1]) for r in rows])
@@ -139,15 +160,38 @@ def test_sample_of_documents(spark, docs):
 
 def test_every_allocation_covers_its_distance():
     bands = J.Bands(85, 100, 0.33)
-    for n in (1, 5, 6, 7, 12, 13, 50, 500, 20_000):
+    doubled = 0
+    for n in (1, 5, 6, 7, 8, 12, 13, 14, 50, 500, 20_000):
         band = bands.of(n)
         assert bands.top(band) >= n and (band == 0 or bands.top(band - 1) < n)
         for b in (band, band + 1):
-            m, indexed, allocation = bands.plan(b, n)
+            p = bands.plan(b, n)
             most = int(bands.c * (n + min(bands.top(b), int(n / bands.t))))
-            # One more segment than tokens may differ, or one segment that bears one difference.
-            assert indexed * allocation > most or most == 0
-            assert m >= indexed
+            # More allocation than tokens may differ.
+            assert p.indexed + p.doubled > most or most == 0
+            assert p.segments >= p.indexed
+            doubled += p.doubled > 0
+    assert doubled
+
+
+@pytest.mark.parametrize("deal", [None, (0, 1), (0, 3), (1, 0), (2, 0)])
+def test_similar_sets_share_an_entry(deal):
+    """Whatever allocation is chosen."""
+    r = np.random.default_rng(6)
+    bands = J.Bands(85, 100, 0.33)
+    if deal:
+        bands.deal = lambda band: deal if int(bands.c * 2 * bands.top(band)) + 1 >= 2 * deal[0] else (0, 1)
+    for _ in range(1500):
+        n = int(r.integers(7, 120))
+        x = r.integers(0, 2**63, n).astype(np.uint64)
+        gone, new = r.integers(0, 1 + n // 8, 2)
+        y = np.concatenate([x[gone:], r.integers(0, 2**63, new).astype(np.uint64)])
+        both = n - gone
+        if 100 * both < 85 * (n + new) or not gone + new:
+            continue
+        i, j = bands.of(n), bands.of(len(y))
+        entries = [{int(v) for b in (k, k + 1) for v in J.signatures(np.unique(z), b, bands.plan(b, len(z)))} for z, k in ((x, i), (y, j))]
+        assert entries[0] & entries[1], (n, gone, new)
 
 
 def test_components(spark):
