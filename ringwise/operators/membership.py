@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import u64
@@ -39,6 +39,10 @@ def live(v: DataFrame) -> DataFrame:
     return v.where(F.col("state").isin(READY, SUSPECT))
 
 
+def state_name(state: Column) -> Column:
+    return F.when(state == JOINING, "Joining").when(state == READY, "Ready").when(state == SUSPECT, "Suspect").when(state == LEAVING, "Leaving").otherwise("Unknown")
+
+
 def roots(v: DataFrame) -> DataFrame:
     return ready(v).where(F.col("role") != NON_ROOT)
 
@@ -92,28 +96,33 @@ def decode_rosters(raw: DataFrame, col: str = "json") -> DataFrame:
     return parsed.select(*raw.columns, F.col("_r.epoch").alias("epoch"), F.col("_r.members").alias("members"), F.coalesce(good, F.lit(False)).alias("valid"))
 
 
-def as_of(events: DataFrame, versions: DataFrame, ts: str = "ts", valid_from: str = "valid_from", payload: tuple[str, ...] = ("epoch",), by: tuple[str, ...] = ()) -> DataFrame:
+def carry_last(rows: DataFrame, mark: Column, by: list[str], at: str, order: list[str], cell_us: int) -> DataFrame:
+    """``rows`` with ``_carried``: the last ``mark`` that isn't null up to and with each row, by ``at`` (microseconds) and ``order``.
+
+    Rows are sorted within cells of time only; what the cells before end with is carried on over one row a cell. So a key that
+    holds most rows is as many tasks' work as it has cells.
+    """
+    marked = rows.withColumn("_cell", F.floor(F.col(at) / cell_us)).withColumn("_mark", mark)
+    last = marked.groupBy(*by, "_cell").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(at, *order))).alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    start = last.select(*by, "_cell", F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    within = Window.partitionBy(*by, "_cell").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = marked.withColumn("_now", F.last("_mark", ignorenulls=True).over(within))
+    return inner.join(start, [*by, "_cell"], "left").withColumn("_carried", F.coalesce("_now", "_start")).drop("_now", "_start", "_mark", "_cell")
+
+
+def as_of(events: DataFrame, versions: DataFrame, ts: str = "ts", valid_from: str = "valid_from", payload: tuple[str, ...] = ("epoch",), by: tuple[str, ...] = (), cell_us: int = 600_000_000) -> DataFrame:
     """``events`` with the payload of the latest version at or before each.
 
-    Versions and events are one sorted stream in which the last version is carried on: no range join. By
-    a partition of days, the carry starts from the last version of earlier days, so no single task sorts everything.
+    Versions and events are one stream, in which the last version is carried on by cells of time: no range join, and no task
+    sorts more than a cell.
     """
-    from pyspark.sql import Window
-
-    e = events.select("*", F.lit(1).alias("_kind"), F.col(ts).alias("_at"), *[F.lit(None).cast(versions.schema[p].dataType).alias(f"_{p}") for p in payload])
-    v = versions.select(*by, F.col(valid_from).alias("_at"), F.lit(0).alias("_kind"), *[F.col(p).alias(f"_{p}") for p in payload])
-    day = F.to_date("_at").alias("_day")
-    both = e.unionByName(v, allowMissingColumns=True).withColumn("_day", day)
-    pack = F.struct(*[f"_{p}" for p in payload])
-    last = both.where("_kind = 0").groupBy(*by, "_day").agg(F.max_by(pack, "_at").alias("_last"))
-    # One row a day with versions: small, so its running carry may be a single window.
-    days = both.select(*by, "_day").distinct().join(last, [*by, "_day"], "left")
-    w = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    start = days.select(*by, "_day", F.last("_last", ignorenulls=True).over(w).alias("_start"))
-    inner = Window.partitionBy(*by, "_day").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_now", F.last(F.when(F.col("_kind") == 0, pack), ignorenulls=True).over(inner))
-    out = carried.where("_kind = 1").join(start, [*by, "_day"], "left").withColumn("_use", F.coalesce("_now", "_start"))
-    return out.select(*events.columns, *[F.col(f"_use._{p}").alias(p) for p in payload])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("_at")
+    pack = F.struct(*[F.col(p).alias(f"_{p}") for p in payload])
+    e = events.select("*", F.lit(1).alias("_kind"), micros(ts), F.lit(None).cast(versions.select(pack.alias("p")).schema["p"].dataType).alias("_pack"))
+    v = versions.select(*by, micros(valid_from), F.lit(0).alias("_kind"), pack.alias("_pack"))
+    both = carry_last(e.unionByName(v, allowMissingColumns=True), F.col("_pack"), list(by), "_at", ["_kind"], cell_us)
+    return both.where("_kind = 1").select(*events.columns, *[F.col(f"_carried._{p}").alias(p) for p in payload])
 
 
 def _with_start(rows: DataFrame) -> DataFrame:
@@ -176,6 +185,8 @@ def reader_snapshots(responses: DataFrame) -> DataFrame:
     return responses.groupBy("object", "tracker").agg(F.max_by("epoch", last).alias("epoch"), F.max_by("readers", last).alias("readers"))
 
 
-def same_readers(a: Column, b: Column) -> Column:
-    """Whether two reader sets are equal; both are sorted arrays."""
-    return F.sort_array(a) == F.sort_array(b)
+def changed_readers(snapshots: DataFrame, by: list[str], order: str, readers: str = "readers") -> DataFrame:
+    """The rows of ``snapshots`` whose reader set isn't that of the row before, in ``order``; sets are equal in any order."""
+    w = Window.partitionBy(*by).orderBy(order)
+    sets = snapshots.withColumn("_set", F.array_sort(F.array_distinct(readers)))
+    return sets.withColumn("_was", F.lag("_set").over(w)).where(F.col("_was").isNull() | (F.col("_was") != F.col("_set"))).drop("_set", "_was")

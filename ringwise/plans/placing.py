@@ -10,6 +10,7 @@ from ..operators import membership as M
 from ..operators import placement as P
 from ..operators import tree as T
 from ..sources.tables import LOG_SQL, MEMBERS_SQL, access_log, equal_nodes, members, table, weighted_nodes
+from .states import _BREAKERS, COOLDOWN, HOUR, breaker_trace
 
 _WEIGHTED = "select s_name as node_id, case when s_acctbal > 0 then s_acctbal else 1.0 end as weight from supplier"
 _EQUAL = "select n_name as node_id, 1.0::DOUBLE as weight from nation"
@@ -155,23 +156,59 @@ from (select *, n // k as base, n % k as extra, unnest(range(0, least(k, n))) as
 """
 
 
+#: Who asks: a member that may read, and one that only supplies.
+_READER, _SUPPLIER = "Customer#000000009", "Customer#000000013"
+
+
+def _tree_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keys(spark, sf_dir, "region", "r_regionkey").select(F.col("key").cast("bigint").alias("key"))
+
+
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree order of each region's object: its owner, then the ranked eligible readers among a snapshot of them."""
+    """Trees of each region's object: with a tracker's snapshot of readers, without tracking, and for a member that only supplies."""
     v = M.canonical(members(spark, sf_dir))
-    keys = _keys(spark, sf_dir, "region", "r_regionkey").select(F.col("key").cast("bigint").alias("key"))
-    nodes = lambda d: d.select(F.col("id").alias("node_id"), "weight")
-    owner = P.owners(keys, nodes(M.roots(v)))
+    keys = _tree_keys(spark, sf_dir)
     snapshot = v.where("id like '%7' or id like '%8'").select("id")
-    eligible = v.join(M.eligible_readers(snapshot, v), "id", "left_semi")
-    ranked = P.rank_nodes(keys, nodes(eligible))
-    listed = ranked.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id"))).alias("r")).join(owner, "key")
-    return listed.select("key", F.posexplode(T.tree_order(F.col("owner"), F.col("r.node_id"))).alias("pos", "node_id")).select("key", F.col("pos").cast("bigint").alias("pos"), "node_id")
+    trees = {"tracked": P.tree_nodes(keys, v, _READER, snapshot), "all": P.tree_nodes(keys, v, _READER), "supply": P.tree_nodes(keys, v, _SUPPLIER, snapshot)}
+    out = [t.select(F.lit(name).alias("mode"), "key", F.col("pos").cast("bigint").alias("pos"), "node_id") for name, t in trees.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-NODES = f"""with m as ({MEMBERS_SQL}), {_scored('select r_regionkey::BIGINT as key from region', 'select id as node_id, weight from m where state = 1')},
+_TREES = f"""m as ({MEMBERS_SQL}), {_scored('select r_regionkey::BIGINT as key from region', 'select id as node_id, weight from m where state = 1')},
 own as (select key, min_by(node_id, rank) as o from ranked join m on m.id = node_id where role <> 2 group by key),
-rd as (select r.key, r.node_id, r.rank from ranked r join m on m.id = r.node_id join own on own.key = r.key where role <> 1 and addr <> '' and (id like '%7' or id like '%8') and r.node_id <> o)
-select key, 0::BIGINT as pos, o as node_id from own union all select key, row_number() over (partition by key order by rank), node_id from rd"""
+rd as (select r.key, r.node_id, r.rank, addr <> '' as reached, id like '%7' or id like '%8' as listed, id = '{_READER}' as me from ranked r join m on m.id = r.node_id join own on own.key = r.key where role <> 1 and r.node_id <> o)"""
+NODES = f"""with {_TREES}
+select 'tracked' as mode, key, row_number() over (partition by key order by rank) as pos, node_id from rd where reached and (listed or me) union all select 'all', key, row_number() over (partition by key order by rank), node_id from rd
+union all select mode, key, 0::BIGINT, o from own, (values ('tracked'), ('all'), ('supply')) t(mode)"""
+
+
+def fetch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each member of the trees asks first and second: ancestors with an address whose circuit is closed, by the breaker's log."""
+    v = M.canonical(members(spark, sf_dir))
+    end = access_log(spark, sf_dir).agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("end")).first()["end"]
+    last = breaker_trace(spark, sf_dir).groupBy("peer").agg(F.max_by(F.struct("state", "opened_at"), "seq").alias("c"))
+    sick = last.where((F.col("c.state") == "open") & (F.lit(end) - F.col("c.opened_at") < COOLDOWN * HOUR)).select(F.concat(F.lit("Customer#"), F.lpad(F.col("peer").cast("string"), 9, "0")).alias("id"))
+    broken = v.join(sick, "id", "left_semi").select("addr")
+    return T.fetch_targets(P.tree_nodes(_tree_keys(spark, sf_dir), v, _READER), v, broken)
+
+
+def _fetch_targets_sql() -> str:
+    return f"""with recursive {_BREAKERS}, {_TREES},
+ord as (select key, row_number() over (partition by key order by rank) as pos, node_id from rd union all select key, 0::BIGINT, o from own),
+sick as (select 'Customer#' || lpad(peer::VARCHAR, 9, '0') as id from (select peer, max_by(st, n) as st, max_by(opened, n) as opened from s group by peer) where st = 'open' and (select max(tm) from log) - opened < {COOLDOWN * HOUR}),
+usable as (select id, addr from m where addr <> '' and addr not in (select addr from m where id in (select id from sick))),
+down(key, lo, hi, parent) as (
+  select key, 0::BIGINT, max(pos), -1::BIGINT from ord group by key
+  union all
+  select key, st, st + base - (case when c < extra then 0 else 1 end), lo from (select *, lo + 1 + c * base + least(c, extra) as st from (
+    select d.*, (hi - lo) // f as base, (hi - lo) % f as extra, unnest(range(0, least(f, hi - lo))) as c from (select *, case when lo = 0 then 1 else 2 end as f from down where hi > lo) d))),
+up(key, pos, hop, anc) as (select key, lo, 1, parent from down where parent >= 0 union all select up.key, up.pos, hop + 1, down.parent from up join down on down.key = up.key and down.lo = up.anc where down.parent >= 0),
+met as (select up.key, up.pos, hop, anc, addr from up join ord on ord.key = up.key and ord.pos = up.anc join usable on usable.id = ord.node_id),
+t as (select key, pos, list({{'hop': hop, 'anc': anc, 'addr': addr}} order by hop) as t from met group by key, pos)
+select ord.key, ord.pos, node_id, t[1].addr as primary, t[2].addr as backup, case when t is null then null when t[1].anc = 0 then 'root' when t[1].hop = 1 then 'parent' else 'ancestor' end as target from ord left join t using (key, pos)"""
+
+
+TARGETS_OF = _fetch_targets_sql()
 
 
 def hedge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +227,12 @@ select n, k::BIGINT as k, r::BIGINT as root_k, pos, list(anc order by hop)[1] as
 
 
 def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members that are reported twice under ids of half as many."""
+    """Members that are reported several times under few ids."""
     k = F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint")
-    return members(spark, sf_dir).withColumn("id", F.concat(F.lit("m"), (k % 500).cast("string")))
+    return members(spark, sf_dir).withColumn("id", F.concat(F.lit("m"), (k % 60).cast("string")))
 
 
-_DOUBLED = f"select 'm' || (regexp_extract(id, '([0-9]+)$', 1)::BIGINT % 500) as id, addr, weight, role, state from ({MEMBERS_SQL})"
+_DOUBLED = f"select 'm' || (regexp_extract(id, '([0-9]+)$', 1)::BIGINT % 60) as id, addr, weight, role, state from ({MEMBERS_SQL})"
 
 
 def view_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,10 +244,16 @@ CANONICAL = f"""select id, addr, weight, role, state from (select *, row_number(
 
 def view_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = M.canonical(members(spark, sf_dir))
-    return v.agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("state") == 1).alias("ready"), F.count_if(F.col("state").isin(1, 2)).alias("live"), F.count_if((F.col("state") == 1) & (F.col("role") != 2)).alias("roots"), F.count_if((F.col("state") == 1) & (F.col("role") != 1)).alias("readers"))
+    parts = {"members": v, "ready": M.ready(v), "live": M.live(v), "roots": M.roots(v), "readers": M.readers(v)}
+    counted = [d.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).select(F.lit(name).alias("part"), "n", "first") for name, d in parts.items()]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
 
 
-ROLES = f"select count(*) as members, count_if(state = 1)::BIGINT as ready, count_if(state in (1, 2))::BIGINT as live, count_if(state = 1 and role <> 2)::BIGINT as roots, count_if(state = 1 and role <> 1)::BIGINT as readers from ({MEMBERS_SQL})"
+ROLES = f"""with m as ({MEMBERS_SQL}) select part, count(*) as n, min(id) as first from (select 'members' as part, id from m union all select 'ready', id from m where state = 1
+  union all select 'live', id from m where state in (1, 2) union all select 'roots', id from m where state = 1 and role <> 2 union all select 'readers', id from m where state = 1 and role <> 1) group by part"""
 
 
 def membership_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,14 +303,28 @@ def roster_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT = f"select 'other' as caller, count(*) as n from ({MEMBERS_SQL}) where addr <> '' union all select 'same', 1"
 
 
+_ROSTERS = """'{"epoch":"' || case when s_suppkey % 5 = 0 then 'x' else '' end || s_suppkey || '","members":[{"id":"a","addr":"h:1","weight":1.5' || case when s_suppkey % 3 = 0 then '' else ',"role":1' end || '}' || case when s_suppkey % 4 = 0 then ',{"addr":"k:2","role":0}' else '' end || ']}'"""
+
+
 def roster_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rosters as JSON; every third member lacks its role."""
-    role = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(',"role":1')
-    raw = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('{"epoch":"'), F.col("s_suppkey").cast("string"), F.lit('","members":[{"id":"a","addr":"h:1","weight":1.5'), role, F.lit("}]}")).alias("json"))
+    """Rosters as JSON; some members lack their role or id, some epochs are no numbers."""
+    raw = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_ROSTERS).alias("json"))
     return M.decode_rosters(raw).select("s_suppkey", "epoch", "valid", F.size("members").cast("bigint").alias("n"))
 
 
-DECODE = "select s_suppkey, s_suppkey::VARCHAR as epoch, s_suppkey % 3 <> 0 as valid, 1::BIGINT as n from supplier"
+DECODE = f"""
+with t as (select s_suppkey, ({_ROSTERS})::JSON as j from supplier), p as (select s_suppkey, j ->> '$.epoch' as epoch, (j -> '$.members')::JSON[] as members from t)
+select s_suppkey, epoch, regexp_full_match(epoch, '[0-9]+') and len(list_filter(members, lambda x: (x ->> '$.role') is null or (x ->> '$.id') is null)) = 0 as valid, len(members)::BIGINT as n from p
+"""
+
+
+def roster_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responders that their own roster lists more than once."""
+    d = _doubled(spark, sf_dir)
+    return M.roster_conflicts(d, "m7").unionByName(M.roster_conflicts(members(spark, sf_dir), _READER))
+
+
+CONFLICTS = f"select id, count(*) as n from ({_DOUBLED}) where id = 'm7' group by id having count(*) > 1"
 
 
 def asof_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,10 +346,24 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENDPOINTS = "select distinct p || s_suppkey || ':8080' as addr from supplier, (values ('10.1.0.'), ('10.3.0.')) t(p) where s_suppkey % 10 <> 0"
 
 
+_EPOCH_LABEL, _ROSTER_LABEL = b"roles-v1\0", b"roster-v1\0"
+
+
 def epoch_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placement epoch and roster digest of the members."""
     v = M.canonical(members(spark, sf_dir))
-    return M.epoch(v, b"roles-v1\0").crossJoin(M.roster_digest(v, b"roster-v1\0"))
+    return M.epoch(v, _EPOCH_LABEL).crossJoin(M.roster_digest(v, _ROSTER_LABEL))
+
+
+# The bits of a positive weight: its exponent, corrected for rounding, and what is left as a whole number.
+EPOCH = f"""
+with m as ({MEMBERS_SQL}), e as (select *, floor(log2(weight)) as e0 from m),
+x as (select *, case when weight < pow(2, e0) then e0 - 1 when weight >= pow(2, e0 + 1) then e0 + 1 else e0 end as e1 from e),
+b as (select *, (((e1 + 1023)::HUGEINT * 4503599627370496) + ((weight / pow(2, e1) - 1) * 4503599627370496)::HUGEINT)::BIGINT as bits from x),
+f as (select flatten(list(list_concat({Q.chars('id')}, [31::UBIGINT], {Q.int_bytes('bits', 'big')}, [role::UBIGINT, 30::UBIGINT]) order by id)) as body from b),
+d as (select string_agg(lpad(hex(length(id)::BIGINT), 16, '0') || hex(id) || lpad(hex(length(addr)::BIGINT), 16, '0') || hex(addr) || lpad(hex(bits), 16, '0') || lpad(hex(role::BIGINT), 2, '0'), '' order by id) as body from b where addr <> '')
+select {Q.signed(Q.fmix(Q.fnv(Q.FNV_OFFSET, f"list_concat([{', '.join(f'{x}::UBIGINT' for x in _EPOCH_LABEL)}], f.body)")))} as epoch, 'v1-' || sha256(unhex('{_ROSTER_LABEL.hex()}' || d.body)) as digest from f, d
+"""
 
 
 def reader_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,15 +374,26 @@ def reader_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SNAPSHOTS = f"select file as object, node % 7 as tracker, max_by(event_id, ((event_id * 7919) % 10007, event_id)) as epoch, max_by(node::VARCHAR, ((event_id * 7919) % 10007, event_id)) as readers from ({LOG_SQL}) group by all"
 
+
+
+def reader_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose file's reader set (here: three nodes by remainder, in any order) isn't that of the event before."""
+    e = access_log(spark, sf_dir).select(F.col("file").alias("object"), "event_id", F.array(F.col("node") % 3, (F.col("node") + F.col("event_id") % 2) % 3).alias("readers"))
+    return M.changed_readers(e, ["object"], "event_id").select("object", "event_id")
+
+
+CHANGES = f"""with s as (select file as object, event_id, least(node % 3, (node + event_id % 2) % 3) as a, greatest(node % 3, (node + event_id % 2) % 3) as b from ({LOG_SQL})),
+w as (select *, lag((a, b)) over (partition by object order by event_id) as was from s) select object, event_id from w where was is null or was <> (a, b)"""
+
 QUERIES = {
     "reader_snapshots": reader_snapshots, "ring_topn": ring_topn, "owner_share": owner_share, "weighted_share": weighted_share, "rebalance_moved": rebalance_moved, "owned_or_borrowed": owned_or_borrowed, "ring_report": ring_report, "root_walk": root_walk,
     "tracker_owner": tracker_owner, "tree_parent_depth": tree_parent_depth, "tree_children": tree_children, "child_segments": child_segments, "tree_nodes": tree_nodes, "hedge_targets": hedge_targets,
     "view_canonical": view_canonical, "view_roles": view_roles, "membership_expire": membership_expire, "refresh_targets": refresh_targets, "reader_semi": reader_semi, "roster_anti": roster_anti, "roster_select": roster_select,
-    "roster_decode": roster_decode, "asof_view": asof_view, "endpoints": endpoints, "epoch_value": epoch_value,
+    "roster_decode": roster_decode, "asof_view": asof_view, "endpoints": endpoints, "epoch_value": epoch_value, "fetch_targets": fetch_targets, "roster_conflicts": roster_conflicts, "reader_changes": reader_changes,
 }
 ORACLE_SQL = {
     "reader_snapshots": SNAPSHOTS, "ring_topn": RING, "owner_share": OWNER, "weighted_share": WEIGHTED, "rebalance_moved": MOVED, "owned_or_borrowed": OWNED, "ring_report": REPORT, "root_walk": WALK,
     "tracker_owner": TRACKER, "tree_parent_depth": PARENTS, "tree_children": CHILDREN, "child_segments": DEAL, "tree_nodes": NODES, "hedge_targets": HEDGE,
     "view_canonical": CANONICAL, "view_roles": ROLES, "membership_expire": EXPIRE, "refresh_targets": TARGETS, "reader_semi": READERS, "roster_anti": ANTI, "roster_select": SELECT,
-    "roster_decode": DECODE, "asof_view": ASOF, "endpoints": ENDPOINTS,
+    "roster_decode": DECODE, "asof_view": ASOF, "endpoints": ENDPOINTS, "epoch_value": EPOCH, "fetch_targets": TARGETS_OF, "roster_conflicts": CONFLICTS, "reader_changes": CHANGES,
 }
