@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
-from ..functions import u64
-from ..operators import cachesim as C
 from ..operators import flights as L
 from ..sources.tables import LOG_SQL, access_log, table
-from ..streaming import machines as S
 
 HOUR = 3_600_000_000
 
@@ -66,17 +63,20 @@ select event_id, e and sum(e::INTEGER) over (partition by node order by ts, even
 
 def hedged_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = access_log(spark, sf_dir)
-    t2, ok2 = F.lit(500.0) - F.col("value"), F.col("event_id") % 4 != 0
-    r = L.race(F.col("value"), t2, ~F.col("failed"), ok2, F.lit(120.0), F.col("event_id") % 2 == 0)
+    n = F.col("event_id")
+    result = lambda k: F.when(k % 13 == 0, "refused").when(k % 11 == 0, "buffer").when(k % 4 == 0, "failed").otherwise("held")
+    r = L.race(F.col("value"), F.when(n % 10 != 0, F.lit(500.0) - F.col("value")), F.when(F.col("failed"), "failed").otherwise(result(n)), result(n * 7 + 3), F.lit(120.0), n % 2 == 0)
     return e.select("event_id", r.alias("r")).select("event_id", "r.winner", "r.hedged", "r.failover", F.round("r.at", 6).alias("at"))
 
 
+_RESULT = "case when {0} % 13 = 0 then 'refused' when {0} % 11 = 0 then 'buffer' when {0} % 4 = 0 then 'failed' else 'held' end"
 RACE = f"""
-with t as (select event_id, value as t1, 500.0 - value as t2, not failed as ok1, event_id % 4 <> 0 as ok2, event_id % 2 = 0 as may from ({LOG_SQL})),
-d as (select *, not ok1 and t1 <= 120 as early, not (not ok1 and t1 <= 120) and may and t1 > 120 as hedged from t),
-f as (select *, early or (not ok1 and not hedged) as failover from d),
-s as (select *, case when ok2 then case when hedged then 120.0 when failover then t1 end + t2 end as b, case when ok1 then t1 end as p from f)
-select event_id, case when p is not null and (b is null or p <= b) then 'primary' when b is not null then 'backup' else 'none' end as winner, hedged, failover, round(case when p is null then b when b is null then p else least(p, b) end, 6) as at from s
+with t as (select event_id, value as t1, case when event_id % 10 <> 0 then 500.0 - value end as t2, case when failed then 'failed' else {_RESULT.format('event_id')} end as o1, {_RESULT.format('(event_id * 7 + 3)')} as o2, event_id % 2 = 0 as may from ({LOG_SQL})),
+l as (select *, t2 is not null and may and t1 > 120 as hedged from t), f as (select *, t2 is not null and not hedged and o1 = 'failed' as failover from l),
+e as (select event_id, 'primary' as who, t1 as tm, o1 as o from f union all select event_id, 'backup', case when hedged then 120.0 else t1 end + t2, o2 from f where hedged or failover),
+d as (select event_id, min_by({{'who': who, 'o': o, 'tm': tm}}, (tm, case who when 'primary' then 0 else 1 end)) as x from e where o in ('held', 'refused') group by event_id),
+last as (select event_id, max(tm) as tm from e group by event_id)
+select f.event_id, case when x.o = 'refused' then 'refused' else coalesce(x.who, 'none') end as winner, hedged, failover, round(coalesce(x.tm, last.tm), 6) as at from f join last using (event_id) left join d using (event_id)
 """
 
 
@@ -137,98 +137,79 @@ def prefetch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PREFETCH = "select l_orderkey, l_linenumber::BIGINT as block, max(l_linenumber) over (partition by l_orderkey order by l_linenumber rows between current row and 1 following)::BIGINT as window_end from lineitem"
 
-# Caches -----------------------------------------------------------------------------------------
 
-
-def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of up to 490 minutes at a tenth of the nodes each; every third is speculative."""
     e = access_log(spark, sf_dir)
-    return e.select(F.col("file").alias("cache"), F.col("event_id").alias("seq"), F.col("node").alias("key"), (F.col("node") % 4 == 0).alias("owned"))
-
-
-def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.lru_hits(_trace(spark, sf_dir), 40)
-
-
-LRU = """
-with t as (select event_type as cache, event_id as seq, user_id as key, lag(event_id) over (partition by event_type, user_id order by event_id) as prev from events)
-select a.cache, a.seq, a.prev is not null and (select count(distinct b.key) from t b where b.cache = a.cache and b.seq > a.prev and b.seq < a.seq) < 40 as hit from t a
+    return e.select((F.col("node") % 10).alias("node"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("load"), "bytes", F.floor(F.col("value") * 60_000_000).cast("bigint").alias("takes_us"), (F.col("event_id") % 3 == 0).alias("speculative"))
+
+
+def _admitted(max_bytes: int, max_loads: int, reserve: int) -> str:
+    """One load of each node a step; ``run`` holds the loads under way."""
+    spare = f"case when speculative and {reserve} > 0 then {{}} else 0 end"
+    return f"""
+with recursive ev as (select node % 10 as node, event_id as load, epoch_us(ts) as tm, bytes, floor(value * 60000000)::BIGINT as takes, event_id % 3 = 0 as speculative, row_number() over (partition by node % 10 order by ts, event_id) as n from ({LOG_SQL})),
+s(node, n, load, admitted, run) as (
+  select distinct node, 0::BIGINT, 0::BIGINT, false, []::STRUCT(ends BIGINT, size BIGINT)[] from ev
+  union all
+  select node, n, load, ok, case when ok then list_append(run, {{'ends': tm + takes, 'size': bytes}}) else run end
+  from (select *, len(run) < {max_loads} - {spare.format(1)} and bytes <= {max_bytes} - {spare.format(reserve)} - coalesce(list_sum(list_transform(run, lambda x: x.size)), 0) as ok
+    from (select ev.*, list_filter(s.run, lambda x: x.ends > ev.tm) as run from s join ev on ev.node = s.node and ev.n = s.n + 1)))
+select node, load, admitted, 0::BIGINT as waited_us, coalesce(list_sum(list_transform(run, lambda x: x.size)), 0)::BIGINT as bytes, len(run)::BIGINT as loads from s where n > 0
 """
 
 
-def recency_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.recency_gap(_trace(spark, sf_dir).select("cache", "seq", "key"))
+def receive_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads that a node takes on; speculative ones leave room for a block."""
+    return L.admissions(_loads(spark, sf_dir), ["node"], 1 << 20, 4, 200 << 10)
 
 
-GAP = """
-with n as (select event_type as cache, event_id as seq, user_id as key, row_number() over (partition by event_type order by event_id) as n from events)
-select cache, seq, key, n - lag(n) over (partition by cache, key order by seq) as gap from n
-"""
+RECEIVE = _admitted(1 << 20, 4, 200 << 10)
 
 
-def sketch_estimate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.estimate_exact(_trace(spark, sf_dir), ["cache", "key"]).select("cache", "key", F.col("estimate").cast("bigint").alias("estimate"))
+def prefetch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speculative loads within a budget of their own, without a reserve."""
+    return L.admissions(_loads(spark, sf_dir), ["node"], 800 << 10, 3)
 
 
-SKETCH = "select event_type as cache, user_id as key, least(count(*) - 1, 15) + 1 as estimate from events group by all"
+PREFETCHED = _admitted(800 << 10, 3, 0)
 
 
-def tiered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 2).cast("bigint").alias("slots"), ((F.col("p_partkey") % 11) / 10).alias("fraction"))
-    return d.select("p_partkey", *C.split_columns())
+def flight_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which transfer serves each call; where the leader is refused, those who joined transfer alone."""
+    log = access_log(spark, sf_dir).withColumn("refused", F.col("event_id") % 6 == 1)
+    return L.flight_results(L.flight_calls(log, ["file"], "ts", "event_id", HOUR), log, ["file"], "event_id", "refused")
 
 
-SPLIT = """
-select p_partkey, owned, slots - owned as borrowed from (select *, case when f > 0 and f < 1 then least(greatest(floor(slots * f)::BIGINT, 1), slots - 1) else floor(slots * f)::BIGINT end as owned
-  from (select p_partkey, (p_size + 2)::BIGINT as slots, (p_partkey % 11) / 10 as f from part))
+RESULTS = FLIGHTS[: FLIGHTS.rindex("select file, min_by")] + """, r as (select file, event_id as call, min_by(event_id, t) over (partition by file, s) as leader from j)
+select file, call, case when call <> leader and leader % 6 = 1 then call else leader end as transfer, call <> leader and leader % 6 <> 1 as coalesced from r
 """
 
 
-def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trace(spark, sf_dir).withColumn("key", u64.block_key_hash(F.lit(7).cast("bigint"), F.col("key")))
-
-
-def tiered_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.simulate(_hashed(spark, sf_dir), 50)
-
-
-def hybrid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.simulate(_hashed(spark, sf_dir), 50, memory=16)
-
+def lease_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of blocks, shared within a membership epoch and apart for terminal supply."""
+    log = access_log(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    calls = log.select((F.col("node") % 5).alias("block"), F.floor(F.col("at") / (24 * HOUR)).alias("epoch"), (F.col("event_id") % 7 == 0).alias("supply"), "at", F.col("event_id").alias("call"), F.floor(F.col("value") * 30_000_000).cast("bigint").alias("load_us"), F.lit(None).cast("bigint").alias("leaves_at"))
+    return L.lease_flights(calls, ["block", "epoch", "supply"])
 
-def cache_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.occupancy(C.simulate(_hashed(spark, sf_dir), 50))
-
-
-# State machines ---------------------------------------------------------------------------------
-
-
-def breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = access_log(spark, sf_dir).select(F.col("node").alias("peer"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.when(F.col("failed"), F.when(F.col("event_id") % 7 == 0, "hard_fail").otherwise("soft_fail")).otherwise("answered").alias("outcome"))
-    return S.breaker_states(e, threshold=2, cooldown_us=24 * HOUR)
-
-
-def tracker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = access_log(spark, sf_dir).select("file", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit("n"), F.col("node").cast("string")).alias("node"), F.when(F.col("event_id") % 9 == 0, "leave").when(F.col("event_id") % 9 == 1, "readers").otherwise("join").alias("op"), F.lit(6 * HOUR).alias("ttl_us"))
-    return S.tracker_states(e, tick_us=3 * HOUR, grace_us=24 * HOUR, max_ttl_us=100 * HOUR)
-
-
-def membership_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = access_log(spark, sf_dir).select(F.col("node").cast("string").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.lit("h").alias("addr"), F.col("value").alias("weight"), (F.col("event_id") % 3).cast("int").alias("role"), F.when(F.col("failed"), "learn").when(F.col("event_id") % 2 == 0, "member").otherwise("confirm").alias("op"))
-    return S.membership_states(e, forget_after_us=24 * HOUR)
-
-
-def open_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peers whose circuit is open at the end of the log."""
-    return breaker_trace(spark, sf_dir).groupBy("peer").agg(F.max_by("state", "seq").alias("state")).agg(F.count_if(F.col("state") == "open").alias("open"))
 
+LEASES_SHARED = f"""
+with recursive ev as (select node % 5 as block, epoch_us(ts) // {24 * HOUR} as epoch, event_id % 7 = 0 as supply, event_id as call, epoch_us(ts) as tm, floor(value * 30000000)::BIGINT as takes,
+    row_number() over (partition by node % 5, epoch_us(ts) // {24 * HOUR}, event_id % 7 = 0 order by ts, event_id) as n from ({LOG_SQL})),
+s(block, epoch, supply, n, call, leader, started, ends) as (
+  select block, epoch, supply, n, call, call, tm, tm + takes from ev where n = 1
+  union all
+  select ev.block, ev.epoch, ev.supply, ev.n, ev.call, case when ev.tm < s.ends then s.leader else ev.call end, case when ev.tm < s.ends then s.started else ev.tm end, case when ev.tm < s.ends then s.ends else ev.tm + ev.takes end
+  from s join ev on ev.block = s.block and ev.epoch = s.epoch and ev.supply = s.supply and ev.n = s.n + 1)
+select block, epoch, supply, call, leader, started, call <> leader as shared from s
+"""
 
 QUERIES = {
     "lease_sessions": lease_sessions, "coalesced_flights": coalesced_flights, "latency_ring_quantile": latency_ring_quantile, "hedge_limiter": hedge_limiter, "hedged_race": hedged_race, "breaker_streaks": breaker_streaks,
-    "refresh_backoff": refresh_backoff, "rules_scalar": rules_scalar, "receive_budget": receive_budget, "prefetch_window": prefetch_window, "lru_stack_distance": lru_hits, "recency_gap": recency_gap,
-    "sketch_estimate_exact": sketch_estimate_exact, "tiered_split": tiered_split, "tiered_trace": tiered_trace, "hybrid_trace": hybrid_trace, "cache_occupancy": cache_occupancy, "breaker_trace": breaker_trace,
-    "tracker_trace": tracker_trace, "membership_trace": membership_trace, "open_circuits": open_circuits,
+    "refresh_backoff": refresh_backoff, "rules_scalar": rules_scalar, "receive_budget": receive_budget, "prefetch_window": prefetch_window, "receive_admissions": receive_admissions, "prefetch_budget": prefetch_budget,
+    "flight_results": flight_results, "lease_flights": lease_flights,
 }
 ORACLE_SQL = {
     "lease_sessions": LEASES, "coalesced_flights": FLIGHTS, "latency_ring_quantile": QUANTILE, "hedge_limiter": LIMITER, "hedged_race": RACE, "breaker_streaks": STREAKS, "refresh_backoff": BACKOFF, "rules_scalar": RULES,
-    "receive_budget": BUDGET, "prefetch_window": PREFETCH, "lru_stack_distance": LRU, "recency_gap": GAP, "sketch_estimate_exact": SKETCH, "tiered_split": SPLIT,
+    "receive_budget": BUDGET, "prefetch_window": PREFETCH, "receive_admissions": RECEIVE, "prefetch_budget": PREFETCHED, "flight_results": RESULTS, "lease_flights": LEASES_SHARED,
 }
