@@ -147,9 +147,15 @@ def scope_for(path: Column) -> Column:
 
 
 def challenge(header: Column) -> Column:
-    """Struct ``(scheme, realm, service, scope)`` of a WWW-Authenticate header; commas within quotes don't separate."""
-    value = lambda k: F.nullif(F.regexp_extract(header, rf'(?i)(?:^\S+\s+|,\s*){k}="([^"]*)"', 1), F.lit(""))
-    return F.struct(F.lower(F.regexp_extract(header, r"^\s*(\S+)", 1)).alias("scheme"), value("realm").alias("realm"), value("service").alias("service"), value("scope").alias("scope"))
+    """Struct ``(scheme, realm, service, scope)`` of a WWW-Authenticate header; the empty string where absent.
+
+    Parameters are separated by commas outside quotes; of one that repeats the last counts. Values may be unquoted.
+    """
+    h = F.trim(header)
+    parts = F.regexp_extract_all(F.regexp_extract(h, r"(?s)^\S+ (.*)$", 1), F.lit(r'((?:"[^"]*(?:"|$)|[^,"])+)'), F.lit(1))
+    split = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, "(?s)^([^=]*)=", 1))).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)), '^"+|"+$', "").alias("v")))
+    value = lambda k: F.coalesce(F.try_element_at(F.filter(split, lambda x: x["k"] == k), F.lit(-1))["v"], F.lit(""))
+    return F.struct(F.regexp_extract(h, r"^(\S*)", 1).alias("scheme"), value("realm").alias("realm"), value("service").alias("service"), value("scope").alias("scope"))
 
 
 def parse_block_path(path: Column) -> Column:
@@ -176,10 +182,32 @@ def parse_peers(spec: Column) -> Column:
     return F.transform(items, lambda s: F.struct(F.nullif(at(s, 1), F.lit("")).alias("id"), F.nullif(at(s, 2), F.lit("")).alias("addr"), role(at(s, 3)).alias("role")))
 
 
+HOST_PORT = r"^(?:\[[^\[\]]*\]|[^\[\]:]*):[^:\[\]]*$"
+
+
 def parse_seeder(spec: Column) -> Column:
-    """Struct ``(kind, target)``: ``dns:<name>``, ``static:<list>`` or a bare list."""
-    kind = F.when(F.startswith(spec, F.lit("dns:")), "dns").otherwise("static")
-    return F.struct(kind.alias("kind"), F.regexp_replace(spec, "^(dns|static):", "").alias("target"))
+    """Struct ``(kind, target, addrs)``: ``dns:<name>:<port>``, ``static:<list>`` or a bare list of host:port; null where it can't be read.
+
+    A list may have empty entries, but no other than host:port; a port of a name is from 1 to 65535.
+    """
+    s = F.trim(spec)
+    rest = F.regexp_replace(s, "^(dns|static):", "")
+    dns = F.startswith(s, F.lit("dns:"))
+    port = try_long(F.regexp_extract(rest, "^(.*):([^:]*)$", 2))
+    name = F.regexp_replace(F.regexp_extract(rest, "^(.*):([^:]*)$", 1), r"^\[|\]$", "")
+    items = F.filter(F.transform(F.split(rest, ","), lambda x: F.trim(x)), lambda x: x != "")
+    ok = F.when(dns, rest.rlike(HOST_PORT) & (name != "") & port.between(1, 65535)).otherwise((F.size(items) > 0) & F.forall(items, lambda x: x.rlike(HOST_PORT)))
+    made = F.struct(F.when(dns, "dns").otherwise("static").alias("kind"), F.when(dns, rest).otherwise(F.array_join(items, ",")).alias("target"), F.when(dns, F.array(rest)).otherwise(items).alias("addrs"))
+    return F.when(F.coalesce(ok, F.lit(False)), made)
+
+
+def parse_role(name: Column) -> Column:
+    """0, 1 or 2 for ordinary, root-only and non-root; null for any other name."""
+    return F.when(name == "ordinary", 0).when(name == "root-only", 1).when(name == "non-root", 2)
+
+
+def role_name(role: Column) -> Column:
+    return F.when(role == 1, "root-only").when(role == 2, "non-root").otherwise("ordinary")
 
 
 def parse_endpoint_spec(spec: Column) -> Column:
@@ -200,9 +228,53 @@ def advertised_ok(addr: Column) -> Column:
     return (host != "") & ~wild
 
 
+def advertised_addr(explicit: Column, listen: Column, own_host: Column) -> Column:
+    """The address that others are told: the explicit one, or the listening one with ``own_host`` in place of an unspecified host.
+
+    Null where an explicit address is unspecified or no host:port, or where no host is known.
+    """
+    bare = F.regexp_replace(F.regexp_extract(listen, r"^(.*):([^:]*)$", 1), r"^\[|\]$", "")
+    port = F.regexp_extract(listen, r"^(.*):([^:]*)$", 2)
+    host = F.when(advertised_ok(listen), bare).otherwise(F.nullif(own_host, F.lit("")))
+    told = F.concat(F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.lit(":"), port)
+    return F.when(F.coalesce(explicit, F.lit("")) != "", F.when(explicit.rlike(HOST_PORT) & advertised_ok(explicit), explicit)).when(listen.rlike(HOST_PORT), told)
+
+
 def route(uri: Column) -> Column:
-    """"registry" for paths under /v2/, else "prefix"."""
-    return F.when(F.startswith(uri, F.lit("/v2/")), "registry").otherwise("prefix")
+    """"registry" for /v2 and paths under it, else "prefix"."""
+    return F.when(F.startswith(uri, F.lit("/v2/")) | (uri == "/v2"), "registry").otherwise("prefix")
+
+
+def resolve(uri: Column, prefix: str, origin: str = "") -> Column:
+    """The upstream url of a request: the fixed origin, or what follows ``/<prefix>/`` if it has a scheme; else null."""
+    if origin:
+        return F.lit(origin)
+    p = "/" + prefix.strip("/") + "/"
+    rest = F.substr(uri, F.lit(len(p) + 1))
+    return F.when(F.startswith(uri, F.lit(p)) & (F.startswith(rest, F.lit("http://")) | F.startswith(rest, F.lit("https://"))), rest)
+
+
+def size_probe(status: Column, header: Column, length: Column) -> Column:
+    """Struct ``(ok, size, no_range)`` of the answer to a request for the first byte.
+
+    206 tells the size in its Content-Range, and is no answer without it; 416 means an empty object; 200 that ranges are ignored, with a
+    size of -1 where the length is unknown.
+    """
+    total = content_range(header)["total"]
+    ok = (status == 416) | (status == 200) | ((status == 206) & (total >= 0))
+    size = F.when(status == 416, F.lit(0)).when(status == 206, total).otherwise(F.coalesce(length, F.lit(-1))).cast("bigint")
+    return F.struct(ok.alias("ok"), F.when(ok, size).alias("size"), (ok & (status == 200)).alias("no_range"))
+
+
+#: Headers of an origin's answer that are handed on.
+HANDED_ON = ["content-type", "content-length", "content-range", "content-encoding", "etag", "last-modified", "cache-control", "accept-ranges"]
+
+
+def passthrough(method: Column, status: Column, headers: Column, body_bytes: Column) -> Column:
+    """Struct ``(status, headers, bytes)`` of a request that is handed to its origin: nothing is cached, only headers of the entity
+    go on, and a HEAD gets no body."""
+    kept = F.map_filter(headers, lambda k, _: F.lower(k).isin(HANDED_ON))
+    return F.struct(status.alias("status"), kept.alias("headers"), F.when(method == "HEAD", F.lit(0)).otherwise(body_bytes).cast("bigint").alias("bytes"))
 
 
 def upstream_url(base: Column, path: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import escape_label
+from ..functions.identity import escape_help, escape_label
 
 #: Bucket bounds in seconds, and of reader counts.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0]
@@ -57,11 +57,11 @@ def number_column(x: Column) -> Column:
 def exposition(metrics: DataFrame) -> DataFrame:
     """``(seq, line)``: text exposition of ``metrics(seq, name, help, kind, labels map, value)``.
 
-    HELP and TYPE come before the first sample of a name; samples keep their order ``seq``, names that of
-    their first sample.
+    HELP and TYPE come before the first sample of a name, HELP only where there is one; samples keep their order ``seq``, names
+    that of their first sample. Backslashes and line feeds of a help text are escaped, in labels quotes as well.
     """
     first = metrics.groupBy("name").agg(F.min("seq").alias("at"), F.min_by("help", "seq").alias("help"), F.min_by("kind", "seq").alias("kind"))
-    head = first.select(F.struct(F.col("at"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s")).alias("seq"), F.explode(F.array(F.concat(F.lit("# HELP "), "name", F.lit(" "), "help"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind"))).alias("line"))
+    head = first.select(F.struct(F.col("at"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s")).alias("seq"), F.explode(F.array_compact(F.array(F.when(F.col("help") != "", F.concat(F.lit("# HELP "), "name", F.lit(" "), escape_help(F.col("help")))), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind")))).alias("line"))
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escape_label(e["value"]), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     body = metrics.join(first.select("name", "at"), "name").select(F.struct(F.col("at"), F.lit(1).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), F.concat("name", labels, F.lit(" "), number_column(F.col("value"))).alias("line"))
@@ -85,6 +85,23 @@ def hit_ratio(df: DataFrame, source: str) -> DataFrame:
     return df.agg(ratio(s == "cache").alias("hit_ratio"), ratio(s.isin("cache", "peer")).alias("in_cluster_ratio"))
 
 
+def share(df: DataFrame, by: list[str], wanted: Column, name: str) -> DataFrame:
+    """``(*by, name)``: share of the rows for which ``wanted`` holds; null without rows."""
+    return df.groupBy(*by).agg(F.try_divide(F.count_if(wanted), F.count(F.lit(1))).alias(name))
+
+
+def sampled(snapshot: DataFrame, names: dict[str, tuple[str, str, str]], labels: list[str]) -> DataFrame:
+    """``(seq, name, help, kind, labels, value)`` for ``exposition``: columns of a snapshot as metrics that are read when they are asked for.
+
+    ``names``: column -> (metric, kind, help); ``labels``: columns that become labels. Rows with a null value are left out.
+    """
+    given = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.col(x).cast("string") for x in labels])) if labels else F.create_map().cast("map<string,string>")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), F.lit(h).alias("help"), F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for i, (c, (n, k, h)) in enumerate(names.items())])
+    row = F.monotonically_increasing_id()
+    out = snapshot.select(row.alias("_r"), given.alias("labels"), F.explode(each).alias("x")).where("x.value is not null")
+    return out.select((F.col("x.i").cast("bigint") * (1 << 40) + F.col("_r")).alias("seq"), "x.name", "x.help", "x.kind", "labels", "x.value")
+
+
 def ingress_bytes(df: DataFrame, source: str, size: str, coalesced: str) -> DataFrame:
     """``(source, bytes)``: each completed transfer counts once, followers of it not at all."""
     return df.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.when(~F.col(coalesced), F.col(size))), F.lit(0)).alias("bytes"))

@@ -9,6 +9,7 @@ from ..functions import identity as I
 from ..functions import sqltext as Q
 from ..functions import u64
 from ..functions.grid import Grid, clamp, relayable
+from ..operators import requests as R
 from ..sources.tables import table
 
 GRID = Grid(chunk=4096, block=1024)
@@ -16,14 +17,15 @@ NAMESPACE = "blocks"
 
 
 def segments_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of whole documents as objects of n_chars bytes."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("bigint").alias("start"), (F.col("n_chars") - 1).alias("end"))
+    """Blocks of documents as objects of n_chars bytes, asked for from somewhere within them up to their end or a bit before."""
+    d = table(spark, sf_dir, "documents").where("n_chars > 0")
+    d = d.select("doc_id", ((F.col("doc_id") * 131) % F.col("n_chars")).alias("start"), (F.col("n_chars") - 1 - F.col("doc_id") % 3).alias("end"))
     return GRID.explode_segments(d, "start", "end").select("doc_id", "chunk", "block", F.col("from").alias("from_byte"), F.col("to").alias("to_byte"))
 
 
 SEGMENTS = """
-select doc_id, b // 4 as chunk, b as block, greatest(0, b * 1024) as from_byte, least(n_chars - 1, b * 1024 + 1023) as to_byte
-from (select doc_id, n_chars, unnest(range(0, (n_chars - 1) // 1024 + 1)) as b from documents where n_chars > 0)
+select doc_id, b // 4 as chunk, b as block, greatest(s, b * 1024) as from_byte, least(e, b * 1024 + 1023) as to_byte
+from (select doc_id, s, e, unnest(range(s // 1024, e // 1024 + 1)) as b from (select doc_id, (doc_id * 131) % n_chars as s, n_chars - 1 - doc_id % 3 as e from documents where n_chars > 0) where e >= s)
 """
 
 
@@ -174,12 +176,13 @@ select page_id, coalesce(dig, case when b.hex <> '' and substr(b.hex, 1, 2) = b.
 
 
 def digest_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of the content store's layout: content-addressed only with that layout switched on."""
-    p = _pages(spark, sf_dir).where("page_id % 3 = 1")
+    """Whether urls are content-addressed with the content store's layout switched on, and without."""
+    p = _pages(spark, sf_dir)
     return p.select("page_id", I.object_id(F.col("u"))["content_addressed"].alias("with_layout"), I.object_id(F.col("u"), False)["content_addressed"].alias("plain"))
 
 
-LAYOUT = "select page_id, true as with_layout, false as plain from pages where page_id % 3 = 1"
+LAYOUT = OBJECT.replace("select page_id, coalesce(dig,", "select page_id, dig is not null as plain, coalesce(dig,")
+LAYOUT = f"select page_id, content_addressed as with_layout, plain from ({LAYOUT})"
 
 
 def origin_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,13 +229,22 @@ select p_partkey, case when p_partkey % 6 = 0 then 'sha256:' || repeat('ab', 32)
 """
 
 
+_CHALLENGES = """case s_suppkey % 5 when 0 then 'Bearer realm="https://auth.example.com/t",service="s' || s_suppkey || '",scope="repository:a:pull,push"' when 1 then 'bearer  scope = "x,y" , Realm=plain' || s_suppkey
+  when 2 then 'Basic realm="only"' when 3 then ' Bearer service="a",service="b' || s_suppkey || '",junk' else 'Negotiate' end"""
+
+
 def challenge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.concat(F.lit('Bearer realm="https://auth.example.com/t",service="s'), F.col("s_suppkey").cast("string"), F.lit('",scope="repository:a:pull,push"'))
-    c = I.challenge(h)
+    c = I.challenge(F.expr(_CHALLENGES))
     return table(spark, sf_dir, "supplier").select("s_suppkey", c["scheme"].alias("scheme"), c["realm"].alias("realm"), c["service"].alias("service"), c["scope"].alias("scope"))
 
 
-CHALLENGE = "select s_suppkey, 'bearer' as scheme, 'https://auth.example.com/t' as realm, 's' || s_suppkey as service, 'repository:a:pull,push' as scope from supplier"
+CHALLENGE = f"""
+with t as (select s_suppkey, trim({_CHALLENGES}) as h from supplier),
+p as (select s_suppkey, h, regexp_extract_all(regexp_extract(h, '^\\S+ (.*)$', 1), '((?:"[^"]*(?:"|$)|[^,"])+)') as parts from t),
+v as (select s_suppkey, h, list_transform(list_filter(parts, lambda x: contains(x, '=')), lambda x: {{'k': lower(trim(split_part(x, '=', 1))), 'v': trim(trim(substr(x, strpos(x, '=') + 1)), '"')}}) as kv from p),
+w as (select s_suppkey, split_part(h, ' ', 1) as scheme, list_last(list_filter(kv, lambda x: x.k = 'realm')).v as realm, list_last(list_filter(kv, lambda x: x.k = 'service')).v as service, list_last(list_filter(kv, lambda x: x.k = 'scope')).v as scope from v)
+select s_suppkey, scheme, coalesce(realm, '') as realm, coalesce(service, '') as service, coalesce(scope, '') as scope from w
+"""
 
 
 def block_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,35 +260,112 @@ from (select p_partkey, ((case when p_partkey % 2 = 0 then 18446744073709551616:
 """
 
 
+_PEERS = "'n' || s_suppkey || '@h1:80, m@h2:81#root-only,k@h' || s_suppkey || ':82#non-root,,x@h4:83#ordinary' || case when s_suppkey % 2 = 0 then ',bad' else '' end"
+
+
 def peers_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = F.concat(F.lit("n"), F.col("s_suppkey").cast("string"), F.lit("@h1:80, m@h2:81#root-only,k@h3:82#non-root"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(I.parse_peers(spec)).alias("p")).select("s_suppkey", "p.id", "p.addr", F.col("p.role").cast("bigint").alias("role"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(I.parse_peers(F.expr(_PEERS))).alias("p")).select("s_suppkey", "p.id", "p.addr", F.col("p.role").cast("bigint").alias("role"))
 
 
-PEERS = """
-select s_suppkey, p.id as id, p.addr as addr, p.role::BIGINT as role from (select s_suppkey, unnest([{'id': 'n' || s_suppkey, 'addr': 'h1:80', 'role': 0}, {'id': 'm', 'addr': 'h2:81', 'role': 1}, {'id': 'k', 'addr': 'h3:82', 'role': 2}]) as p from supplier)
+PEERS = f"""
+select s_suppkey, case when shaped then split_part(x, '@', 1) end as id, case when shaped then split_part(split_part(x, '@', 2), '#', 1) end as addr,
+  case when not shaped or not contains(x, '#') then 0 else case split_part(x, '#', 2) when 'ordinary' then 0 when 'root-only' then 1 when 'non-root' then 2 end end::BIGINT as role
+from (select s_suppkey, x, contains(x, '@') as shaped from (select s_suppkey, trim(unnest(string_split({_PEERS}, ','))) as x from supplier) where x <> '')
 """
 
-_ADDRS = "case s_suppkey % 6 when 0 then '0.0.0.0:80' when 1 then '[::]:80' when 2 then '10.0.0.1:80' when 3 then '[fe80::1%eth0]:80' when 4 then ':80' else 'node-a:80' end"
+_ADDRS = "case s_suppkey % 7 when 0 then '0.0.0.0:80' when 1 then '[::]:80' when 2 then '10.0.0.1:80' when 3 then '[fe80::1%eth0]:80' when 4 then ':80' when 5 then '[0:0::0%eth0]:80' else 'node-a:' || s_suppkey end"
+_MEMBER = "case when s_suppkey % 2 = 0 then s_name else s_name || ' x' end"
+_METRIC = "case when s_suppkey % 3 = 0 then 'a_b' || s_suppkey when s_suppkey % 3 = 1 then 'a:b' else s_suppkey || 'a' end"
+_LABEL = "'a\"\\' || s_suppkey"
+_HOP = "case s_suppkey % 4 when 0 then '' when 1 then '' || s_suppkey when 2 then '-1' else '1x' end"
+_SEEDS = "case s_suppkey % 8 when 0 then 'dns:peers.example:' || (s_suppkey * 1000) when 1 then 'static:a:1, b:2,' when 2 then 'c:3,d:' || s_suppkey when 3 then 'dns:peers.example' when 4 then 'a,b' when 5 then ' ' when 6 then 'dns::80' else 'static:[::1]:90' end"
+_SPECS = "case s_suppkey % 4 when 0 then 'ns/svc' || s_suppkey when 1 then 'ns/svc/80' when 2 then 'ns//80' else 'ns' end"
+_ESCAPED = "'s' || chr(31) || s_suppkey || '%x'"
 
 
 def names_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses that may be advertised, member ids, metric names, label escapes, hop headers and seeders."""
+    """Addresses that may be advertised, member ids, metric names, label escapes, hop headers, seeders, endpoint specs, escaped separators."""
     s = table(spark, sf_dir, "supplier")
-    name = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit(" x")))
-    seeder = I.parse_seeder(F.when(F.col("s_suppkey") % 3 == 0, "dns:peers.example").when(F.col("s_suppkey") % 3 == 1, "static:a,b").otherwise("a,b"))
-    hop = F.when(F.col("s_suppkey") % 4 == 0, "").when(F.col("s_suppkey") % 4 == 1, "7").otherwise("-1")
-    end = I.parse_endpoint_spec(F.when(F.col("s_suppkey") % 2 == 0, "ns/svc").otherwise("ns/svc/80"))
+    backslash = _LABEL.replace("\\", "\\\\")
+    seeder, end = I.parse_seeder(F.expr(_SEEDS)), I.parse_endpoint_spec(F.expr(_SPECS))
     return s.select(
-        "s_suppkey", I.advertised_ok(F.expr(_ADDRS)).alias("advertised"), I.valid_member_id(name).alias("member_ok"), I.valid_metric_name(F.when(F.col("s_suppkey") % 2 == 0, "a_b1").otherwise("a:b")).alias("metric_ok"),
-        I.escape_label(F.concat(F.lit('a"\\'), F.col("s_suppkey").cast("string"))).alias("label"), I.parse_hop(hop).cast("bigint").alias("hop"), seeder["kind"].alias("seed_kind"), seeder["target"].alias("seed_target"), end["port"].alias("port"),
+        "s_suppkey", I.advertised_ok(F.expr(_ADDRS)).alias("advertised"), I.valid_member_id(F.expr(_MEMBER)).alias("member_ok"), I.valid_metric_name(F.expr(_METRIC)).alias("metric_ok"),
+        I.escape_label(F.expr(backslash)).alias("label"), I.parse_hop(F.expr(_HOP)).cast("bigint").alias("hop"), seeder["kind"].alias("seed_kind"), seeder["target"].alias("seed_target"), F.size(seeder["addrs"]).cast("bigint").alias("seeds"),
+        end["service"].alias("service"), end["port"].alias("port"), I.escape_unit_separator(F.expr(_ESCAPED)).alias("escaped"),
     )
 
 
-NAMES = """
-select s_suppkey, s_suppkey % 6 in (2, 3, 5) as advertised, s_suppkey % 2 = 0 as member_ok, s_suppkey % 2 = 0 as metric_ok, 'a\\"\\\\' || s_suppkey as label,
-  case s_suppkey % 4 when 0 then 0::BIGINT when 1 then 7::BIGINT end as hop, case when s_suppkey % 3 = 0 then 'dns' else 'static' end as seed_kind,
-  case when s_suppkey % 3 = 0 then 'peers.example' else 'a,b' end as seed_target, case when s_suppkey % 2 = 0 then 'peer' else '80' end as port from supplier
+NAMES = rf"""
+with t as (select s_suppkey, {_ADDRS} as addr, {_MEMBER} as member, {_METRIC} as metric, {_LABEL} as label, {_HOP} as hop, trim({_SEEDS}) as seed, {_SPECS} as spec, {_ESCAPED} as sep from supplier),
+h as (select *, regexp_replace(trim(regexp_extract(addr, '^(.*):[^:]*$', 1), '[]'), '%.*$', '') as host, starts_with(seed, 'dns:') as dns, case when starts_with(seed, 'dns:') then substr(seed, 5) when starts_with(seed, 'static:') then substr(seed, 8) else seed end as rest from t),
+g as (select *, list_filter(list_transform(string_split(rest, ','), lambda x: trim(x)), lambda x: x <> '') as items, try_cast(regexp_extract(rest, ':([0-9]+)$', 1) as BIGINT) as port_no, string_split(spec, '/') as sp from h),
+k as (select *, case when dns then coalesce(port_no between 1 and 65535, false) and length(regexp_extract(rest, '^(.*):[0-9]+$', 1)) > 0 else len(items) > 0 and len(list_filter(items, lambda x: not regexp_full_match(x, '(\[[^\[\]]*\]|[^\[\]:]*):[^:\[\]]*'))) = 0 end as seed_ok from g)
+select s_suppkey, host <> '' and not regexp_full_match(host, '[0:.]+') as advertised, regexp_full_match(member, '[!-~]+') as member_ok, regexp_full_match(metric, '[a-zA-Z_][a-zA-Z0-9_]*') as metric_ok,
+  replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') as label, case when hop = '' then 0 else try_cast(regexp_extract(hop, '^[0-9]+$') as BIGINT) end as hop,
+  case when seed_ok then case when dns then 'dns' else 'static' end end as seed_kind, case when seed_ok then case when dns then rest else array_to_string(items, ',') end end as seed_target,
+  case when seed_ok then case when dns then 1 else len(items) end end::BIGINT as seeds,
+  case when len(sp) in (2, 3) and sp[2] <> '' then sp[2] end as service, case when len(sp) in (2, 3) and sp[2] <> '' then coalesce(nullif(sp[3], ''), 'peer') end as port,
+  replace(replace(sep, '%', '%25'), chr(31), '%1F') as escaped from k
+"""
+
+_URIS = "case s_suppkey % 6 when 0 then '/v2' when 1 then '/v2/a/blobs/sha256:00' when 2 then '/get/https://h.example/' || s_suppkey when 3 then '/get/ftp://h.example/x' when 4 then '/v2x/https://h.example' else '/get/http://h.example//a' end"
+_LISTENS = "case s_suppkey % 4 when 0 then ':' || s_suppkey when 1 then '10.1.1.1:80' when 2 then '[::]:81' else 'nonsense' end"
+_TOLD = "case s_suppkey % 5 when 0 then 'me.example:90' when 1 then '0.0.0.0:90' else '' end"
+
+
+def front_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which front end serves a request and from where, and the address that a node tells others."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", I.route(F.expr(_URIS)).alias("front"), I.resolve(F.expr(_URIS), "/get/").alias("upstream"), I.advertised_addr(F.expr(_TOLD), F.expr(_LISTENS), F.lit("fd00::7")).alias("addr"))
+
+
+FRONTS = rf"""
+with t as (select s_suppkey, {_URIS} as u, {_TOLD} as told, {_LISTENS} as listen from supplier)
+select s_suppkey, case when u = '/v2' or u[1:4] = '/v2/' then 'registry' else 'prefix' end as front, case when regexp_matches(u, '^/get/https?://') then substr(u, 6) end as upstream,
+  case when told <> '' then case when not regexp_matches(told, '^[0.]+:') then told end when not contains(listen, ':') then null when regexp_matches(listen, '^([0:.]|\[[0:]*\])*:[0-9]+$') then '[fd00::7]:' || string_split(listen, ':')[-1] else listen end as addr from t
+"""
+
+_STATUS = "case o_orderkey % 5 when 0 then 206 when 1 then 200 when 2 then 416 when 3 then 206 else 503 end"
+_TOTALS = "case o_orderkey % 5 when 0 then 'bytes 0-0/' || o_custkey when 3 then 'bytes 0-0/*' else '' end"
+
+
+def size_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of objects by the answers to a request for their first byte."""
+    o = table(spark, sf_dir, "orders")
+    length = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))
+    return o.select("o_orderkey", I.size_probe(F.expr(_STATUS), F.expr(_TOTALS), length).alias("p")).select("o_orderkey", "p.ok", "p.size", "p.no_range")
+
+
+PROBE = f"""
+with t as (select o_orderkey, {_STATUS} as status, try_cast(regexp_extract({_TOTALS}, '/([0-9]+)$', 1) as BIGINT) as total, case when o_orderkey % 2 = 0 then o_custkey else -1 end as length from orders),
+k as (select *, status in (200, 416) or (status = 206 and total is not null) as ok from t)
+select o_orderkey, ok, case when ok then case status when 416 then 0 when 206 then total else length end end::BIGINT as size, ok and status = 200 as no_range from k
+"""
+
+
+def passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of origins that ignore ranges, handed on as they are."""
+    p = table(spark, sf_dir, "pages")
+    n = F.length(F.coalesce("html", F.lit(""))).cast("bigint")
+    headers = F.create_map(F.lit("ETag"), F.concat(F.lit("e"), F.col("page_id").cast("string")), F.lit("Server"), F.lit("x"), F.lit("content-length"), n.cast("string"))
+    r = I.passthrough(F.when(F.col("page_id") % 4 == 0, "HEAD").otherwise("GET"), F.lit(200), headers, n)
+    return p.select("page_id", r.alias("r")).select("page_id", "r.status", F.array_join(F.transform(F.array_sort(F.map_entries("r.headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("headers"), "r.bytes")
+
+
+PASSED = "select page_id, 200 as status, 'ETag=e' || page_id || ';content-length=' || length(coalesce(html, '')) as headers, case when page_id % 4 = 0 then 0 else length(coalesce(html, '')) end as bytes from pages"
+
+
+def credential_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sent to each page's host first: the client's own authorization, a token for the host and scope, or nothing."""
+    p = table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("/v2/r"), (F.col("page_id") % 3).cast("string"), F.lit("/blobs/x"))).withColumn("client_auth", F.when(F.col("page_id") % 7 == 0, "Basic abc"))
+    hosts = p.select(I._host(F.col("url")).alias("host")).where("host like '%.com'").distinct()
+    tokens = hosts.crossJoin(spark.createDataFrame([("repository:r0:pull",), ("repository:r1:pull",)], "scope string")).withColumn("token", F.concat("host", F.lit("-"), "scope"))
+    return R.with_credentials(p.select("page_id", "url", "path", "client_auth"), hosts, tokens).select("page_id", "authorization", "may_exchange")
+
+
+CREDENTIALS = """
+with p as (select page_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')) as host, 'repository:r' || (page_id % 3) || ':pull' as scope, case when page_id % 7 = 0 then 'Basic abc' end as client from pages)
+select page_id, coalesce(client, case when ends_with(host, '.com') and scope <> 'repository:r2:pull' then 'Bearer ' || host || '-' || scope end) as authorization, ends_with(host, '.com') as may_exchange from p
 """
 
 
@@ -297,10 +386,14 @@ def relay_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relay requests whose key is that of their object and chunk; every fifth claims a neighbour's."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("oid"))
     claimed = u64.chunk_key(NAMESPACE, F.col("oid"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
-    return d.select("doc_id", (u64.chunk_key(NAMESPACE, F.col("oid"), F.lit(0)) == claimed).alias("relayable"))
+    own = u64.chunk_key(NAMESPACE, F.col("oid"), F.lit(0))
+    return d.select("doc_id", own.alias("own"), claimed.alias("claimed")).select("doc_id", "own", "claimed", (F.col("own") == F.col("claimed")).alias("relayable"))
 
 
-RELAY_KEY = "select doc_id, doc_id % 5 <> 0 as relayable from documents"
+RELAY_KEY = f"""
+select doc_id, {Q.signed('a')} as own, {Q.signed('b')} as claimed, a = b as relayable from (select doc_id, {Q.chunk_key(NAMESPACE, 'oid', '0')} as a, {Q.chunk_key(NAMESPACE, 'oid', 'idx')} as b
+  from (select doc_id, 'doc-' || doc_id as oid, case when doc_id % 5 = 0 then 1 else 0 end as idx from documents))
+"""
 
 
 def cache_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,22 +409,22 @@ select l_orderkey, l_linenumber, {Q.signed('h')} as key_hash from (select l_orde
 
 def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys under which requests share a transfer, and whether a body fits a buffer of 2000 bytes."""
-    p = _pages(spark, sf_dir).where("page_id % 3 != 1")
+    p = _pages(spark, sf_dir)
     b = I.read_bounded(F.length("html").cast("bigint"), F.lit(2000).cast("bigint"))
     return p.select("page_id", F.replace(I.coalescing_key(F.col("u"), F.lit(0), F.lit(1023)), F.lit("\0"), F.lit("|")).alias("key"), b["ok"].alias("fits"), b["taken"].alias("taken"))
 
 
-REQUEST_KEYS = f"with o as ({OBJECT}) select page_id, object_id || '|0:1023' as key, length(html) <= 2000 as fits, least(length(html), 2000) as taken from o join pages using (page_id) where page_id % 3 <> 1"
+REQUEST_KEYS = f"with o as ({OBJECT}) select page_id, object_id || '|0:1023' as key, length(html) <= 2000 as fits, least(length(html), 2000) as taken from o join pages using (page_id)"
 
 QUERIES = {
     "request_keys": request_keys, "segments_explode": segments_explode, "block_index_math": block_index_math, "tail_block_len": tail_block_len, "serve_clamp": serve_clamp, "fetch_block_window": fetch_block_window, "block_slices": block_slices,
     "relay_gate": relay_gate, "range_header_parse": range_header_parse, "content_range_validate": content_range_validate, "ignored_range": ignored_range, "object_identity": object_identity, "digest_layout": digest_layout,
     "origin_key": origin_key, "redact_url": redact_url, "byte_size_parse": byte_size_parse, "registry_paths": registry_paths, "challenge_parse": challenge_parse, "block_paths": block_paths, "peers_parse": peers_parse,
-    "names_checked": names_checked, "chunk_keys": chunk_keys, "relay_key_check": relay_key_check, "cache_key_hash": cache_key_hash,
+    "names_checked": names_checked, "front_ends": front_ends, "size_probe": size_probe, "passthrough": passthrough, "credential_join": credential_join, "chunk_keys": chunk_keys, "relay_key_check": relay_key_check, "cache_key_hash": cache_key_hash,
 }
 ORACLE_SQL = {
     "request_keys": REQUEST_KEYS, "segments_explode": SEGMENTS, "block_index_math": BLOCK_MATH, "tail_block_len": TAIL, "serve_clamp": CLAMP, "fetch_block_window": WINDOW, "block_slices": SLICES,
     "relay_gate": RELAY, "range_header_parse": RANGE, "content_range_validate": CONTENT, "ignored_range": IGNORED, "object_identity": OBJECT, "digest_layout": LAYOUT,
     "origin_key": ORIGIN, "redact_url": REDACT, "byte_size_parse": SIZES, "registry_paths": REGISTRY, "challenge_parse": CHALLENGE, "block_paths": BLOCK_PATHS, "peers_parse": PEERS,
-    "names_checked": NAMES, "chunk_keys": CHUNK_KEYS, "relay_key_check": RELAY_KEY, "cache_key_hash": KEY_HASH,
+    "names_checked": NAMES, "front_ends": FRONTS, "size_probe": PROBE, "passthrough": PASSED, "credential_join": CREDENTIALS, "chunk_keys": CHUNK_KEYS, "relay_key_check": RELAY_KEY, "cache_key_hash": KEY_HASH,
 }

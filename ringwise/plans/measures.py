@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
+from ..functions import u64
+from ..operators import membership as M
 from ..operators import metrics as X
-from ..sources.tables import LOG_SQL, access_log, table
+from ..sources.tables import LOG_SQL, MEMBERS_SQL, access_log, members, table
+from . import addressing, caches, placing, states, temporal
 
 MS_BOUNDS = [b * 1000 for b in X.LATENCY_BOUNDS]
 
@@ -86,14 +90,74 @@ COUNTER = "select s_nationkey, coalesce(sum(floor(s_acctbal)) filter (where floo
 
 
 def labelled_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relay, failover and fetch-target counters by label."""
-    log = access_log(spark, sf_dir)
-    target = F.when(F.col("event_id") % 3 == 0, "root").when(F.col("event_id") % 3 == 1, "parent").otherwise("ancestor")
-    relay = F.when(F.col("failed"), "declined").otherwise("served")
-    return log.groupBy(target.alias("target"), relay.alias("relay")).agg(F.count(F.lit(1)).alias("n"))
+    """Counters by label: fetch targets, relays served and declined, hedges and who won them, failovers, passed-through bytes by side."""
+    named = lambda d, name, label: d.groupBy(label.alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit(name).alias("name"), "label", "n")
+    race = temporal.hedged_race(spark, sf_dir)
+    relay = addressing.relay_gate(spark, sf_dir)
+    parts = [
+        named(placing.fetch_targets(spark, sf_dir).where("target is not null"), "fetch_target", F.col("target")),
+        named(relay, "relay", F.when(F.col("verdict") == "relay", "served").otherwise("declined")),
+        named(race.where("hedged"), "hedge", F.lit("fired")), named(race.where("hedged and winner in ('primary', 'backup')"), "hedge_won", F.col("winner")), named(race.where("failover"), "failover", F.lit("all")),
+        addressing.passthrough(spark, sf_dir).groupBy(F.when(F.col("page_id") % 2 == 0, "client").otherwise("peer").alias("label")).agg(F.sum("bytes").cast("double").alias("n")).select(F.lit("passthrough_bytes").alias("name"), "label", "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _labelled_sql() -> str:
+    return f"""
+select name, label, n::DOUBLE as n from (
+  select 'fetch_target' as name, target as label, count(*) as n from ({placing.TARGETS_OF}) where target is not null group by target
+  union all select 'relay', case when verdict = 'relay' then 'served' else 'declined' end, count(*) from ({addressing.RELAY}) group by 2
+  union all select 'hedge', 'fired', count(*) from ({temporal.RACE}) where hedged union all select 'hedge_won', winner, count(*) from ({temporal.RACE}) where hedged and winner in ('primary', 'backup') group by winner
+  union all select 'failover', 'all', count(*) from ({temporal.RACE}) where failover
+  union all select 'passthrough_bytes', case when page_id % 2 = 0 then 'client' else 'peer' end, sum(bytes) from ({addressing.PASSED}) group by 2)"""
+
+
+LABELLED = _labelled_sql()
+
+
+def root_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of dispatched fetches that go to the tree's root, by key."""
+    return X.share(placing.fetch_targets(spark, sf_dir).where("target is not null"), ["key"], F.col("target") == "root", "root_share")
+
+
+def _root_share_sql() -> str:
+    return f"select key, count_if(target = 'root') / count(*) as root_share from ({placing.TARGETS_OF}) where target is not null group by key"
+
+
+ROOT_SHARE = _root_share_sql()
+
+
+def singleton_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the trackers' answers that publish one reader at most, by file."""
+    answers = states.tracker_trace(spark, sf_dir).withColumn("n", F.size(F.array_remove(F.split("readers", ","), "")))
+    return X.share(answers, ["file"], F.col("n") <= 1, "singleton_share")
+
+
+def _singleton_sql() -> str:
+    return f"select file, count_if(not contains(readers, ',')) / count(*) as singleton_share from ({states.TRACKER}) group by file"
+
 
+SINGLETONS = _singleton_sql()
 
-LABELLED = f"select case event_id % 3 when 0 then 'root' when 1 then 'parent' else 'ancestor' end as target, case when failed then 'declined' else 'served' end as relay, count(*) as n from ({LOG_SQL}) group by all"
+
+def scraped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposition of values that are sampled when they are read: what the caches hold and turned away."""
+    names = {"owned_len": ("store_owned_blocks", "gauge", "Blocks in the owned budget.\n"), "rejected": ("store_admit_rejected_total", "counter", "Turned away \\ by estimate.")}
+    lines = X.exposition(X.sampled(caches.cache_occupancy(spark, sf_dir).where("cache in ('click', 'view')"), names, ["cache"]))
+    return lines.select("line")
+
+
+def _scraped_sql() -> str:
+    return f"""with o as (select * from ({caches.OCCUPANCY}) where cache in ('click', 'view'))
+select unnest(['# HELP store_owned_blocks Blocks in the owned budget.' || chr(92) || 'n', '# TYPE store_owned_blocks gauge', '# HELP store_admit_rejected_total Turned away ' || chr(92) || chr(92) || ' by estimate.', '# TYPE store_admit_rejected_total counter']) as line
+union all select 'store_owned_blocks{{cache="' || cache || '"}} ' || owned_len from o union all select 'store_admit_rejected_total{{cache="' || cache || '"}} ' || rejected from o"""
+
+
+SCRAPED = _scraped_sql()
 
 
 def bounds_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,19 +186,46 @@ union all select 3, 3, 'reads_all ' || sum(n)::BIGINT from c
 """
 
 
+_SELF = "Customer#000000009"
+
+
 def admin_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes as JSON lines."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("id"), F.col("n_regionkey").alias("zone"))).alias("json"))
-    return n.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "json")
+    """The members as JSON, a line each, behind one with the view's epoch and the numbers of members that may be roots and readers."""
+    v = M.canonical(members(spark, sf_dir))
+    m = v.select("id", F.to_json(F.struct("id", "addr", "weight", M.state_name(F.col("state")).alias("state"), I.role_name(F.col("role")).alias("role"))).alias("json"))
+    able = v.agg(F.count_if((F.col("state") == M.READY) & (F.col("role") != M.NON_ROOT)).alias("eligible_roots"), F.count_if((F.col("state") == M.READY) & (F.col("role") != M.ROOT_ONLY)).alias("eligible_readers"))
+    epoch = M.epoch(v, b"roles-v1\0").select(u64.as_unsigned(F.col("epoch")).cast("string").alias("epoch"))
+    head = epoch.crossJoin(able).select(F.lit("").alias("id"), F.to_json(F.struct(F.lit(_SELF).alias("self_id"), "epoch", "eligible_roots", "eligible_readers")).alias("json"))  # one row each
+    return head.unionByName(m)
+
+
+def _admin_sql() -> str:
+    return f"""with mm as ({MEMBERS_SQL})
+select id, '{{"id":"' || id || '","addr":"' || addr || '","weight":' || weight || ',"state":"' || ['Joining', 'Ready', 'Suspect', 'Leaving'][state + 1] || '","role":"' || ['ordinary', 'root-only', 'non-root'][role + 1] || '"}}' as json from mm
+union all select '', '{{"self_id":"{_SELF}","epoch":"' || (case when epoch < 0 then epoch::HUGEINT + 18446744073709551616::HUGEINT else epoch::HUGEINT end) || '","eligible_roots":' || (select count(*) from mm where state = 1 and role <> 2)
+  || ',"eligible_readers":' || (select count(*) from mm where state = 1 and role <> 1) || '}}' from ({placing.EPOCH})"""
+
+
+ADMIN = _admin_sql()
+
+
+def admin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cache's own report: its name, role and number of blocks."""
+    o = caches.cache_occupancy(spark, sf_dir)
+    return o.select("cache", F.to_json(F.struct(F.col("cache").alias("self_id"), (F.col("owned_len") + F.col("borrowed_len")).alias("cached_blocks"), I.role_name(F.lit(0)).alias("role"))).alias("json"))
+
+
+def _stats_sql() -> str:
+    return f"""select cache, '{{"self_id":"' || cache || '","cached_blocks":' || (owned_len + borrowed_len) || ',"role":"ordinary"}}' as json from ({caches.OCCUPANCY})"""
 
 
-ADMIN = """select n_nationkey::BIGINT as n_nationkey, '{"id":"' || n_name || '","zone":' || n_regionkey || '}' as json from nation"""
+STATS = _stats_sql()
 
 QUERIES = {
     "block_source_counts": block_source_counts, "hit_ratio": hit_ratio, "bytes_by_source": bytes_by_source, "amplification": amplification, "latency_histogram": latency_histogram, "reader_histogram": reader_histogram,
-    "gauge_last": gauge_last, "counter_totals": counter_totals, "labelled_counters": labelled_counters, "bounds_normalise": bounds_normalise, "exposition_text": exposition_text, "admin_members": admin_members,
+    "gauge_last": gauge_last, "counter_totals": counter_totals, "labelled_counters": labelled_counters, "bounds_normalise": bounds_normalise, "exposition_text": exposition_text, "admin_members": admin_members, "admin_stats": admin_stats, "root_share": root_share, "singleton_share": singleton_share, "scraped_text": scraped_text,
 }
 ORACLE_SQL = {
     "block_source_counts": SOURCES, "hit_ratio": RATIO, "bytes_by_source": BYTES, "amplification": AMPLIFICATION, "latency_histogram": HISTOGRAM, "reader_histogram": READERS,
-    "gauge_last": GAUGE, "counter_totals": COUNTER, "labelled_counters": LABELLED, "bounds_normalise": BOUNDS, "exposition_text": EXPOSITION, "admin_members": ADMIN,
+    "gauge_last": GAUGE, "counter_totals": COUNTER, "labelled_counters": LABELLED, "bounds_normalise": BOUNDS, "exposition_text": EXPOSITION, "admin_members": ADMIN, "admin_stats": STATS, "root_share": ROOT_SHARE, "singleton_share": SINGLETONS, "scraped_text": SCRAPED,
 }

@@ -46,9 +46,18 @@ def test_histogram_bounds(spark):
 
 
 def test_exposition_file(spark, tmp_path):
-    df = spark.createDataFrame([(1, "m", 'he\\lp', "gauge", {"a": 'q"\n'}, 1.5)], "seq int, name string, help string, kind string, labels map<string,string>, value double")
+    df = spark.createDataFrame([(1, "m", 'he\\l"p\nx', "gauge", {"a": 'q"\n'}, 1.5), (2, "bare", "", "counter", {}, 2.0)], "seq int, name string, help string, kind string, labels map<string,string>, value double")
     X.write_exposition(df, str(tmp_path / "o"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ["# HELP m he\\lp", "# TYPE m gauge", 'm{a="q\\"\\n"} 1.5']
+    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ['# HELP m he\\\\l"p\\nx', "# TYPE m gauge", 'm{a="q\\"\\n"} 1.5', "# TYPE bare counter", "bare 2"]
+
+
+def test_carried_over_cells(spark):
+    """The last mark is carried over as many cells as there are, also for a key that holds most rows."""
+    rows = [("hot", i, i if i % 37 == 5 else None) for i in range(400)] + [("cold", 390, 7), ("cold", 391, None)]
+    df = spark.createDataFrame(rows, "k string, t bigint, v bigint")
+    for cell in (1, 10, 1000):
+        got = {(r.k, r.t): r._carried for r in M.carry_last(df, F.col("v"), ["k"], "t", [], cell).collect()}
+        assert got == {(k, t): (7 if k == "cold" else max((x for x in range(t + 1) if x % 37 == 5), default=None)) for k, t, _ in rows}
 
 
 def test_quantile_index(spark):
