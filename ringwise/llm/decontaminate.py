@@ -8,8 +8,9 @@ terms leaves a handful of alignments, and only those are compared with the posti
 
 What travels: counts of test terms (combined before the shuffle), postings of rare test terms,
 and the text of documents that hold an alignment. Postings of frequent words of other documents
-never leave the scan. Nothing but test-side tables is broadcast, each behind a check of its size.
-DataFrame functions only.
+never leave the scan, which also tells each document's length. Nothing but test-side tables is broadcast, each behind a
+check of its size; where they are too large, the postings of a frequent term are dealt into parts by document. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded, materialise, pick, table
 
+#: No word: the posting that every document has, in front of those of its words.
+HEAD = ""
+#: Postings of a term that one part holds at about.
+PART_ROWS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -28,8 +33,9 @@ def words(text: Column) -> Column:
 
 
 def postings(keyed: DataFrame) -> DataFrame:
-    """``(_key.., term, pos)`` for each word of ``keyed(_id, _h, _text)``."""
-    return keyed.select("_id", "_h", F.posexplode(words(F.col("_text"))).alias("pos", "term"))
+    """``(_key.., n_words, term, pos)`` for each word of ``keyed(_id, _h, _text)``, and for ``HEAD`` at -1."""
+    split = keyed.select("_id", "_h", F.concat(F.array(F.lit(HEAD)), words(F.col("_text"))).alias("w"))
+    return split.select("_id", "_h", (F.size("w") - 1).cast("bigint").alias("n_words"), F.posexplode("w").alias("pos", "term")).withColumn("pos", F.col("pos") - 1)
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,8 +79,10 @@ def rarest_terms(items: DataFrame, counts: DataFrame, size: int, anchors: int) -
 def alignments(index: DataFrame, items: DataFrame, chosen: DataFrame) -> DataFrame:
     """``(_id, _h, uid, shift)``: where the rarest terms of some window all stand in place."""
     slots = items.select("uid", F.posexplode("terms").alias("q", "term"))
-    needed = chosen.select("uid", "q").distinct().join(slots, ["uid", "q"])
-    met = index.join(bounded(needed, 80), "term").select("_id", "_h", "uid", (F.col("pos") - F.col("q")).alias("shift"), "q")
+    parts = index.where(F.col("term") != HEAD).select("term", "parts").distinct()
+    needed = chosen.select("uid", "q").distinct().join(slots, ["uid", "q"]).join(parts, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    dealt = index.where(F.col("term") != HEAD).withColumn("part", F.pmod(F.xxhash64("_id", "_h"), F.col("parts")))
+    met = dealt.join(bounded(needed, 40), ["term", "part"]).select("_id", "_h", "uid", (F.col("pos") - F.col("q")).alias("shift"), "q")
     per_window = met.join(bounded(chosen, 40), ["uid", "q"])
     full = per_window.groupBy("_id", "_h", "uid", "shift", "start").agg(F.bit_or("bit").alias("k"), F.first("need").alias("need")).where("k = need")
     return full.select("_id", "_h", "uid", "shift").distinct()
@@ -95,16 +103,18 @@ def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame, size: int)
     return sized.select("_id", "_h", "uid", "item_id", "shift", "length", F.explode(starts).alias("start"))
 
 
-def find_phrases(docs: DataFrame, items: DataFrame, size: int = 13, anchors: int = 3) -> DataFrame:
-    """Exact matches of every window of ``size`` words of the test items; see ``occurrences``."""
+def find_phrases(docs: DataFrame, items: DataFrame, size: int = 13, anchors: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Exact matches of every window of ``size`` words of the test items, see ``occurrences``; and ``(_id, _h, n_words)`` of every row of ``docs``."""
     vocabulary = materialise(items.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counts = materialise(term_counts(docs, vocabulary), "counts")
     chosen = materialise(rarest_terms(items, counts, size, anchors), "anchors")
     slots = items.select("uid", F.posexplode("terms").alias("q", "term"))
-    rare = materialise(chosen.join(slots, ["uid", "q"]).select("term").distinct(), "rare")
-    index = materialise(postings(docs).join(bounded(rare, 64), "term", "left_semi"), "postings")
+    rare = chosen.join(slots, ["uid", "q"]).select("term").distinct().join(counts, "term").select("term", F.ceil(F.col("df") / PART_ROWS).alias("parts"))
+    head = docs.sparkSession.createDataFrame([(HEAD, 1)], "term string, parts bigint")
+    rare = materialise(rare.unionByName(head), "rare")
+    index = materialise(postings(docs).join(bounded(rare, 24), "term"), "postings")
     found = materialise(alignments(index, items, chosen), "alignments")
-    return occurrences(docs, items, found, size)
+    return occurrences(docs, items, found, size), index.where(F.col("term") == HEAD).select("_id", "_h", "n_words")
 
 
 def find_near(docs: DataFrame, queries: DataFrame, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -112,7 +122,8 @@ def find_near(docs: DataFrame, queries: DataFrame, slop: int = 20, id_col: str =
 
     ``start`` is the position of the query's rarest term. Every other term must have a posting at
     most ``slop`` words away on either side, so lists are met from the rarest term outwards. A
-    query without words matches nothing.
+    query without words matches nothing; rows that repeat match as one; empty tables give no match; a text of any length is read
+    whole; other columns are not read, whatever they are called.
     """
     texts = keyed_texts(docs, id_col, text_col)
     items = test_items(queries, item_col, "text")
@@ -126,7 +137,7 @@ def find_near(docs: DataFrame, queries: DataFrame, slop: int = 20, id_col: str =
     # Positions are met by cells of slop + 1 words: an equi-join, not a range join.
     met = starts.withColumn("cell", F.floor(F.col("start") / (slop + 1))).join(around, ["_h", "uid", "cell"]).where(F.col("_id").eqNullSafe(F.col("_id2")) & (F.abs(F.col("pos") - F.col("start")) <= slop))
     hits = met.groupBy("_id", "_h", "uid", "item_id", "n_terms", "start").agg(F.count_distinct("term").alias("k")).where("k = n_terms")
-    return hits.select(F.col("_id").alias(id_col), "item_id", "start")
+    return hits.select(F.col("_id").alias(id_col), "item_id", "start").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -135,7 +146,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     A document word inside any occurrence of a window of ``size`` item words is hit; an item of
     fewer words is one window. ``contaminated``: some word is hit and 20 * n_hit >= n_words. A
     null text has no words; items without words match nothing; an item without an id counts for
-    hits but is not named; rows that repeat get the same result each; empty tables give no hits.
+    hits but is not named; rows that repeat get the same result each; empty tables give no hits. A text of any length is
+    read whole; other columns are not read, whatever they are called.
     """
     return _verdicts(docs, benchmark, size, id_col, text_col, item_col, item_text).drop("_h")
 
@@ -144,7 +156,8 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, tex
     """The columns of ``decontaminate`` and ``_h``, the hash of the text."""
     texts = keyed_texts(docs, id_col, text_col)
     items = test_items(benchmark, item_col, item_text)
-    windows = materialise(find_phrases(texts, items, size), "occurrences")
+    windows, lengths = find_phrases(texts, items, size)
+    windows = materialise(windows, "occurrences")
     first = F.col("shift") + F.col("start")
     per_doc = windows.groupBy("_id", "_h").agg(F.collect_set(F.struct(first.alias("first"), (first + F.col("length")).alias("end"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     # Spans in order; each adds the words beyond the furthest end so far.
@@ -154,7 +167,7 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, tex
         lambda acc: acc["n"],
     )
     hits = materialise(per_doc.select("_id", "_h", covered.alias("hit"), "items"), "hits").alias("h")
-    d = texts.select("_id", "_h", F.size(words(F.col("_text"))).cast("bigint").alias("n_words")).alias("d")
+    d = lengths.alias("d")
     out = d.join(hits, F.col("d._id").eqNullSafe(F.col("h._id")) & (F.col("d._h") == F.col("h._h")), "left")
     n_hit, names = F.coalesce("h.hit", F.lit(0)).cast("bigint"), F.coalesce("h.items", F.array().cast("array<string>"))
     return out.select(
@@ -165,7 +178,11 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, tex
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    A null text is clean. Rows are judged by id and text: rows that repeat stay or go together, and a null or repeated id
+    takes no other text along. An empty table gives none, an empty benchmark keeps all.
+    """
     verdict = _verdicts(docs, benchmark, 13, id_col, text_col, "item_id", "text")
     bad = materialise(verdict.where("contaminated").select(F.col(id_col).alias("_id"), "_h").distinct(), "contaminated")
     names = docs.columns

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, pick, small_batches, table
+from .common import bounded, join_counted, materialise, pick, small_batches, table
 from .components import connected_components
 
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -291,15 +291,24 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
 def _labelled(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_rows: int, id_col: str, text_col: str) -> DataFrame:
     """The columns of ``jaccard_components``, the hash ``_h`` of the text, and ``stays``: whether a row without words, or the one of its component to keep."""
+    with small_batches(docs.sparkSession):  # all that runs in Python is written within
+        rows, of_set = _components(docs, k, num, den, slack, hot_rows, id_col, text_col)
+    out = join_counted(rows.select("_id", "_h", "_n", "_set", "_row"), of_set, "_set", "copies", rows.count(), 60)
+    stays = (F.col("_n") == 0) | (F.col("_row") == F.col("keeper"))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_h", stays.alias("stays"))
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``set_rows`` of all rows, and ``(_set, component_id, keeper, copies)`` of each set."""
     spark = docs.sparkSession
-    small_batches(spark)
     plain = pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("bigint")).withColumn("_h", F.xxhash64("_text"))
     rows = materialise(set_rows(plain, k, num, den, slack), "sets")
     # Equal sets are one node, known by the row number of the copy with the smallest id.
     classes = materialise(
-        rows.where("_n > 0").groupBy("_set").agg(F.min("_id").alias("least"), F.min_by("_row", F.struct(F.coalesce("_id", F.lit(2**63 - 1)), "_row")).alias("node"), F.max("_n").alias("n"), F.min_by("_id", F.struct(F.coalesce("_id", F.lit(2**63 - 1)), "_row")).alias("_of")), "classes"
+        rows.where("_n > 0").groupBy("_set").agg(F.min("_id").alias("least"), F.min_by("_row", F.struct(F.coalesce("_id", F.lit(2**63 - 1)), "_row")).alias("node"), F.max("_n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes"
     )
-    copies = materialise(rows.where("_n > 0").select("_row", "_set").join(classes.select("_set", "node"), "_set").where("_row != node").select("_row"), "copies")
+    repeated = classes.where("copies > 1").select("_set", "node", "copies")
+    copies = materialise(join_counted(rows.where("_n > 0").select("_row", "_set"), repeated, "_set", "copies", rows.count(), 40).where("_row != node").select("_row"), "copies")
     entries = rows.join(bounded(copies, 16), "_row", "left_anti").select(F.explode("_sigs").alias("sig"), F.col("_row").alias("node"))
     members = materialise(bucket_members(entries, hot_rows), "members")
     # Texts of nodes that meet another one, fetched once.
@@ -326,10 +335,8 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_row
             label = connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min_by("node", F.struct(F.coalesce("least", F.lit(2**63 - 1)), "node")).alias("keeper"))
-    of_set = materialise(named.join(least, "component").select("_set", "component_id", "keeper"), "labels")
-    out = rows.select("_id", "_h", "_n", "_set", "_row").join(of_set, "_set", "left")
-    stays = (F.col("_n") == 0) | (F.col("_row") == F.col("keeper"))
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_h", stays.alias("stays"))
+    of_set = materialise(named.join(least, "component").select("_set", "component_id", "keeper", "copies"), "labels")
+    return rows, of_set
 
 
 def _texts_of(plain: DataFrame, rows: DataFrame, meeting: DataFrame) -> DataFrame:
