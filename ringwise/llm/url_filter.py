@@ -6,9 +6,10 @@ characters is interpolated with that after k - 1 (Witten-Bell), down to a unifor
 are judged by the difference of the two log-likelihoods divided by the length, against a threshold
 calibrated on labelled urls that were kept out of the counts.
 
-DataFrame functions only. The models are counted, never collected. Likelihood ratios are worked
-out once for each distinct n-gram; an url's n-grams are joined with them and summed, which is
-combined before the shuffle.
+DataFrame functions only. The models are counted, never collected. Probabilities are worked out from the
+lowest order up, once for each distinct n-gram: each joins the one that is a character shorter, so no join has a key with more rows
+than there are characters. An url's n-grams are joined with the ratios and summed, which is combined before the shuffle.
+Where the ratios are too large to send to all tasks, only those of hot n-grams are, and the others are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, materialise, pick, table
+from .common import HOT_SHARE, ascii_lower, bounded, materialise, pick, size_of, table
 
 #: (verdict, host, path) of the production rules.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -86,23 +87,44 @@ def model_counts(labelled: DataFrame, order: int) -> tuple[DataFrame, DataFrame]
     return counts, materialise(contexts, "contexts")
 
 
-def gram_ratios(distinct: DataFrame, counts: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
-    """``(g, llr)``: log-likelihood ratio of the last character of each n-gram of ``distinct(g)``."""
-    each = distinct.select("g", F.explode(F.array(*[F.lit(k) for k in range(order + 1)])).alias("k"))
-    each = each.select("g", "k", F.expr("right(g, k + 1)").alias("s"), F.expr("substring(g, length(g) - k, k)").alias("ctx"))
-    known = each.join(bounded(counts, 48), "s", "left").join(bounded(contexts, 64), "ctx", "left")
-    levels = known.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("a", "r", "an", "at", "rn", "rt")]))).alias("levels"))
+def gram_ratios(seen: DataFrame, counts: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """``(g, n, llr)``: log-likelihood ratio of the last character of each n-gram of ``seen(g, n)``, which occurs n times.
 
-    def chance(n: str, total: str, kinds: str) -> Column:
-        return F.aggregate("levels", F.lit(1.0 / ALPHABET), lambda p, x: F.when(x[total] > 0, (x[n] + x[kinds] * p) / (x[total] + x[kinds])).otherwise(p))
-
-    return levels.select("g", (F.log(chance("a", "an", "at")) - F.log(chance("r", "rn", "rt"))).alias("llr"))
-
-
-def scores(urls: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
-    """``(_row, score)``: mean log-likelihood ratio a character."""
+    ``pa`` and ``pr`` of an n-gram with k characters of context come from those of its last k characters, level by level.
+    """
+    level = None
+    for k in range(order + 1):
+        now = seen.select(F.expr(f"right(g, {k + 1})").alias("s")).distinct() if k < order else seen.select(F.col("g").alias("s"), "n")
+        now = now.withColumn("ctx", F.expr(f"substring(s, 1, {k})")).withColumn("low", F.expr(f"right(s, {k})"))
+        known = now.join(bounded(counts.where(F.length("s") == k + 1), 24), "s", "left")
+        if k == 0:  # the empty context is one row
+            known = known.join(F.broadcast(contexts.where("ctx = ''")), "ctx", "left").withColumn("low_a", F.lit(1.0 / ALPHABET)).withColumn("low_r", F.lit(1.0 / ALPHABET))
+        else:
+            known = known.join(bounded(contexts.where(F.length("ctx") == k), 40), "ctx", "left").join(bounded(level, 24), "low")
+        p = lambda n, total, kinds, low: F.when(F.col(total) > 0, (F.coalesce(F.col(n), F.lit(0)).cast("double") + F.col(kinds) * F.col(low)) / (F.col(total) + F.col(kinds)).cast("double")).otherwise(F.col(low))
+        known = known.withColumn("pa", p("a", "an", "at", "low_a")).withColumn("pr", p("r", "rn", "rt", "low_r"))
+        if k == order:
+            return known.select(F.col("s").alias("g"), "n", (F.log("pa") - F.log("pr")).alias("llr"))
+        level = materialise(known.select(F.col("s").alias("low"), F.col("pa").alias("low_a"), F.col("pr").alias("low_r")), f"order-{k}")
+
+
+def scores(urls: DataFrame, ratios: DataFrame, order: int, most: int = 32 << 20) -> DataFrame:
+    """``(_row, score)``: mean log-likelihood ratio a character; ``ratios(g, n, llr)`` of all n-grams that occur.
+
+    Ratios of up to ``most`` bytes are sent to all tasks, where each url is summed up. Of others the hot ones are: they are
+    fewer than ``HOT_SHARE`` times the mean length of an url.
+    """
     each = urls.select("_row", F.explode(grams(F.col("_url"), order)).alias("g"))
-    return each.join(bounded(ratios, 48), "g").groupBy("_row").agg((F.sum("llr") / F.count("llr")).alias("score"))
+    total = (F.sum("llr").alias("t"), F.count("llr").alias("n"))
+    if size_of(ratios, 24) <= most:
+        summed = each.join(F.broadcast(ratios.drop("n")), "g").groupBy("_row").agg(*total)
+    else:
+        hot = F.col("n") * HOT_SHARE > urls.count()
+        often = F.broadcast(ratios.where(hot).drop("n"))
+        near = each.join(often, "g").groupBy("_row").agg(*total)
+        far = each.join(often.select("g"), "g", "left_anti").join(ratios.where(~hot).drop("n"), "g").groupBy("_row").agg(*total)
+        summed = near.unionByName(far).groupBy("_row").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return summed.select("_row", (F.col("t") / F.col("n")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -122,22 +144,23 @@ def is_kept_out(url: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 7), 16, 10).cast("bigint") % 5 == 0
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url", most: int = 32 << 20) -> DataFrame:
     """One row per row of ``pages``: ``page_id, host, path, rule, verdict, score``.
 
     ``verdict`` is the rule's, or else "allow" where the score reaches the threshold. A null url or
     one without "://" has an empty host and path; it is scored as it is, a null one as empty.
     Where one class has no labelled url nothing tells the classes apart and all is scored by the
-    other one's model against the uniform one. Repeated rows get equal results; other columns are not read.
+    other one's model against the uniform one. Repeated rows get equal results; an empty table gives none; urls are read
+    whole; other columns are not read, whatever they are called. ``most``: bytes of ratios that are sent to all tasks.
     """
     urls = pick(pages, _id=id_col, _url=url_col).withColumn("_row", F.monotonically_increasing_id())
     urls = materialise(with_rule(urls.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url"))), rules), "urls")
     labelled = urls.where("ruled is not null")
     kept_out = is_kept_out(F.col("_url"))
     counts, contexts = model_counts(labelled.where(~kept_out), order)
-    distinct = urls.select(F.explode(grams(F.col("_url"), order)).alias("g")).distinct()
-    ratios = materialise(gram_ratios(distinct, counts, contexts, order), "ratios")
-    scored = materialise(scores(urls, ratios, order), "scores")
+    seen = materialise(urls.select(F.explode(grams(F.col("_url"), order)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")), "grams")
+    ratios = materialise(gram_ratios(seen, counts, contexts, order), "ratios")
+    scored = materialise(scores(urls, ratios, order, most), "scores")
     edge = threshold(labelled.where(kept_out).select("_row", "ruled").join(scored, "_row"))
     out = urls.join(scored, "_row", "left")
     by_model = F.when(F.col("score") >= edge, F.lit("allow")).otherwise(F.lit("block"))
