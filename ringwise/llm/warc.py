@@ -5,8 +5,9 @@ format as the line separator, so they can go to any store that Spark reaches; ea
 size. They are read as binary files and parsed by ``Content-Length``. Records of one capture are
 joined through their ``WARC-Concurrent-To`` identifiers into one nested row.
 
-Equal payloads are found by digest: the least page of each is combined before the shuffle, and the
-joins carry no payload, unless there are too many revisits to send to all tasks.
+Equal payloads are found by digest: the least page of each is combined before the shuffle. Only rows of repeated digests are
+joined, hot digests apart from the others, and joins carry no payload unless there are too many revisits to send
+to all tasks. Captures that a revisit refers to are joined with the revisits alone.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded, materialise, pick, shared_dir, table
+from .common import bounded, join_counted, materialise, pick, shared_dir, table
 
 CRLF = "\r\n"
 #: Bytes an archive holds at about, before compression; one archive is one read.
 ARCHIVE_BYTES = 32 << 20
+#: Payload bytes up to which pages share an archive with smaller ones.
+SIZES = (16 << 10, 1 << 20)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FIELDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, date string, content_type string, payload_digest string, block_length bigint, block binary"
@@ -40,17 +43,19 @@ def _base32(digests: pd.Series) -> pd.Series:
     return digests.map(lambda d: None if d is None else base64.b32encode(bytes(d)).decode())
 
 
-def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """``(_row, _id, _url, _html, digest, bytes, first)``: ``first`` is the page that a revisit refers to."""
+def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """``(_row, _id, _url, _html, digest, bytes, first_row)``: ``first_row`` is the row that a revisit refers to."""
     rows = pick(pages, _id=id_col, _url=url_col, _html=html_col).withColumn("_html", F.coalesce("_html", F.lit(""))).withColumn("_row", F.monotonically_increasing_id())
     payload = F.col("_html").cast("binary")
     rows = materialise(rows.withColumn("digest", _base32(F.unhex(F.sha1(payload)))).withColumn("bytes", F.octet_length("_html").cast("bigint")), "payloads")
     # Rows without an id come last; of rows with the same id and payload the first written one is the response.
     order = F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")
-    least = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(order).alias("least"))
-    of = rows.where(F.col("bytes") >= min_bytes).select("_row", "digest").join(least, "digest").select("_row", F.col("least._row").alias("first_row"), F.col("least._id").alias("first_id"))
-    revisits = materialise(of.where("_row != first_row"), "revisits")
-    return rows.join(bounded(revisits, 32), "_row", "left")
+    able = rows.where(F.col("bytes") >= min_bytes)
+    least = able.groupBy("digest").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))
+    repeated = materialise(least.where("copies > 1").select("digest", F.col("least._row").alias("first_row"), "copies"), "repeated")
+    of = join_counted(able.select("_row", "digest"), repeated, "digest", "copies", rows.count(), 24, most)
+    revisits = materialise(of.where("_row != first_row").select("_row", "first_row"), "revisits")
+    return rows.join(bounded(revisits, 32, most), "_row", "left")
 
 
 def record_id(kind: str, row: str) -> object:
@@ -70,10 +75,14 @@ def _record(headers: list[tuple[str, object]], block: object) -> object:
 def write_archives(planned: DataFrame, path: str) -> None:
     """Three records a page: request, response or revisit, and metadata with the page's id.
 
-    Line breaks in a url are percent-encoded; a null url is left out. Each task writes its own rows,
-    in archives of a bounded number of records, so no payload is shuffled.
+    Line breaks and blanks in a url are percent-encoded; a null url is left out. Each task writes its own rows, so no payload is
+    shuffled. Pages of up to each of ``SIZES`` bytes are written apart, as many to an archive as hold ``ARCHIVE_BYTES`` if all
+    were as large as that, so one long page doesn't make an archive long.
     """
-    uri = F.replace(F.replace(F.col("_url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    uri = F.replace(F.replace(F.replace(F.col("_url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
+    parts = r"(?s)^[^:]*://([^/?#]*)([^#]*)"
+    host, target = (F.coalesce(F.regexp_extract(uri, parts, i), F.lit("")) for i in (1, 2))
+    asks = F.concat(F.lit("GET "), F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(F.lit("/"), target)), F.lit(" HTTP/1.1" + CRLF), F.when(host != "", F.concat(F.lit("Host: "), host, F.lit(CRLF))).otherwise(""), F.lit(CRLF))
     main, req, meta = record_id("response", "_row"), record_id("request", "_row"), record_id("metadata", "_row")
     revisit = F.col("first_row").isNotNull()
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
@@ -87,13 +96,21 @@ def write_archives(planned: DataFrame, path: str) -> None:
         ],
         F.when(revisit, head).otherwise(F.concat(head, F.col("_html"))),
     )
-    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", req), *common, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))], F.lit("GET / HTTP/1.1" + CRLF + CRLF))
+    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", req), *common, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))], asks)
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", meta), *common, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], about)
-    size = planned.agg(F.sum(F.when(revisit, 0).otherwise(F.col("bytes"))), F.count(F.lit(1))).first()
-    per_archive = max(1, ARCHIVE_BYTES // (1500 + (size[0] or 0) // max(1, size[1])))
-    texts = planned.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    texts.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * per_archive).text(path)
+    texts = planned.withColumn("value", F.explode(F.array(request, response, metadata)))
+    stored = F.when(revisit, 0).otherwise(F.col("bytes"))
+    held = {r["c"] for r in planned.groupBy(_size_class(stored).alias("c")).count().collect()}  # a row a class
+    for c in sorted(held) or [0]:
+        most = SIZES[c] if c < len(SIZES) else ARCHIVE_BYTES
+        records = 3 * max(1, ARCHIVE_BYTES // (1500 + most))
+        texts.where(_size_class(stored) == c).select("value").write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+
+def _size_class(stored: Column) -> Column:
+    """The number of the first of ``SIZES`` that a payload doesn't exceed; their count for a larger one."""
+    return F.lit(len(SIZES)) - sum((stored <= s).cast("int") for s in SIZES)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -153,19 +170,20 @@ def assemble(records: DataFrame) -> DataFrame:
     return records.groupBy(key.alias("capture_id")).agg(*picks)
 
 
-def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
+def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None, most: int = 32 << 20) -> DataFrame:
     """Write ``pages`` as WARC archives, read them back, and return a row per page.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``. Of pages with equal payloads
     of at least ``min_bytes`` bytes the one with the smallest id is a response and the others revisit it; a
     null html is an empty payload. A null id comes after all others; rows that repeat count as
     pages of their own. An empty table gives an empty result. Everything returned is read from the archives;
-    a payload's size and digest are taken from the stored bytes, a revisit's from its response.
+    a payload's size and digest are taken from the stored bytes, a revisit's from its response. A payload of any length is stored
+    whole; other columns are not read, whatever they are called. ``most``: bytes of a side of a join that are sent to all tasks.
     """
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     kind = dict(pages.dtypes)[id_col]
-    write_archives(plan_records(pages, id_col, url_col, html_col, min_bytes), path)
+    write_archives(plan_records(pages, id_col, url_col, html_col, min_bytes, most), path)
 
     @F.pandas_udf("digest string, bytes bigint")
     def measured(blocks: pd.Series) -> pd.DataFrame:
@@ -182,11 +200,14 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         F.col("response.record_id").alias("rid"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"),
         F.regexp_replace("response.payload_digest", "^sha1:", "").alias("claimed"), F.col("response.own.digest").alias("digest"), F.col("response.own.bytes").alias("bytes"), F.nullif(page, F.lit("")).cast(kind).alias("page"),
     )
-    targets = rows.where("record_type = 'response'").select(F.col("rid").alias("target"), F.col("digest").alias("t_digest"), F.col("bytes").alias("t_bytes"), F.col("page").alias("t_page"))
-    out = rows.join(targets, "target", "left")
+    again = rows.where("record_type = 'revisit'").drop("digest", "bytes")
+    asked = again.groupBy("target").agg(F.count(F.lit(1)).alias("copies"))
+    targets = rows.where("record_type != 'revisit'").select(F.col("rid").alias("target"), "digest", "bytes", F.col("page").alias("t_page")).join(bounded(asked, 24, most), "target")
+    met = join_counted(again, materialise(targets, "targets"), "target", "copies", again.count(), 100, most)
+    out = rows.where("record_type != 'revisit'").withColumn("t_page", F.lit(None).cast(kind)).unionByName(met.select(*rows.columns, "t_page"))
     return out.select(
-        F.col("page").alias(id_col), F.coalesce("bytes", "t_bytes").alias("payload_bytes"), F.coalesce("digest", "t_digest").alias("payload_digest"),
-        "record_type", F.when(F.col("record_type") == "revisit", F.col("t_page")).alias("refers_to"), (F.coalesce("digest", "t_digest") == F.col("claimed")).alias("digest_ok"),
+        F.col("page").alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", F.col("t_page").alias("refers_to"), (F.col("digest") == F.col("claimed")).alias("digest_ok"),
     )
 
 

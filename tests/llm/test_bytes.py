@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import zlib
@@ -52,9 +53,23 @@ def test_captures(spark):
     # Of two equal rows with one id either may be the response.
     assert got == want
     assert seen(W.captures(df, min_bytes=9)) == brute_captures(rows, 9)
+    assert seen(W.captures(df, most=0)) == want
     assert W.captures(df.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_and_hot_payloads_meet(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 100_000)
+    monkeypatch.setattr(W, "SIZES", (1000, 20_000))
+    rows = [(i, f"http://h{i}/a b?q=1#f", "" if i % 3 == 0 else "x" * (30_000 if i % 50 == 1 else i % 700)) for i in range(600)]
+    path = str(tmp_path / "warc")
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    assert seen(W.captures(df, path=path, most=0)) == brute_captures(rows)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) > 2 and max(sizes) < 200_000
+    asked = [bytes(r.block).decode() for r in W.read_archives(spark, path).where("type = 'request'").collect()]
+    assert "GET /a%20b?q=1 HTTP/1.1\r\nHost: h7\r\n\r\n" in asked and len(asked) == 600
+
+
 def test_captures_of_all_pages(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
     assert seen(W.op7_warc(spark, DATA)) == brute_captures(rows)
@@ -199,6 +214,15 @@ def test_url_rules(spark):
     assert U.judge(df.limit(0)).count() == 0
 
 
+def test_repeated_urls_and_ratios_by_shuffle(spark):
+    rows = [(r.page_id, r.url) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url").collect()]
+    rows += [(9000 + i, "http://hot.example.org/es/1") for i in range(len(rows) // 2)] + rows[:3] + [(None, rows[0][1])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "page_id bigint, url string, n string, llr double")
+    few, many = (sorted((str(r.page_id), r.rule or "", r.verdict, round(r.score, 9)) for r in U.judge(df, most=most).collect()) for most in (32 << 20, 0))
+    assert few == many and len(few) == len(rows)
+    assert len({x[3] for x in few if x[0].startswith("90")}) == 1
+
+
 def test_many_rules_by_join(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(ODD_URLS)), "page_id bigint, url string")
     few = {r.page_id: (r.rule, r.verdict) for r in U.judge(df).collect()}
