@@ -1,27 +1,28 @@
 """Exact deduplication by a streaming aggregation over disk-backed keyed state.
 
 Arrivals are ``(identifier, locator, digest)`` rows. A Structured Streaming aggregation keeps
-one state row per digest - the digest, the stable identifier that stays and its locator, and the
+one state row per digest - the digest, the stable identifier that stays and its content locator, and the
 number of copies - in the RocksDB state store, without expiry: a text seen years ago is still a
-hit. Every hit is then checked on its full bytes; digests under which different texts meet are
-resolved by the texts themselves.
+hit. Every hit is then checked on its full bytes, those of earlier ingests included, which the locators lead to; digests
+under which different texts meet are resolved by the texts themselves.
 
 Only DataFrame functions run on the data path. Texts are never shuffled unless their digest
 occurs more than once, and copies are combined before any shuffle, so a group that holds a third
-of all rows costs one row per task.
+of all rows costs one row per task. Arrivals meet the state by joins in which only repeated digests take part, hot ones apart.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, materialise, pick, shared_dir, table
+from .common import ascii_lower, bounded, join_counted, materialise, pick, shared_dir, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Streaming settings for the time of one ingest.
+#: Settings of the session in which the stream runs.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -41,40 +42,51 @@ def digest_of(text: Column) -> Column:
 class DedupState:
     """Keyed state that lives in ``path``; ``ingest`` may be called again for later arrivals.
 
-    ``key_bits``: bits of the digest that make the state key (256: all of it). Fewer bits make
-    collisions, which the check on full bytes resolves; tests use that.
+    A locator is ``<ingest>-<row>``; it finds the row's text in ``contents``. Texts are kept beside the state with
+    ``keep_texts``; without, ``contents`` are the rows of the only ingest themselves. ``key_bits``: bits of the digest that make
+    the state key (256: all of it). Fewer bits make collisions, which the check on full bytes resolves; tests use that.
     """
 
     spark: SparkSession
     path: str
     key_bits: int = 256
-
-    def ingest(self, arrivals: DataFrame) -> None:
-        """Add ``(_id, _loc, _sha, _x)`` rows to the state."""
-        spark = self.spark
+    keep_texts: bool = True
+    rows: DataFrame | None = None
+
+    def ingest(self, rows: DataFrame) -> None:
+        """Add ``(_id, _text)`` rows to the state."""
+        # A session of its own: the state store's settings don't touch other work.
+        session = self.spark.newSession()
+        for k, v in STATE_CONF.items() | {("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))}:
+            session.conf.set(k, v)
         inbox = f"{self.path}/arrivals"
+        number = uuid.uuid4().hex[:12]
+        located = rows.select(F.col("_id").cast("bigint").alias("_id"), F.concat(F.lit(f"{number}-"), F.monotonically_increasing_id().cast("string")).alias("_loc"), "_text")
+        if self.keep_texts:
+            kept = f"{self.path}/contents/ingest={number}"
+            located.select("_loc", "_text", "_id").write.option("compression", "zstd").parquet(kept)
+            located = self.spark.read.schema(located.select("_loc", "_text", "_id").schema).parquet(kept)
+        elif self.rows is not None:
+            raise ValueError("later ingests need the texts of earlier ones: keep_texts")
+        else:
+            self.rows = rows
+        text = ascii_lower(F.coalesce("_text", F.lit("")))
+        arrivals = located.select("_id", "_loc", digest_of(F.col("_text")).alias("_sha"), F.xxhash64(text).alias("_x"))
         arrivals.write.mode("append").option("compression", "zstd").parquet(inbox)
-        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-        for k, v in STATE_CONF.items():
-            spark.conf.set(k, v)
-        try:
-            seen = (
-                spark.readStream.schema(arrivals.schema).parquet(inbox)
-                .groupBy(self.key().alias("_key"))
-                .agg(F.max("_id").alias("_keep"), F.max_by("_loc", F.coalesce("_id", F.lit(-(2**63)))).alias("_keep_loc"), F.count(F.lit(1)).alias("_n"))
-            )
-            updates = f"{self.path}/updates"
+        seen = (
+            session.readStream.schema(arrivals.schema).parquet(inbox)
+            .groupBy(self.key().alias("_key"))
+            .agg(F.max("_id").alias("_keep"), F.max_by("_loc", F.struct(F.coalesce("_id", F.lit(-(2**63))), "_loc")).alias("_keep_loc"), F.count(F.lit(1)).alias("_n"))
+        )
+        updates = f"{self.path}/updates"
 
-            def save(batch: DataFrame, batch_id: int) -> None:
-                batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{updates}/batch={batch_id}")
+        def save(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{updates}/batch={batch_id}")
 
-            (
-                seen.writeStream.outputMode("update").trigger(availableNow=True)
-                .option("checkpointLocation", f"{self.path}/state").foreachBatch(save).start().awaitTermination()
-            )
-        finally:
-            for k, v in before.items():
-                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        (
+            seen.writeStream.outputMode("update").trigger(availableNow=True)
+            .option("checkpointLocation", f"{self.path}/state").foreachBatch(save).start().awaitTermination()
+        )
 
     def key(self) -> Column:
         return F.substring("_sha", 1, self.key_bits // 4)
@@ -84,36 +96,66 @@ class DedupState:
 
     def verdicts(self) -> DataFrame:
         """``(_key, _keep, _keep_loc, _n)`` as of the last ingest: later updates hold more rows."""
-        schema = "_key string, _keep bigint, _keep_loc bigint, _n bigint, batch int"
+        schema = "_key string, _keep bigint, _keep_loc string, _n bigint, batch int"
         return (
             self.spark.read.schema(schema).parquet(f"{self.path}/updates")
             .groupBy("_key").agg(F.max("_keep").alias("_keep"), F.max_by("_keep_loc", "_n").alias("_keep_loc"), F.max("_n").alias("_n"))
         )
 
+    def contents(self) -> DataFrame:
+        """``(_loc, _text)`` of all rows that were ever ingested; without kept texts, ``(_text)`` of the only ingest."""
+        if not self.keep_texts:
+            return self.rows.select("_text")
+        return self.spark.read.schema("_loc string, _text string").parquet(*[f"{self.path}/contents"])
+
+    def fetch(self, locators: DataFrame) -> DataFrame:
+        """``(_loc, _text)`` of each of ``locators(_loc)``."""
+        return self.contents().join(bounded(locators.select("_loc").distinct(), 8), "_loc", "left_semi")
+
+    def collisions(self, repeated: DataFrame) -> DataFrame:
+        """Those of the keys ``repeated(_key)`` under which the full bytes differ. Grouping by the bytes themselves is the check; it
+        combines copies before the shuffle, so each task sends a repeated text at most once."""
+        text = ascii_lower(F.coalesce("_text", F.lit("")))
+        hits = self.contents().select(digest_of(F.col("_text")).alias("_sha"), text.alias("_bytes")).withColumn("_key", self.key())
+        distinct_texts = hits.join(bounded(repeated, 8), "_key", "left_semi").groupBy("_key", "_bytes").agg(F.count(F.lit(1)).alias("_m"))
+        return materialise(distinct_texts.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_key"), "collisions")
+
+    def resolve(self, most: int = 32 << 20) -> DataFrame:
+        """``(_id, _loc, _sha, _keep, _keep_loc, _n)`` of every arrival so far, after the check on full bytes."""
+        arrivals = self.arrivals()
+        total = arrivals.count()
+        repeated = materialise(self.verdicts().where("_n > 1"), "repeated")
+        clash = self.collisions(repeated.select("_key"))
+        groups = [repeated.select(F.col("_key").alias("_group"), "_keep", "_keep_loc", "_n")]
+        if not clash.isEmpty():
+            # Different texts under one key: those keys are split by the full digest and a second, independent one.
+            groups[0] = groups[0].join(clash.withColumnRenamed("_key", "_group"), "_group", "left_anti")
+            whole = F.concat("_sha", F.lit("/"), F.col("_x").cast("string"))
+            arrivals = arrivals.join(bounded(clash.withColumn("_split", F.lit(True)), 8), "_key", "left")
+            arrivals = arrivals.withColumn("_group", F.when(F.col("_split"), whole).otherwise(F.col("_key"))).drop("_split")
+            groups.append(
+                arrivals.where("_group != _key").groupBy("_group")
+                .agg(F.max("_id").alias("_keep"), F.max_by("_loc", F.struct(F.coalesce("_id", F.lit(-(2**63))), "_loc")).alias("_keep_loc"), F.count(F.lit(1)).alias("_n"))
+            )
+        else:
+            arrivals = arrivals.withColumn("_group", F.col("_key"))
+        known = groups[0] if len(groups) == 1 else materialise(groups[0].unionByName(groups[1]), "groups")
+        found = join_counted(arrivals, known.withColumn("_copies", F.col("_n")), "_group", "_copies", total, 40, most)
+        # A digest that occurs once is its own group.
+        return found.select("_id", "_loc", "_sha", F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_keep_loc", "_loc").alias("_keep_loc"), F.coalesce("_n", F.lit(1)).cast("bigint").alias("_n"))
+
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 256, most: int = 32 << 20) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z only; of equal texts the row with the
     largest id stays. A null text counts as empty. A null id is smaller than any other; of rows
-    that repeat the same id and text exactly one is kept. An empty table gives an empty result.
-    Other columns are not read.
+    that repeat the same id and text exactly one is kept. An empty table gives an empty result. Texts of any length are
+    compared whole; other columns are not read, whatever they are called. ``most``: bytes of a side of a join that are sent to all tasks.
     """
-    spark = docs.sparkSession
-    rows = pick(docs, _id=id_col, _text=text_col)
-    state = DedupState(spark, shared_dir(spark, "dedup"), key_bits)
-    state.ingest(rows.select(F.col("_id").cast("bigint"), F.monotonically_increasing_id().alias("_loc"), digest_of(F.col("_text")).alias("_sha"), F.xxhash64(ascii_lower(F.coalesce("_text", F.lit("")))).alias("_x")))
-    arrivals = state.arrivals()
-    verdicts = materialise(state.verdicts(), "verdicts")
-    found = arrivals.join(verdicts, "_key")
-    clash = _collisions(rows, verdicts, state)
-    if not clash.isEmpty():
-        # Different texts under one key: those keys are split by the full digest and a second, independent one.
-        split = (
-            arrivals.join(clash, "_key", "left_semi").groupBy("_key", "_sha", "_x")
-            .agg(F.max("_id").alias("_keep"), F.max_by("_loc", F.coalesce("_id", F.lit(-(2**63)))).alias("_keep_loc"), F.count(F.lit(1)).alias("_n"))
-        )
-        found = found.join(clash, "_key", "left_anti").select(*found.columns).unionByName(arrivals.join(split, ["_key", "_sha", "_x"]).select(*found.columns))
+    state = DedupState(docs.sparkSession, shared_dir(docs.sparkSession, "dedup"), key_bits, keep_texts=False)
+    state.ingest(pick(docs, _id=id_col, _text=text_col))
+    found = state.resolve(most)
     return found.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
@@ -123,20 +165,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _collisions(rows: DataFrame, verdicts: DataFrame, state: DedupState) -> DataFrame:
-    """Keys under which the full bytes differ. Grouping by the bytes themselves is the check; it
-    combines copies before the shuffle, so each task sends a repeated text at most once."""
-    text = ascii_lower(F.coalesce("_text", F.lit("")))
-    hits = rows.select(digest_of(F.col("_text")).alias("_sha"), text.alias("_bytes")).withColumn("_key", state.key())
-    repeated = bounded(verdicts.where("_n > 1").select("_key"), 100)
-    distinct_texts = hits.join(repeated, "_key", "left_semi").groupBy("_key", "_bytes").agg(F.count(F.lit(1)).alias("_m"))
-    return materialise(distinct_texts.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_key"), "collisions")
-
-
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
-    Rows that repeat the same id and text are reduced to one of them.
+    Rows that repeat the same id and text are reduced to one of them; null texts count as empty ones, and a null id as the
+    smallest. An empty table gives none.
     """
     verdict = materialise(exact_dedup(docs, id_col, text_col), "dedup-kept")
     each = verdict.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("stays"))

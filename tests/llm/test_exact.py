@@ -51,13 +51,26 @@ def test_collisions_are_resolved_by_bytes(spark, docs):
 
 
 def test_state_survives_between_ingests(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    state = X.DedupState(spark, f"file://{tmp_path}/state")
-    row = lambda i, t: spark.createDataFrame([(i, t)], "_id bigint, t string").select("_id", F.lit(i).cast("bigint").alias("_loc"), X.digest_of(F.col("t")).alias("_sha"), F.xxhash64("t").alias("_x"))
-    for i, t in ((1, "one"), (2, "two"), (3, "ONE")):
-        state.ingest(row(i, t))
-    assert sorted((r._keep, r._n) for r in state.verdicts().collect()) == [(2, 1), (3, 2)]
+    for bits in (256, 4):  # with few bits nearly all meet under one key
+        state = X.DedupState(spark, f"file://{tmp_path}/state-{bits}", bits)
+        texts = [f"text {i}" for i in range(30)]
+        for part in ([(1, "one"), *enumerate(texts, 100)], [(2, "two")], [(3, "ONE"), (None, "two"), (200, "TEXT 7")]):
+            state.ingest(spark.createDataFrame(part, "_id bigint, _text string"))
+        got = {(r._id, r._sha): (r._keep, r._n, r._loc == r._keep_loc, r._keep_loc) for r in state.resolve().collect()}
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert got[1, sha("one")][:3] == (3, 2, False) and got[3, sha("one")][:3] == (3, 2, True)
+        assert got[None, sha("two")][:3] == (2, 2, False) and got[107, sha("text 7")][:2] == (200, 2)
+        assert got[101, sha("text 1")][:3] == (101, 1, True) and len(got) == 35
+        # A locator leads to the content of whichever ingest it came with.
+        kept = got[3, sha("one")][3]
+        assert [r._text for r in state.fetch(spark.createDataFrame([(kept,)], "_loc string")).collect()] == ["ONE"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != X.ROCKSDB  # the caller's session is as it was
+
+
+def test_hot_groups_without_broadcast(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows += [(10_000 + i, "The same text, again" if i % 2 else "the SAME text, again") for i in range(len(rows))]
+    check_dedup(rows, X.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), most=0).collect())
 
 
 def test_stage_keeps_one_copy(spark):
