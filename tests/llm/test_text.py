@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 from conftest import DATA, odd_rows
@@ -92,23 +93,75 @@ def test_extract_odd_pages(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
-def test_chat_roundtrip_and_odd_rows(spark):
-    conv = spark.read.parquet(f"{DATA}/conversations.parquet")
-    marked = C.format_transcripts(C.transcripts(conv, drop=0))
-    n, exact = marked.agg(F.count(F.lit(1)), F.count_if(F.col("roles") == F.col("truth"))).first()
-    assert n and exact / n > 0.95
-    got = C.op2_chat_format(spark, DATA)
-    n, exact = got.agg(F.count(F.lit(1)), F.count_if("exact")).first()
-    assert exact / n > 0.6  # a fifth of the markers is missing
+def rows_of_parts(df):
+    return sorted(((str(r._id), tuple(-1 if x is None else x for x in r.part)), r) for r in df.collect())
+
+
+def test_chat_roundtrip(spark):
+    conv = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/conversations.parquet")
+    marked = C.format_transcripts(C.transcripts(conv, drop=0)).where("_roles = roles and _texts = texts").count()
+    assert marked > 0.9 * conv.select("conv_id").distinct().count()
+    got = C.op2_chat_format(spark, DATA.replace("0.001", "0.1")).where("held_out").agg(F.avg(F.col("exact_roles").cast("int")), F.avg(F.col("exact").cast("int"))).first()
+    assert got[0] > 0.9 and got[1] > 0.7  # a fifth of the markers is missing
     model = C.RoleModel()
     assert C.parse("User: hi there?\nAssistant: hello\n\nNote: more\nUser: bye", model) == [("user", "hi there?"), ("assistant", "hello\n\nNote: more"), ("user", "bye")]
     assert C.parse("Q: one?\n" + "A: " + "long " * 100 + "\nand on", model)[1][0] == "assistant"
-    odd = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, " \n ", 3), (4, "no marker at all", 4), (5, "User: <|end|> x", 5), (5, "User: <|end|> x", 5), (6, "User: " + "y\n" * 5000, 6)], "i int, transcript string, n_turns int")
-    out = {r.i: r for r in C.format_transcripts(odd).collect()}
-    assert [out[i].n_turns for i in (1, 2, 3)] == [0, 0, 0] and out[1].rendered == "" and out[4].n_turns == 1 and out[6].n_turns >= 1
-    assert out[5].rendered == "<|user|>\n<\u200b|end|> x\n<|end|>\n"
+
+
+def test_chat_query_matches_whole_conversations(spark):
+    """Parts of three turns, parsed together, give what parsing each whole conversation in memory does; so does the fit."""
+    conv = spark.read.parquet(f"{DATA}/conversations.parquet")
+    conv = conv.unionByName(conv.where("conv_id % 7 = 1").withColumn("text", F.concat("text", F.lit("\nagain")))).withColumn("n_turns", F.lit("x"))
+    written = C.transcripts(conv, max_turns=2)
+    model = C.fitted(written)
+    counts = {}
+    parts = rows_of_parts(written)
+    for _, r in parts:
+        if zlib.crc32(str(r._id).encode()) % 4 != 2:
+            for name, c in C.count_lines(r.transcript, [(x.role, x.n) for x in r.lines]).items():
+                counts[name] = counts.get(name, 0) + c
+    assert all(np.allclose(a, b) for a, b in zip(model.log, C.RoleModel().fit(counts).log, strict=True))
+    assert len(parts) > 1.5 * len({k[0] for k, _ in parts}) and sum(len(r.roles) for _, r in parts) == conv.where("trim(text) != ''").count()
+    found = rows_of_parts(C.format_transcripts(written, model, id_col="_id", part_col="part"))
+    whole, begun, rendered = {}, {}, {}
+    for (i, _), r in parts:
+        whole.setdefault(i, []).append(r.transcript)
+    for (i, _), r in found:
+        for j, (role, text) in enumerate(zip(r._roles, r._texts, strict=True)):
+            if j == 0 and r._continued:
+                assert begun[i][-1][0] == role
+                begun[i][-1] = (role, begun[i][-1][1] + "\n" + text)
+            else:
+                begun.setdefault(i, []).append((role, text))
+        rendered[i] = rendered.get(i, 0) + r._n_turns
+    flat = lambda turns: [(r, re.sub(r"\s+", " ", t)) for r, t in turns]
+    for i, texts in whole.items():
+        want = C.parse("\n".join(texts), model)
+        assert flat(begun.get(i, [])) == flat(want) and rendered[i] == len(want), i
+
+
+def test_long_conversations_come_in_parts(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i}, here.") for i in range(200)] + [(2, 7, "user", f"same number {i}") for i in range(90)] + [(None, None, "user", "no id")] * 40 + [(3, i // 3, "user", f"t {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = C.transcripts(df, max_turns=10, drop=0)
+    assert parts.agg(F.max(F.size("lines"))).first()[0] <= 40 and parts.agg(F.sum(F.size("roles"))).first()[0] == len(rows)
+    found = C.format_transcripts(parts, id_col="_id", part_col="part")
+    got = found.groupBy("_id").agg(F.sum("_n_turns").alias("n")).collect()
+    assert {r._id: r.n for r in got} == {1: 200, 2: 90, None: 40, 3: 60}
+    assert found.where("_id = 1 and (_roles != roles or _texts != texts)").count() == 0
+
+
+def test_chat_odd_rows(spark):
+    odd = spark.createDataFrame([(1, "", 1), (2, None, 2), (3, " \n ", 3), (4, "no marker at all", 4), (5, "User: <|end|> x", 5), (5, "User: <|end|> x", 5), (6, "User: " + "y\n" * 5000, 6)], "n_turns int, transcript string, roles int")
+    out = {r.n_turns: r for r in C.format_transcripts(odd).collect()}
+    assert [out[i]._n_turns for i in (1, 2, 3)] == [0, 0, 0] and out[1]._rendered == "" and out[4]._n_turns == 1 and out[6]._n_turns >= 1 and out[4].roles == 4
+    assert out[5]._rendered == "<|user|>\n<\u200b|end|> x\n<|end|>\n"
     assert C.format_transcripts(odd.limit(0)).count() == 0
-    assert C.transcripts(spark.createDataFrame([(None, 1, "user", "a"), (1, None, "user", None), (1, 1, None, "b"), (2, None, "odd", "c")], "conv_id bigint, turn bigint, role string, text string")).count() == 1
+    rows = [(None, 1, "user", "a"), (1, None, "user", None), (1, 1, None, "b"), (2, None, "odd", "c"), (4, 1, "user", "x"), (4, 1, "user", "x"), (5, 1, None, None)]
+    made = {r._id: (r.roles, r.texts) for r in C.transcripts(spark.createDataFrame([(*r, "q", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, part string, style int")).collect()}
+    assert made == {None: (["user"], ["a"]), 1: (["user"], ["b"]), 2: (["odd"], ["c"]), 4: (["user", "user"], ["x", "x"]), 5: ([], [])}
+    empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert C.transcripts(empty).count() == 0 and C.format_transcripts(C.transcripts(empty), C.fitted(C.transcripts(empty)), id_col="_id", part_col="part").count() == 0
 
 
 def test_viterbi_matches_all_paths():
