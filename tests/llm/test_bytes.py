@@ -14,6 +14,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import DATA, odd_rows
+from test_exact import brute_decontaminate, lower
+from test_near import brute as brute_join
 from tokenizers import Tokenizer
 
 from ringwise.llm import packing as P
@@ -276,16 +278,39 @@ def test_url_model_matches_definition(spark):
         assert got[i].verdict == want or abs(scores[i] - edge) < 1e-9
 
 
-def test_pipeline(spark, docs, exact):
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = kept.count()
-        kept = stage(spark, kept, DATA)
-        assert kept.columns == docs.columns and kept.count() <= before, name
-        kept = spark.createDataFrame(kept.collect(), docs.schema)
-    rows = [(r.doc_id, r.text) for r in kept.collect()]
-    check_packing(rows, corpus_pipeline.run(spark, DATA).collect(), exact, 2048)
-    assert len({t.lower() for _, t in rows}) == len(rows)
+def brute_stages(rows, benchmark):
+    """``(id, text)`` of the documents that each stage should keep, from the raw rows; ids differ."""
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    yield rows
+    last = {}
+    for i, t in sorted(rows):
+        last[lower(t)] = i
+    rows = [r for r in rows if last[lower(r[1])] == r[0]]
+    yield rows
+    component = {i: c for i, _, c in brute_join(rows)}
+    rows = [r for r in rows if component[r[0]] == r[0]]
+    yield rows
+    dirty = {r[0] for r in brute_decontaminate(rows, benchmark) if r[5]}
+    yield [r for r in rows if r[0] not in dirty]
+
+
+def test_pipeline(spark, docs, exact, tmp_path):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    long = [f"w{i}" for i in range(300)]
+    rows += [(50_000, "12 %%"), (50_001, None), (50_002, " ".join(long)), (50_003, " ".join(long[:-2])), (50_004, " ".join(long).upper()), (50_005, items[0][1]), (50_006, "Clean. " + " ".join(long[::-1]))]
+    schema = docs.select("doc_id", "text").schema
+    spark.createDataFrame(rows, schema).selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then 'en' else 'de' end as lang", "'s' as source", "cast(length(text) as bigint) as n_chars", "1 as extra").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = kept.columns
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], brute_stages(rows, items), strict=True):
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == names, name
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want), name
+    left = {i for i, _ in want}
+    assert 50_006 in left and not left & {50_000, 50_001, 50_002, 50_005} and len(left & {50_003, 50_004}) == 1
+    check_packing(want, corpus_pipeline.run(spark, str(tmp_path)).collect(), exact, 2048)
 
 
 def test_stages_on_odd_rows(spark):
