@@ -65,13 +65,34 @@ def flight_calls(calls: DataFrame, by: list[str], ts: str, tie: str, flight_us:
     return rows.mapInPandas(run, f"{spec}, _t bigint, call {kinds[tie]}, leader {kinds[tie]}, start_us bigint")
 
 
-def ring_quantile(samples: DataFrame, by: list[str], order: list[str], value: str, q: float, ring: int = RING, fewest: int = FEWEST) -> DataFrame:
-    """Adds ``quantile``: of the ``ring`` values before each row, the one at index floor(q * n) in order; null below ``fewest``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-ring, -1)
-    kept = samples.withColumn("_v", F.sort_array(F.collect_list(value).over(w)))
+def numbered(rows: DataFrame, by: list[str], at: str, order: list[str], cell_us: int) -> DataFrame:
+    """``rows`` with ``_p``: each row's number from 0 within its ``by``, by ``at`` and ``order``.
+
+    Rows are sorted within cells of time, whose counts are added up over one row a cell.
+    """
+    celled = rows.withColumn("_cell", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / cell_us))
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = celled.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*by, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(at, *order))
+    return celled.withColumn("_o", own).join(starts, [*by, "_cell"]).withColumn("_p", F.col("_start") + F.col("_o") - 1).drop("_cell", "_o", "_start")
+
+
+def ring_quantile(samples: DataFrame, by: list[str], order: list[str], value: str, q: float, ring: int = RING, fewest: int = FEWEST, cell_us: int = 3_600_000_000) -> DataFrame:
+    """Adds ``quantile``: of the ``ring`` values before each row, the one at index floor(q * n) in order; null below ``fewest``.
+
+    ``order``: the time, and what tells rows of one time apart. Rows are numbered and dealt into blocks of sixteen rings, with the last ring
+    of the block before, so no task sorts all rows of a key.
+    """
+    block = 16 * ring
+    placed = numbered(samples, by, order[0], order[1:], cell_us)
+    home = F.floor(F.col("_p") / block)
+    dealt = placed.withColumn("_b", F.explode(F.when(F.col("_p") % block >= block - ring, F.array(home, home + 1)).otherwise(F.array(home))))
+    w = Window.partitionBy(*by, "_b").orderBy("_p").rowsBetween(-ring, -1)
+    kept = dealt.withColumn("_v", F.sort_array(F.collect_list(value).over(w))).where(F.col("_b") == home)
     n = F.size("_v")
     index = F.least(F.floor(F.lit(q) * n), n - 1).cast("int")
-    return kept.withColumn("quantile", F.when(n >= fewest, F.get("_v", index))).drop("_v")
+    return kept.withColumn("quantile", F.when(n >= fewest, F.get("_v", index))).drop("_v", "_p", "_b")
 
 
 def hedge_delay(quantile: Column, bounds: tuple[float, float] = DELAY_MS) -> Column:

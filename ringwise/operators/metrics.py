@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,43 @@ def histogram(df: DataFrame, by: list[str], value: str, bounds: list[float]) ->
 
 
 def number_text(x: float) -> str:
-    """Shortest text of a number, as in the exposition format."""
+    """Shortest text of a number, with an exponent below 1e-4 and from 1e6 on, as in the exposition format."""
     if math.isnan(x):
         return "NaN"
     if math.isinf(x):
         return "+Inf" if x > 0 else "-Inf"
-    return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
+    sign, digits, exponent = Decimal(repr(float(x))).as_tuple()
+    d = "".join(map(str, digits)).rstrip("0") or "0"
+    e = len(digits) + exponent - 1 if d != "0" else 0
+    if e < -4 or e >= 6:
+        out = d[0] + ("." + d[1:] if d[1:] else "") + f"e{'-' if e < 0 else '+'}{abs(e):02}"
+    elif e < 0:
+        out = "0." + "0" * (-e - 1) + d
+    else:
+        out = d.ljust(e + 1, "0")
+        out = out[: e + 1] + ("." + out[e + 1 :] if out[e + 1 :] else "")
+    return "-" * sign + out
 
 
 def number_column(x: Column) -> Column:
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf").when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """``number_text`` of a column of doubles."""
+    s = F.abs(x).cast("string")
+    science = F.contains(s, F.lit("E"))
+    mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    digits = F.regexp_replace(F.concat(whole, part), "^0+|0+$", "")
+    e = F.when(science, power).when(whole != "0", F.length(whole) - 1).otherwise(-1 - F.length(F.regexp_extract(part, "^(0*)", 1)))
+    d, e = F.when(digits == "", "0").otherwise(digits), F.when(digits == "", 0).otherwise(e)
+    rest = lambda t: F.when(t != "", F.concat(F.lit("."), t)).otherwise("")
+    cut = lambda t, at: F.substr(t, at)
+    sign = F.when(e < 0, "-").otherwise("+")
+    long = F.concat(F.substring(d, 1, 1), rest(cut(d, F.lit(2))), F.lit("e"), sign, F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0))), d)
+    padded = F.concat(d, F.repeat(F.lit("0"), F.greatest(e + 1 - F.length(d), F.lit(0))))
+    plain = F.concat(F.substr(padded, F.lit(1), F.greatest(e + 1, F.lit(1))), rest(cut(padded, e + 2)))
+    text = F.when((e < -4) | (e >= 6), long).when(e < 0, small).otherwise(plain)
+    signed = F.concat(F.when(x < 0, "-").otherwise(""), text)
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf").otherwise(signed)
 
 
 def exposition(metrics: DataFrame) -> DataFrame:
@@ -64,7 +91,9 @@ def exposition(metrics: DataFrame) -> DataFrame:
     head = first.select(F.struct(F.col("at"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s")).alias("seq"), F.explode(F.array_compact(F.array(F.when(F.col("help") != "", F.concat(F.lit("# HELP "), "name", F.lit(" "), escape_help(F.col("help")))), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind")))).alias("line"))
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escape_label(e["value"]), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
-    body = metrics.join(first.select("name", "at"), "name").select(F.struct(F.col("at"), F.lit(1).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), F.concat("name", labels, F.lit(" "), number_column(F.col("value"))).alias("line"))
+    # Counters are whole numbers.
+    shown = F.when(F.col("kind") == "counter", F.floor("value").cast("bigint").cast("string")).otherwise(number_column(F.col("value").cast("double")))
+    body = metrics.join(first.select("name", "at"), "name").select(F.struct(F.col("at"), F.lit(1).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), F.concat("name", labels, F.lit(" "), shown).alias("line"))
     return head.unionByName(body)
 
 
