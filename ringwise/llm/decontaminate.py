@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded, materialise, pick, table
 
-#: No word: the posting that every document has, in front of those of its words.
-HEAD = ""
+#: No word: the posting that every document has, behind those of its words.
+TAIL = ""
 #: Postings of a term that one part holds at about.
 PART_ROWS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,9 +33,8 @@ def words(text: Column) -> Column:
 
 
 def postings(keyed: DataFrame) -> DataFrame:
-    """``(_key.., n_words, term, pos)`` for each word of ``keyed(_id, _h, _text)``, and for ``HEAD`` at -1."""
-    split = keyed.select("_id", "_h", F.concat(F.array(F.lit(HEAD)), words(F.col("_text"))).alias("w"))
-    return split.select("_id", "_h", (F.size("w") - 1).cast("bigint").alias("n_words"), F.posexplode("w").alias("pos", "term")).withColumn("pos", F.col("pos") - 1)
+    """``(_key.., term, pos)`` for each word of ``keyed(_id, _h, _text)``, and for ``TAIL`` behind the last one, whose position is their number."""
+    return keyed.select("_id", "_h", F.posexplode(F.concat(words(F.col("_text")), F.array(F.lit(TAIL)))).alias("pos", "term"))
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,12 +75,11 @@ def rarest_terms(items: DataFrame, counts: DataFrame, size: int, anchors: int) -
     return each.select("uid", "start", "need", F.expr("shiftleft(1, j)").alias("bit"), "q")
 
 
-def alignments(index: DataFrame, items: DataFrame, chosen: DataFrame) -> DataFrame:
+def alignments(index: DataFrame, items: DataFrame, chosen: DataFrame, rare: DataFrame) -> DataFrame:
     """``(_id, _h, uid, shift)``: where the rarest terms of some window all stand in place."""
     slots = items.select("uid", F.posexplode("terms").alias("q", "term"))
-    parts = index.where(F.col("term") != HEAD).select("term", "parts").distinct()
-    needed = chosen.select("uid", "q").distinct().join(slots, ["uid", "q"]).join(parts, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
-    dealt = index.where(F.col("term") != HEAD).withColumn("part", F.pmod(F.xxhash64("_id", "_h"), F.col("parts")))
+    needed = chosen.select("uid", "q").distinct().join(slots, ["uid", "q"]).join(rare, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    dealt = index.where(F.col("term") != TAIL).withColumn("part", F.pmod(F.xxhash64("_id", "_h"), F.col("parts")))
     met = dealt.join(bounded(needed, 40), ["term", "part"]).select("_id", "_h", "uid", (F.col("pos") - F.col("q")).alias("shift"), "q")
     per_window = met.join(bounded(chosen, 40), ["uid", "q"])
     full = per_window.groupBy("_id", "_h", "uid", "shift", "start").agg(F.bit_or("bit").alias("k"), F.first("need").alias("need")).where("k = need")
@@ -110,11 +108,11 @@ def find_phrases(docs: DataFrame, items: DataFrame, size: int = 13, anchors: int
     chosen = materialise(rarest_terms(items, counts, size, anchors), "anchors")
     slots = items.select("uid", F.posexplode("terms").alias("q", "term"))
     rare = chosen.join(slots, ["uid", "q"]).select("term").distinct().join(counts, "term").select("term", F.ceil(F.col("df") / PART_ROWS).alias("parts"))
-    head = docs.sparkSession.createDataFrame([(HEAD, 1)], "term string, parts bigint")
-    rare = materialise(rare.unionByName(head), "rare")
+    tail = docs.sparkSession.createDataFrame([(TAIL, 1)], "term string, parts bigint")
+    rare = materialise(rare.unionByName(tail), "rare")
     index = materialise(postings(docs).join(bounded(rare, 24), "term"), "postings")
-    found = materialise(alignments(index, items, chosen), "alignments")
-    return occurrences(docs, items, found, size), index.where(F.col("term") == HEAD).select("_id", "_h", "n_words")
+    found = materialise(alignments(index, items, chosen, rare), "alignments")
+    return occurrences(docs, items, found, size), index.where(F.col("term") == TAIL).select("_id", "_h", F.col("pos").cast("bigint").alias("n_words"))
 
 
 def find_near(docs: DataFrame, queries: DataFrame, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
