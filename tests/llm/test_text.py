@@ -91,6 +91,9 @@ def test_extract_odd_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert by[0] == by[1] == by[5] == by[6] == by[7] == "" and by[8] == "deep" and by[10] == "plain text" and by[11] == "<b> A &bogus;" and by[12] == "tie\ntie"
     assert H.extract_pages(df.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, "u", PAGE, "x", 1)] * 3 + [(2, "u", PAGE.replace("post", "x" * 70_000), "y", 2), (3, "v", "<article><p>" + "word, " * 200_000 + "</p></article>", "z", 3)], "page_id bigint, url string, html string, n_chars string, _id int")
+    texts = [(r.page_id, r.text) for r in H.extract_pages(again).orderBy("page_id").collect()]
+    assert texts[:4] == [(1, H.extract(PAGE))] * 3 + [(2, H.extract(PAGE))] and texts[4][1] == ("word, " * 200_000).strip()
 
 
 def rows_of_parts(df):
