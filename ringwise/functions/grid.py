@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 MAX_INT64 = (1 << 63) - 1
 
 
+def valid_sizes(chunk: Column, block: Column) -> Column:
+    """Whether chunks and blocks may have these sizes."""
+    return F.coalesce((chunk > 0) & (block > 0) & (F.try_mod(chunk, block) == 0), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Grid:
     """Sizes in bytes; a chunk is a whole number of blocks."""

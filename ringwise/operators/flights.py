@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .membership import carry_last
+from .ordered import carry_last, previous, running_sum
 
+#: Microseconds whose rows are sorted together.
+CELL_US = 600_000_000
 #: Latencies kept, fewest usable, delay bounds in ms, tokens an eligible fetch earns.
 RING, FEWEST, DELAY_MS, RATIO = 256, 16, (5.0, 2000.0), 0.05
 
@@ -19,13 +21,13 @@ RING, FEWEST, DELAY_MS, RATIO = 256, 16, (5.0, 2000.0), 0.05
 def lease_sessions(joins: DataFrame, by: list[str], ts: str, ttl_us: int) -> DataFrame:
     """``(*by, start_us, end_us, joins)``: the union of ``[t, t + ttl)``; a renewal at the very end still extends.
 
-    Gaps and islands over one sorted window a key, in microseconds.
+    A join begins a session where the one before is over; others belong to the last that began one.
     """
-    w = Window.partitionBy(*by).orderBy("_t")
     t = joins.select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    new = t.withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(w) > ttl_us, F.lit(True)).cast("bigint"))
-    island = new.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "_i").agg(F.min("_t").alias("start_us"), (F.max("_t") + ttl_us).alias("end_us"), F.count(F.lit(1)).alias("joins")).drop("_i")
+    cell = max(CELL_US, 16 * ttl_us)
+    begins = F.when(F.coalesce(F.col("_t") - F.col("_previous") > ttl_us, F.lit(True)), F.col("_t"))
+    of = carry_last(previous(t, F.col("_t"), by, "_t", [], cell), begins, by, "_t", [], cell)
+    return of.groupBy(*by, F.col("_carried").alias("start_us")).agg((F.max("_t") + ttl_us).alias("end_us"), F.count(F.lit(1)).alias("joins"))
 
 
 def coalesced_flights(calls: DataFrame, by: list[str], ts: str, tie: str, flight_us: int) -> DataFrame:
@@ -40,14 +42,10 @@ def flight_calls(calls: DataFrame, by: list[str], ts: str, tie: str, flight_us:
     are folded in order, batch by batch. Calls are sorted within cells of time, so a busy key is cut wherever it rests.
     """
     kinds = dict(calls.dtypes)
-    cell_us = 64 * flight_us
-    t = calls.select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), tie).withColumn("_c", F.floor(F.col("_t") / cell_us))
-    ends = t.groupBy(*by, "_c").agg(F.max("_t").alias("_end"))
-    ends = ends.select(*by, "_c", F.lag("_end").over(Window.partitionBy(*by).orderBy("_c")).alias("_end"))
-    before = F.lag("_t").over(Window.partitionBy(*by, "_c").orderBy("_t", tie))
-    rested = t.withColumn("_b", before).join(ends, [*by, "_c"], "left").withColumn("_b", F.coalesce("_b", "_end")).drop("_end", "_c")
-    leads = F.when(F.coalesce(F.col("_t") - F.col("_b") >= flight_us, F.lit(True)), F.struct("_t", tie))
-    stretch = carry_last(rested, leads, by, "_t", [tie], cell_us).drop("_b")
+    cell = 64 * flight_us
+    t = calls.select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), tie)
+    leads = F.when(F.coalesce(F.col("_t") - F.col("_previous") >= flight_us, F.lit(True)), F.struct("_t", tie))
+    stretch = carry_last(previous(t, F.col("_t"), by, "_t", [tie], cell), leads, by, "_t", [tie], cell)
     rows = stretch.repartition(*by, "_carried").sortWithinPartitions(*by, "_carried", "_t", tie).select(*by, "_carried", "_t", tie)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,34 +63,22 @@ def flight_calls(calls: DataFrame, by: list[str], ts: str, tie: str, flight_us:
     return rows.mapInPandas(run, f"{spec}, _t bigint, call {kinds[tie]}, leader {kinds[tie]}, start_us bigint")
 
 
-def numbered(rows: DataFrame, by: list[str], at: str, order: list[str], cell_us: int) -> DataFrame:
-    """``rows`` with ``_p``: each row's number from 0 within its ``by``, by ``at`` and ``order``.
-
-    Rows are sorted within cells of time, whose counts are added up over one row a cell.
-    """
-    celled = rows.withColumn("_cell", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / cell_us))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = celled.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(*by, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(at, *order))
-    return celled.withColumn("_o", own).join(starts, [*by, "_cell"]).withColumn("_p", F.col("_start") + F.col("_o") - 1).drop("_cell", "_o", "_start")
-
-
-def ring_quantile(samples: DataFrame, by: list[str], order: list[str], value: str, q: float, ring: int = RING, fewest: int = FEWEST, cell_us: int = 3_600_000_000) -> DataFrame:
+def ring_quantile(samples: DataFrame, by: list[str], order: list[str], value: str, q: float, ring: int = RING, fewest: int = FEWEST) -> DataFrame:
     """Adds ``quantile``: of the ``ring`` values before each row, the one at index floor(q * n) in order; null below ``fewest``.
 
     ``order``: the time, and what tells rows of one time apart. Rows are numbered and dealt into blocks of sixteen rings, with the last ring
     of the block before, so no task sorts all rows of a key.
     """
     block = 16 * ring
-    placed = numbered(samples, by, order[0], order[1:], cell_us)
+    timed = samples.withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp")))
+    placed = running_sum(timed, F.lit(1), by, "_t", order[1:], CELL_US).withColumn("_p", F.col("_sum") - 1)
     home = F.floor(F.col("_p") / block)
     dealt = placed.withColumn("_b", F.explode(F.when(F.col("_p") % block >= block - ring, F.array(home, home + 1)).otherwise(F.array(home))))
     w = Window.partitionBy(*by, "_b").orderBy("_p").rowsBetween(-ring, -1)
     kept = dealt.withColumn("_v", F.sort_array(F.collect_list(value).over(w))).where(F.col("_b") == home)
     n = F.size("_v")
     index = F.least(F.floor(F.lit(q) * n), n - 1).cast("int")
-    return kept.withColumn("quantile", F.when(n >= fewest, F.get("_v", index))).drop("_v", "_p", "_b")
+    return kept.withColumn("quantile", F.when(n >= fewest, F.get("_v", index))).drop("_v", "_p", "_b", "_t", "_sum")
 
 
 def hedge_delay(quantile: Column, bounds: tuple[float, float] = DELAY_MS) -> Column:
@@ -101,10 +87,10 @@ def hedge_delay(quantile: Column, bounds: tuple[float, float] = DELAY_MS) -> Col
 
 def hedge_limiter(fetches: DataFrame, by: list[str], order: list[str], eligible: str, ratio: float = RATIO) -> DataFrame:
     """Adds ``may_hedge``: every ceil(1 / ratio)-th eligible fetch of a node has a token to spend."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     every = -int(-1 // ratio)
-    k = F.sum(F.col(eligible).cast("bigint")).over(w)
-    return fetches.withColumn("may_hedge", F.col(eligible) & (k % every == 0))
+    timed = fetches.withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp")))
+    counted = running_sum(timed, F.col(eligible).cast("bigint"), by, "_t", order[1:], CELL_US)
+    return counted.withColumn("may_hedge", F.col(eligible) & (F.col("_sum") % every == 0)).drop("_t", "_sum")
 
 
 def race(t_primary: Column, t_backup: Column, primary: Column, backup: Column, delay: Column, may_hedge: Column) -> Column:
@@ -131,11 +117,11 @@ def race(t_primary: Column, t_backup: Column, primary: Column, backup: Column, d
 
 
 def failure_streaks(outcomes: DataFrame, by: list[str], order: list[str], failed: str) -> DataFrame:
-    """Adds ``streak``: failures in a row up to and with each row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    base = outcomes.withColumn("_island", F.sum((~F.col(failed)).cast("bigint")).over(w))
-    inner = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return base.withColumn("streak", F.sum(F.col(failed).cast("bigint")).over(inner)).drop("_island")
+    """Adds ``streak``: failures in a row up to and with each row: its number less that of the last row that didn't fail."""
+    timed = outcomes.withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp")))
+    placed = running_sum(timed, F.lit(1), by, "_t", order[1:], CELL_US).withColumn("_p", F.col("_sum"))
+    last = carry_last(placed, F.when(~F.col(failed), F.col("_p")), by, "_t", order[1:], CELL_US)
+    return last.withColumn("streak", F.col("_p") - F.coalesce("_carried", F.lit(0))).drop("_t", "_sum", "_p", "_carried")
 
 
 def refresh_backoff(lease_ms: Column, first_ms: int = 50, steps: int = 12) -> Column:
@@ -234,12 +220,12 @@ def lease_flights(calls: DataFrame, by: list[str]) -> DataFrame:
 
 
 def receive_budget(transfers: DataFrame, by: list[str], start: str, end: str, size: str) -> DataFrame:
-    """``(*by, peak_bytes, peak_loads)``: the most bytes and loads under way at once, ends before starts at equal times."""
+    """``(*by, peak_bytes, peak_loads)``: the most bytes and loads under way at once, ends before starts at equal times; times in microseconds."""
     starts = transfers.select(*by, F.col(start).alias("_t"), F.col(size).alias("_b"), F.lit(1).alias("_d"))
     ends = transfers.select(*by, F.col(end).alias("_t"), (-F.col(size)).alias("_b"), F.lit(-1).alias("_d"))
-    w = Window.partitionBy(*by).orderBy("_t", "_d", "_b").rowsBetween(Window.unboundedPreceding, 0)
-    running = starts.unionByName(ends).select(*by, F.sum("_b").over(w).alias("_b"), F.sum("_d").over(w).alias("_d"))
-    return running.groupBy(*by).agg(F.max("_b").alias("peak_bytes"), F.max("_d").cast("bigint").alias("peak_loads"))
+    both = running_sum(starts.unionByName(ends), F.col("_b"), by, "_t", ["_d", "_b"], CELL_US).withColumnRenamed("_sum", "_bytes")
+    running = running_sum(both, F.col("_d"), by, "_t", ["_d", "_b"], CELL_US)
+    return running.groupBy(*by).agg(F.max("_bytes").alias("peak_bytes"), F.max("_sum").cast("bigint").alias("peak_loads"))
 
 
 def admissions(loads: DataFrame, by: list[str], max_bytes: int, max_loads: int, reserve_bytes: int = 0, wait_us: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import u64
+from .ordered import carry_last
 
 JOINING, READY, SUSPECT, LEAVING = 0, 1, 2, 3
 ORDINARY, ROOT_ONLY, NON_ROOT = 0, 1, 2
@@ -96,21 +97,6 @@ def decode_rosters(raw: DataFrame, col: str = "json") -> DataFrame:
     return parsed.select(*raw.columns, F.col("_r.epoch").alias("epoch"), F.col("_r.members").alias("members"), F.coalesce(good, F.lit(False)).alias("valid"))
 
 
-def carry_last(rows: DataFrame, mark: Column, by: list[str], at: str, order: list[str], cell_us: int) -> DataFrame:
-    """``rows`` with ``_carried``: the last ``mark`` that isn't null up to and with each row, by ``at`` (microseconds) and ``order``.
-
-    Rows are sorted within cells of time only; what the cells before end with is carried on over one row a cell. So a key that
-    holds most rows is as many tasks' work as it has cells.
-    """
-    marked = rows.withColumn("_cell", F.floor(F.col(at) / cell_us)).withColumn("_mark", mark)
-    last = marked.groupBy(*by, "_cell").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(at, *order))).alias("_last"))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    start = last.select(*by, "_cell", F.last("_last", ignorenulls=True).over(before).alias("_start"))
-    within = Window.partitionBy(*by, "_cell").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = marked.withColumn("_now", F.last("_mark", ignorenulls=True).over(within))
-    return inner.join(start, [*by, "_cell"], "left").withColumn("_carried", F.coalesce("_now", "_start")).drop("_now", "_start", "_mark", "_cell")
-
-
 def as_of(events: DataFrame, versions: DataFrame, ts: str = "ts", valid_from: str = "valid_from", payload: tuple[str, ...] = ("epoch",), by: tuple[str, ...] = (), cell_us: int = 600_000_000) -> DataFrame:
     """``events`` with the payload of the latest version at or before each.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import sqltext as Q
 from ..functions import u64
-from ..functions.grid import Grid, clamp, relayable
+from ..functions.grid import Grid, clamp, relayable, valid_sizes
 from ..operators import requests as R
 from ..sources.tables import table
 
@@ -29,6 +29,15 @@ from (select doc_id, s, e, unnest(range(s // 1024, e // 1024 + 1)) as b from (se
 """
 
 
+def grid_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pairs of chunk and block sizes are allowed."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 3).alias("chunk"), (F.col("p_partkey") % 7 - 1).alias("block"))
+    return p.select("p_partkey", valid_sizes(F.col("chunk"), F.col("block")).alias("valid"))
+
+
+SIZED = "select p_partkey, p_size > 3 and p_partkey % 7 > 1 and (p_size - 3) - (p_size - 3) // (p_partkey % 7 - 1) * (p_partkey % 7 - 1) = 0 as valid from part where p_partkey % 7 > 1 union all select p_partkey, false from part where p_partkey % 7 <= 1"
+
+
 def block_index_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 977 + F.col("l_suppkey")).alias("off"))
     b = GRID.block_index(F.col("off"))
@@ -417,13 +426,13 @@ def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUEST_KEYS = f"with o as ({OBJECT}) select page_id, object_id || '|0:1023' as key, length(html) <= 2000 as fits, least(length(html), 2000) as taken from o join pages using (page_id)"
 
 QUERIES = {
-    "request_keys": request_keys, "segments_explode": segments_explode, "block_index_math": block_index_math, "tail_block_len": tail_block_len, "serve_clamp": serve_clamp, "fetch_block_window": fetch_block_window, "block_slices": block_slices,
+    "grid_sizes": grid_sizes, "request_keys": request_keys, "segments_explode": segments_explode, "block_index_math": block_index_math, "tail_block_len": tail_block_len, "serve_clamp": serve_clamp, "fetch_block_window": fetch_block_window, "block_slices": block_slices,
     "relay_gate": relay_gate, "range_header_parse": range_header_parse, "content_range_validate": content_range_validate, "ignored_range": ignored_range, "object_identity": object_identity, "digest_layout": digest_layout,
     "origin_key": origin_key, "redact_url": redact_url, "byte_size_parse": byte_size_parse, "registry_paths": registry_paths, "challenge_parse": challenge_parse, "block_paths": block_paths, "peers_parse": peers_parse,
     "names_checked": names_checked, "front_ends": front_ends, "size_probe": size_probe, "passthrough": passthrough, "credential_join": credential_join, "chunk_keys": chunk_keys, "relay_key_check": relay_key_check, "cache_key_hash": cache_key_hash,
 }
 ORACLE_SQL = {
-    "request_keys": REQUEST_KEYS, "segments_explode": SEGMENTS, "block_index_math": BLOCK_MATH, "tail_block_len": TAIL, "serve_clamp": CLAMP, "fetch_block_window": WINDOW, "block_slices": SLICES,
+    "grid_sizes": SIZED, "request_keys": REQUEST_KEYS, "segments_explode": SEGMENTS, "block_index_math": BLOCK_MATH, "tail_block_len": TAIL, "serve_clamp": CLAMP, "fetch_block_window": WINDOW, "block_slices": SLICES,
     "relay_gate": RELAY, "range_header_parse": RANGE, "content_range_validate": CONTENT, "ignored_range": IGNORED, "object_identity": OBJECT, "digest_layout": LAYOUT,
     "origin_key": ORIGIN, "redact_url": REDACT, "byte_size_parse": SIZES, "registry_paths": REGISTRY, "challenge_parse": CHALLENGE, "block_paths": BLOCK_PATHS, "peers_parse": PEERS,
     "names_checked": NAMES, "front_ends": FRONTS, "size_probe": PROBE, "passthrough": PASSED, "credential_join": CREDENTIALS, "chunk_keys": CHUNK_KEYS, "relay_key_check": RELAY_KEY, "cache_key_hash": KEY_HASH,

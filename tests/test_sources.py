@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ringwise.operators import membership as M
 from ringwise.operators import metrics as X
+from ringwise.operators import ordered as O
 from ringwise.operators import flights as L
 from ringwise.sources import rosters as R
 
@@ -74,11 +75,15 @@ def test_exposition_file(spark, tmp_path):
 
 def test_carried_over_cells(spark):
     """The last mark is carried over as many cells as there are, also for a key that holds most rows."""
-    rows = [("hot", i, i if i % 37 == 5 else None) for i in range(400)] + [("cold", 390, 7), ("cold", 391, None)]
+    rows = [("hot", i, i if i % 37 == 5 else None) for i in range(400)] + [("cold", 390, 7), ("cold", 391, None), (None, 3, 4), (None, 300, None)]
     df = spark.createDataFrame(rows, "k string, t bigint, v bigint")
     for cell in (1, 10, 1000):
-        got = {(r.k, r.t): r._carried for r in M.carry_last(df, F.col("v"), ["k"], "t", [], cell).collect()}
-        assert got == {(k, t): (7 if k == "cold" else max((x for x in range(t + 1) if x % 37 == 5), default=None)) for k, t, _ in rows}
+        got = {(r.k, r.t): r._carried for r in O.carry_last(df, F.col("v"), ["k"], "t", [], cell).collect()}
+        assert got == {(k, t): (7 if k == "cold" else 4 if k is None else max((x for x in range(t + 1) if x % 37 == 5), default=None)) for k, t, _ in rows}
+        sums = {(r.k, r.t): r._sum for r in O.running_sum(df, F.col("t") * 2, ["k"], "t", [], cell).collect()}
+        assert sums == {(k, t): (t * (t + 1) if k == "hot" else sum(x * 2 for kk, x, _ in rows if kk == k and x <= t)) for k, t, _ in rows}
+        before = {(r.k, r.t): r._previous for r in O.previous(df, F.col("t"), ["k"], "t", [], cell).collect()}
+        assert before == {(k, t): (None if (k, t) in (("hot", 0), ("cold", 390), (None, 3)) else 3 if k is None else t - 1) for k, t, _ in rows}
 
 
 def test_quantile_over_blocks(spark):
