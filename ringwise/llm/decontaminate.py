@@ -108,7 +108,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, size: int = 13, anchors: int
     chosen = materialise(rarest_terms(items, counts, size, anchors), "anchors")
     slots = items.select("uid", F.posexplode("terms").alias("q", "term"))
     rare = chosen.join(slots, ["uid", "q"]).select("term").distinct().join(counts, "term").select("term", F.ceil(F.col("df") / PART_ROWS).alias("parts"))
-    tail = docs.sparkSession.createDataFrame([(TAIL, 1)], "term string, parts bigint")
+    tail = docs.sparkSession.range(1).select(F.lit(TAIL).alias("term"), F.lit(1).cast("bigint").alias("parts"))
     rare = materialise(rare.unionByName(tail), "rare")
     index = materialise(postings(docs).join(bounded(rare, 24), "term"), "postings")
     found = materialise(alignments(index, items, chosen, rare), "alignments")

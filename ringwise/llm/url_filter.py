@@ -55,8 +55,8 @@ def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         ]
         best = F.array_max(F.filter(F.array(*found), lambda r: r.isNotNull())) if found else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
         return urls.withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("ruled", F.col("best.verdict")).drop("best")
-    spark = urls.sparkSession
-    listed = spark.createDataFrame([(h, p, h + p, v) for v, h, p in rules], "rhost string, rpath string, rrule string, rverdict string")
+    each = F.array(*[F.struct(F.lit(h).alias("rhost"), F.lit(p).alias("rpath"), F.lit(h + p).alias("rrule"), F.lit(v).alias("rverdict")) for v, h, p in rules])
+    listed = urls.sparkSession.range(1).select(F.explode(each).alias("r")).select("r.*")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     met = urls.select("_row", "path", F.explode(suffixes).alias("rhost")).join(bounded(listed, 200), "rhost").where(F.startswith("path", "rpath"))
