@@ -74,15 +74,15 @@ def bounded(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:
-    """Left join of ``left`` with ``right``, whose keys are unique and whose column ``count`` says how many of the ``total`` rows of ``left`` hold the key.
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """Left join of ``left`` with ``right``, whose keys are unique and whose column ``count`` says how many rows of ``left`` hold the key.
 
     A small ``right`` is sent to all tasks. Of any other only the hot keys are, of which there are ``HOT_SHARE`` at most; no key
     of the rows that are shuffled holds more than one in ``HOT_SHARE`` of all, and rows without a key aren't shuffled. The count is dropped.
     """
     if size_of(right, row_bytes) <= most:
         return left.join(F.broadcast(right.drop(count)), key, "left")
-    is_hot = F.col(count) * HOT_SHARE > total
+    is_hot = F.col(count) * HOT_SHARE > left.count()
     hot = F.broadcast(right.where(is_hot).drop(count))
     rest = left.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti")
     found = left.join(hot, key).unionByName(rest.join(right.where(~is_hot).drop(count), key, "left"))

@@ -123,7 +123,6 @@ class DedupState:
     def resolve(self, most: int = 32 << 20) -> DataFrame:
         """``(_id, _loc, _sha, _keep, _keep_loc, _n)`` of every arrival so far, after the check on full bytes."""
         arrivals = self.arrivals()
-        total = arrivals.count()
         repeated = materialise(self.verdicts().where("_n > 1"), "repeated")
         clash = self.collisions(repeated.select("_key"))
         groups = [repeated.select(F.col("_key").alias("_group"), "_keep", "_keep_loc", "_n")]
@@ -140,7 +139,7 @@ class DedupState:
         else:
             arrivals = arrivals.withColumn("_group", F.col("_key"))
         known = groups[0] if len(groups) == 1 else materialise(groups[0].unionByName(groups[1]), "groups")
-        found = join_counted(arrivals, known.withColumn("_copies", F.col("_n")), "_group", "_copies", total, 40, most)
+        found = join_counted(arrivals, known.withColumn("_copies", F.col("_n")), "_group", "_copies", 40, most)
         # A digest that occurs once is its own group.
         return found.select("_id", "_loc", "_sha", F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_keep_loc", "_loc").alias("_keep_loc"), F.coalesce("_n", F.lit(1)).cast("bigint").alias("_n"))
 

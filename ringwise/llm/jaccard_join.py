@@ -293,7 +293,7 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_row
     """The columns of ``jaccard_components``, the hash ``_h`` of the text, and ``stays``: whether a row without words, or the one of its component to keep."""
     with small_batches(docs.sparkSession):  # all that runs in Python is written within
         rows, of_set = _components(docs, k, num, den, slack, hot_rows, id_col, text_col)
-    out = join_counted(rows.select("_id", "_h", "_n", "_set", "_row"), of_set, "_set", "copies", rows.count(), 60)
+    out = join_counted(rows.select("_id", "_h", "_n", "_set", "_row"), of_set, "_set", "copies", 60)
     stays = (F.col("_n") == 0) | (F.col("_row") == F.col("keeper"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_h", stays.alias("stays"))
 
@@ -308,7 +308,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_r
         rows.where("_n > 0").groupBy("_set").agg(F.min("_id").alias("least"), F.min_by("_row", F.struct(F.coalesce("_id", F.lit(2**63 - 1)), "_row")).alias("node"), F.max("_n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes"
     )
     repeated = classes.where("copies > 1").select("_set", "node", "copies")
-    copies = materialise(join_counted(rows.where("_n > 0").select("_row", "_set"), repeated, "_set", "copies", rows.count(), 40).where("_row != node").select("_row"), "copies")
+    copies = materialise(join_counted(rows.where("_n > 0").select("_row", "_set"), repeated, "_set", "copies", 40).where("_row != node").select("_row"), "copies")
     entries = rows.join(bounded(copies, 16), "_row", "left_anti").select(F.explode("_sigs").alias("sig"), F.col("_row").alias("node"))
     members = materialise(bucket_members(entries, hot_rows), "members")
     # Texts of nodes that meet another one, fetched once.

@@ -53,7 +53,7 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     able = rows.where(F.col("bytes") >= min_bytes)
     least = able.groupBy("digest").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))
     repeated = materialise(least.where("copies > 1").select("digest", F.col("least._row").alias("first_row"), "copies"), "repeated")
-    of = join_counted(able.select("_row", "digest"), repeated, "digest", "copies", rows.count(), 24, most)
+    of = join_counted(able.select("_row", "digest"), repeated, "digest", "copies", 24, most)
     revisits = materialise(of.where("_row != first_row").select("_row", "first_row"), "revisits")
     return rows.join(bounded(revisits, 32, most), "_row", "left")
 
@@ -79,10 +79,11 @@ def write_archives(planned: DataFrame, path: str) -> None:
     shuffled. Pages of up to each of ``SIZES`` bytes are written apart, as many to an archive as hold ``ARCHIVE_BYTES`` if all
     were as large as that, so one long page doesn't make an archive long.
     """
-    uri = F.replace(F.replace(F.replace(F.col("_url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
+    escaped = F.replace(F.replace(F.replace(F.col("_url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
     parts = r"(?s)^[^:]*://([^/?#]*)([^#]*)"
-    host, target = (F.coalesce(F.regexp_extract(uri, parts, i), F.lit("")) for i in (1, 2))
-    asks = F.concat(F.lit("GET "), F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(F.lit("/"), target)), F.lit(" HTTP/1.1" + CRLF), F.when(host != "", F.concat(F.lit("Host: "), host, F.lit(CRLF))).otherwise(""), F.lit(CRLF))
+    planned = planned.withColumn("_uri", escaped).withColumn("_host", F.coalesce(F.regexp_extract("_uri", parts, 1), F.lit(""))).withColumn("_target", F.coalesce(F.regexp_extract("_uri", parts, 2), F.lit("")))
+    uri, host, target = F.col("_uri"), F.col("_host"), F.col("_target")
+    asks = F.concat(F.lit("GET "), F.when(F.startswith(target, F.lit("/")), "").otherwise("/"), target, F.lit(" HTTP/1.1" + CRLF), F.when(host != "", F.concat(F.lit("Host: "), host, F.lit(CRLF))).otherwise(""), F.lit(CRLF))
     main, req, meta = record_id("response", "_row"), record_id("request", "_row"), record_id("metadata", "_row")
     revisit = F.col("first_row").isNotNull()
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
@@ -203,7 +204,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     again = rows.where("record_type = 'revisit'").drop("digest", "bytes")
     asked = again.groupBy("target").agg(F.count(F.lit(1)).alias("copies"))
     targets = rows.where("record_type != 'revisit'").select(F.col("rid").alias("target"), "digest", "bytes", F.col("page").alias("t_page")).join(bounded(asked, 24, most), "target")
-    met = join_counted(again, materialise(targets, "targets"), "target", "copies", again.count(), 100, most)
+    met = join_counted(again, materialise(targets, "targets"), "target", "copies", 100, most)
     out = rows.where("record_type != 'revisit'").withColumn("t_page", F.lit(None).cast(kind)).unionByName(met.select(*rows.columns, "t_page"))
     return out.select(
         F.col("page").alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),

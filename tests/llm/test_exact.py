@@ -140,3 +140,24 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x x b x c"), (2, "a " + "x " * 30 + "b c"), (3, "c b a"), (4, None)], "doc_id bigint, text string")
     q = spark.createDataFrame([(9, "a b c"), (8, "nothing there"), (7, None)], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id) for r in D.find_near(d, q, slop=5).collect()) == [(1, 9), (3, 9)]
+
+
+def test_counted_join_splits_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ringwise.llm import common as K
+
+    rows = [("hot", i) for i in range(400)] + [(f"k{i % 50}", i) for i in range(200)] + [(None, 1), (None, 2), ("alone", 3)]
+    left = spark.createDataFrame(rows, "key string, v bigint")
+    right = left.where("key is not null and key != 'alone'").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
+    want = sorted(map(str, left.join(right.drop("n"), "key", "left").select("key", "v", "m").collect()))
+    for share in (1000, 3):
+        monkeypatch.setattr(K, "HOT_SHARE", share)
+        for most in (32 << 20, 0):
+            got = K.join_counted(left, right, "key", "n", 16, most)
+            assert got.columns == ["key", "v", "m"] and sorted(map(str, got.collect())) == want
+    assert K.size_of(right, 16) == sum(16 + len(r.key) for r in right.collect()) and K.size_of(right.limit(0), 16) == 0
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with K.small_batches(spark, 7):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
