@@ -294,12 +294,12 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_row
     with small_batches(docs.sparkSession):  # all that runs in Python is written within
         rows, of_set = _components(docs, k, num, den, slack, hot_rows, id_col, text_col)
     out = join_counted(rows.select("_id", "_h", "_n", "_set", "_row"), of_set, "_set", "copies", 60)
-    stays = (F.col("_n") == 0) | (F.col("_row") == F.col("keeper"))
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_h", stays.alias("stays"))
+    alone = F.col("keeper").isNull()  # without words, or unlike all others
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), "_h", (alone | (F.col("_row") == F.col("keeper"))).alias("stays"))
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``set_rows`` of all rows, and ``(_set, component_id, keeper, copies)`` of each set."""
+    """``set_rows`` of all rows, and ``(_set, component_id, keeper, copies)`` of each set that has copies or links."""
     spark = docs.sparkSession
     plain = pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("bigint")).withColumn("_h", F.xxhash64("_text"))
     rows = materialise(set_rows(plain, k, num, den, slack), "sets")
@@ -334,8 +334,8 @@ def _components(docs: DataFrame, k: int, num: int, den: int, slack: float, hot_r
         elif not found.isEmpty():  # components so far are stars; new links join them
             label = connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min_by("node", F.struct(F.coalesce("least", F.lit(2**63 - 1)), "node")).alias("keeper"))
-    of_set = materialise(named.join(least, "component").select("_set", "component_id", "keeper", "copies"), "labels")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min_by("node", F.struct(F.coalesce("least", F.lit(2**63 - 1)), "node")).alias("keeper"), F.count(F.lit(1)).alias("sets"))
+    of_set = materialise(named.join(least, "component").where("copies > 1 or sets > 1").select("_set", "component_id", "keeper", "copies"), "labels")
     return rows, of_set
 
 
