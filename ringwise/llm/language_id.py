@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, pick, table
+from .common import bounded, materialise, pick, small_batches, table
 
 #: ISO 639-1 codes by language family. Codes that aren't listed are a family of their own.
 FAMILIES = {
@@ -199,8 +199,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing could be learned. Repeated rows get equal results; an empty table gives none; texts of any length are read
     whole, one at a time. Other columns are not read, whatever they are called.
     """
-    rows = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
-    return identify(docs, train(training_rows(rows, per_language, max_rows)), id_col, text_col)
+    with small_batches(docs.sparkSession):
+        model = train(training_rows(pick(docs, _id=id_col, _text=text_col, _lang=lang_col), per_language, max_rows))
+    return identify(docs, model, id_col, text_col)
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: tuple[str, ...] = ("und",)) -> DataFrame:
@@ -209,17 +210,23 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text and one without a letter count as "und", whatever was learned; where nothing could be learned all others
     stay. Rows that repeat stay or go together; an empty table gives none.
     """
-    names = docs.columns
+    spark = docs.sparkSession
     rows = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(rows)))
+    with small_batches(spark):
+        model = spark.sparkContext.broadcast(train(training_rows(rows)))
 
-    @F.pandas_udf("string")
-    def predicted(texts: pd.Series) -> pd.Series:
-        m = model.value
-        return pd.Series(["und" if (v := features(t)) is None else "" if m is None else m.predict(v)[0] for t in texts], dtype="object")
+        @F.pandas_udf("string")
+        def predicted(texts: pd.Series) -> pd.Series:
+            m = model.value
+            return pd.Series(["und" if (v := features(t)) is None else "" if m is None else m.predict(v)[0] for t in texts], dtype="object")
 
+        # What goes is little, so it is that which is kept apart: rows are known by their id and the hash of their text.
+        judged = rows.select("_id", F.xxhash64("_text").alias("_h"), predicted(F.col("_text")).alias("_p"))
+        gone = materialise(judged.where(F.col("_p").isin(list(reject))).select("_id", "_h").distinct(), "rejected")
+    names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return inner.where(~predicted(F.col(f"_c{names.index(text_col)}")).isin(list(reject))).toDF(*names)
+    own_id, own_text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
+    return inner.join(bounded(gone, 24), own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("_h")), "left_anti").toDF(*names)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

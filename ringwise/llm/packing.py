@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, table
+from .common import materialise, pick, small_batches, table
 from .tokens import Encoder
 
 LENGTH = 2048
@@ -108,7 +108,8 @@ def pack(
         raise ValueError(f"unknown rule {rule!r}")
     most, attention = max_documents or length, max_attention or length * length
     pieces = pieces_of(pick(docs, _id=id_col, _text=text_col), length, vocabulary, end_id).withColumn("_row", F.monotonically_increasing_id())
-    pieces = materialise(pieces, "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialise(pieces, "pieces")
     short = pieces.where(F.col("length") < length)
     groups = max(1, round(short.count() / group_rows))
     dealt = short.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("group"))

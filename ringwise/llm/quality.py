@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, pick, table
+from .common import bounded, materialise, pick, small_batches, table
 
 WIDTH = 2048
 META_WIDTH = 512
@@ -300,7 +300,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     rows = pick(docs, _id=id_col, _text=text_col, _source=source_col, _lang=lang_col, _n=n_col)
     rows = rows.withColumn("_n", F.col("_n").cast("double"))
-    model = docs.sparkSession.sparkContext.broadcast(learn(rows, pick(labels, _id=label_id, _y=label_col)))
+    with small_batches(docs.sparkSession):
+        model = docs.sparkSession.sparkContext.broadcast(learn(rows, pick(labels, _id=label_id, _y=label_col)))
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
