@@ -99,7 +99,8 @@ from (select doc_id, n_chars, unnest(range(0, (n_chars - 5) // 1024 + 1)) as b f
 def relay_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relay requests declined by their hop count or an index that can't be represented."""
     e = table(spark, sf_dir, "events")
-    block = (F.col("event_id").cast("decimal(20,0)") * F.lit("9007199254740993").cast("decimal(20,0)")).cast("decimal(38,0)").cast("decimal(20,0)") % F.lit("18446744073709551615").cast("decimal(20,0)")
+    # The product of any two BIGINTs fits DECIMAL(38,0), the remainder DECIMAL(20,0).
+    block = (F.col("event_id").cast("decimal(19,0)") * F.lit("9007199254740993").cast("decimal(19,0)")).cast("decimal(38,0)") % F.lit("18446744073709551615").cast("decimal(20,0)")
     hop = (F.col("event_id") % 70).cast("int")
     ok = relayable(block, GRID)
     return e.select("event_id", F.when(~ok, "bad_index").when(hop >= 64, "hop_bound").otherwise("relay").alias("verdict"))
