@@ -32,7 +32,7 @@ def same(spark, tmp_path):
     return check
 
 
-@pytest.mark.parametrize(("name", "most"), [("relay_gate", 9223372036854770000)])
+@pytest.mark.parametrize(("name", "most"), [("relay_gate", 9223372036854770000), ("labelled_counters", 5000000)])
 def test_relay_of_large_ids(same, name, most):
     """Products beyond 20 digits."""
     same(name, events=f"select event_id + [0, 11103, 599000, {most}][event_id % 4 + 1] as event_id, * exclude (event_id) from events")
