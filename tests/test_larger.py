@@ -38,7 +38,7 @@ def test_relay_of_large_ids(same, name, most):
     same(name, events=f"select event_id + [0, 11103, 599000, {most}][event_id % 4 + 1] as event_id, * exclude (event_id) from events")
 
 
-@pytest.mark.parametrize("name", ["memory_trace"])
+@pytest.mark.parametrize("name", ["memory_trace", "reservation_trace"])
 def test_reads_without_duration(same, name):
     """Reads that take no time, end before they begin, or end at the begin of others."""
     rows = same(name, events="select * exclude (value), case when event_id % 97 = 5 then 0 when event_id % 211 = 7 then -3.5 when event_id % 7 = 1 then floor(value) else value end as value from events")
