@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.identity import escape_help, escape_label
 
@@ -85,14 +86,16 @@ def exposition(metrics: DataFrame) -> DataFrame:
     """``(seq, line)``: text exposition of ``metrics(seq, name, help, kind, labels map, value)``.
 
     HELP and TYPE come before the first sample of a name, HELP only where there is one; samples keep their order ``seq``, names
-    that of their first sample. Backslashes and line feeds of a help text are escaped, in labels quotes as well.
+    that of their first sample. Backslashes and line feeds of a help text are escaped, in labels quotes as well. Values of a type of
+    whole numbers are written in full, those of other types as ``number_text`` has them.
     """
     first = metrics.groupBy("name").agg(F.min("seq").alias("at"), F.min_by("help", "seq").alias("help"), F.min_by("kind", "seq").alias("kind"))
     head = first.select(F.struct(F.col("at"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s")).alias("seq"), F.explode(F.array_compact(F.array(F.when(F.col("help") != "", F.concat(F.lit("# HELP "), "name", F.lit(" "), escape_help(F.col("help")))), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind")))).alias("line"))
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escape_label(e["value"]), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     # Counters are whole numbers.
-    shown = F.when(F.col("kind") == "counter", F.floor("value").cast("bigint").cast("string")).otherwise(number_column(F.col("value").cast("double")))
+    gauge = F.col("value").cast("string") if isinstance(metrics.schema["value"].dataType, IntegralType) else number_column(F.col("value").cast("double"))
+    shown = F.when(F.col("kind") == "counter", F.floor("value").cast("bigint").cast("string")).otherwise(gauge)
     body = metrics.join(first.select("name", "at"), "name").select(F.struct(F.col("at"), F.lit(1).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), F.concat("name", labels, F.lit(" "), shown).alias("line"))
     return head.unionByName(body)
 

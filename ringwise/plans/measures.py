@@ -172,8 +172,8 @@ def exposition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text exposition of reads by source and of a gauge."""
     c = X.source_counts(access_log(spark, sf_dir), "source")
     n = F.when(F.col("source") == "cache", 0).when(F.col("source") == "peer", 1).otherwise(2)
-    reads = c.select(n.cast("bigint").alias("seq"), F.lit("block_reads_total").alias("name"), F.lit("Reads by source.").alias("help"), F.lit("counter").alias("kind"), F.create_map(F.lit("source"), "source").alias("labels"), F.col("reads").cast("double").alias("value"))
-    gauge = c.agg(F.sum("reads").alias("v")).select(F.lit(3).cast("bigint").alias("seq"), F.lit("reads_all").alias("name"), F.lit("All reads.").alias("help"), F.lit("gauge").alias("kind"), F.create_map().cast("map<string,string>").alias("labels"), F.col("v").cast("double").alias("value"))
+    reads = c.select(n.cast("bigint").alias("seq"), F.lit("block_reads_total").alias("name"), F.lit("Reads by source.").alias("help"), F.lit("counter").alias("kind"), F.create_map(F.lit("source"), "source").alias("labels"), F.col("reads").alias("value"))
+    gauge = c.agg(F.sum("reads").alias("v")).select(F.lit(3).cast("bigint").alias("seq"), F.lit("reads_all").alias("name"), F.lit("All reads.").alias("help"), F.lit("gauge").alias("kind"), F.create_map().cast("map<string,string>").alias("labels"), F.col("v").alias("value"))
     return X.exposition(reads.unionByName(gauge)).select(F.col("seq.at").alias("at"), F.col("seq.s").alias("sample"), "line")
 
 

@@ -43,3 +43,9 @@ def test_reads_without_duration(same, name):
     """Reads that take no time, end before they begin, or end at the begin of others."""
     rows = same(name, events="select * exclude (value), case when event_id % 97 = 5 then 0 when event_id % 211 = 7 then -3.5 when event_id % 7 = 1 then floor(value) else value end as value from events")
     assert sum("null" in r for r in rows) >= 10
+
+
+def test_exposition_of_a_million_reads(same):
+    """A gauge of counts is written in full."""
+    rows = same("exposition_text", events="select event_id + i * 100000 as event_id, * exclude (event_id, i) from events, range(1001) t(i)")
+    assert any("reads_all 1001000" in r for r in rows)
