@@ -212,3 +212,21 @@ def test_components(spark):
     found = {x.node: x.component for x in G.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert found == want
     assert G.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_few_edges_are_one_tasks_work(spark):
+    """A small graph takes few jobs, and both ways give the same components."""
+    r = random.Random(7)
+    names = r.sample(range(-(10**12), 10**12), 900)
+    edges = [(names[i], names[i + 1]) for i in range(299)] + [(names[300], names[i]) for i in range(301, 600)] + [(names[r.randrange(600, 900)], names[r.randrange(600, 900)]) for _ in range(140)]
+    edges += [(v, u) for u, v in edges[::3]] + edges[::5] + [(names[0], names[0])]
+    table = spark.createDataFrame(edges, "u bigint, v bigint").localCheckpoint()
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "")
+    few = sorted(map(tuple, G.connected_components(table).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-edges"))
+    context.setJobGroup("", "")
+    assert jobs <= 12
+    assert few == sorted(map(tuple, G.connected_components(table, few=0).collect()))
+    assert {b for a, b in few if a in names[:300]} == {min(names[:300])} and {b for a, b in few if a in names[300:600]} == {min(names[300:600])}
+    assert len(few) == len({x for u, v in edges if u != v for x in (u, v)})
